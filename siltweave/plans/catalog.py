@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from siltweave.plans import page_queries, url_queries  # noqa: F401
+from siltweave.plans.registry import QUERIES, SQL
 
-from siltweave.io import table
-
-
-def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest").groupBy("target_directory").agg(F.count("*").alias("n_pages"))
-
-
-QUERIES = {"manifest_summary": manifest_summary}
-SQL = {"manifest_summary": "select target_directory, count(*) as n_pages from manifest group by 1"}
+__all__ = ["QUERIES", "SQL"]
