@@ -60,7 +60,7 @@ def insert_after_heading(markdown, block) -> Column:
     """``block`` as a paragraph of its own after the first heading line, or at the start without one."""
     m, b = _c(markdown), _c(block)
     at = F.regexp_instr(m, F.lit(r"(?m)^#{1,6} [^\n]*$"))
-    line_end = F.locate("\n", m, at)
+    line_end = F.call_function("locate", F.lit("\n"), m, F.greatest(at, F.lit(1)))
     whole = F.when(line_end == 0, F.concat(m, F.lit("\n\n"), b)).otherwise(F.concat(F.substr(m, F.lit(1), line_end), F.lit("\n"), b, F.lit("\n"), F.substr(m, line_end + 1)))
     return F.when(b.isNull() | (b == ""), m).when(at == 0, F.concat(b, F.lit("\n\n"), m)).otherwise(whole)
 
