@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltweave.plans import kernel_queries, page_queries, text_queries, url_queries  # noqa: F401
+from siltweave.plans import kernel_queries, page_queries, report_queries, text_queries, url_queries  # noqa: F401
 from siltweave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
