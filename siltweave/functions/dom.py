@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BARRIER = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Elements whose closing slash browsers ignore.
+_BLOCK_LIKE = frozenset("div span p a b i em strong li ul ol td th tr table section article".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 
 
@@ -54,64 +56,94 @@ class Element:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
+    def find(self, selector: str) -> Iterator[Element]:
+        """The elements below this one that a selector fits, in document order."""
+        by_tag, by_class, by_id, rest = indexed(selector)
+        for e in self.walk():
+            rules = by_tag.get(e.tag, ())
+            if e.attrs:
+                if by_class and (names := e.attrs.get("class")):
+                    for c in names.split():
+                        rules = (*rules, *by_class.get(c, ()))
+                if by_id and (name := e.attrs.get("id")):
+                    rules = (*rules, *by_id.get(name, ()))
+                rules = (*rules, *rest) if rest else rules
+            if rules and any(matches(e, r) for r in rules):
+                yield e
+
     def select(self, selector: str) -> list[Element]:
-        rules = compiled(selector)
-        return [e for e in self.walk() if any(matches(e, r) for r in rules)]
+        return list(self.find(selector))
 
     def first(self, selector: str) -> Element | None:
-        rules = compiled(selector)
-        return next((e for e in self.walk() if any(matches(e, r) for r in rules)), None)
+        return next(self.find(selector), None)
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("#root")
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in _ENDS_P:
-            self._end("p", ("td", "th", "li", "div"))
-        if tag in _CLOSES:
-            for t in _CLOSES[tag]:
-                self._end(t, _BARRIER[tag])
-        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(e)
-        if tag not in VOID:
-            self.at = e
-
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def _end(self, tag: str, barrier: tuple[str, ...]) -> None:
-        e = self.at
-        while e is not None and e.tag != tag:
-            if e.tag in barrier or e is self.root:
-                return
-            e = e.parent
-        if e is not None and e.parent is not None:
-            self.at = e.parent
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<(script|style|textarea|title|xmp|noembed)\b((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S | re.I,
+)
+_ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 
-    def handle_endtag(self, tag: str) -> None:
-        e = self.at
-        while e is not self.root and e.tag != tag:
-            e = e.parent
-        if e is not self.root:
-            self.at = e.parent
 
-    def handle_data(self, data: str) -> None:
-        if data:
-            self.at.children.append(Element("", parent=self.at, text=data))
+def _attributes(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(raw):
+        value = a or b or c
+        out.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return out
 
 
 def parse(html: str | None) -> Element:
     """The tree of a document; malformed markup never fails."""
-    b = _Builder()
-    if html:
-        b.feed(html)
-        b.close()
-    return b.root
+    root = at = Element("#root")
+    if not html:
+        return root
+
+    def left(tag: str, barrier: tuple[str, ...]) -> Element:
+        """Where one stands once an open ``tag`` is closed, unless a barrier is in between."""
+        e = at
+        while e is not root and e.tag != tag:
+            if e.tag in barrier:
+                return at
+            e = e.parent
+        return at if e is root else e.parent
+
+    here = 0
+    for m in _TOKEN.finditer(html):
+        if m.start() > here:
+            text = html[here : m.start()]
+            at.children.append(Element("", None, at, unescape(text) if "&" in text else text))
+        here = m.end()
+        tag = m[5]
+        if tag is None:
+            if m[1]:  # an element whose content is text
+                e = Element(m[1].lower(), _attributes(m[2]) if m[2] else None, at)
+                if m[3]:
+                    e.children.append(Element("", None, e, unescape(m[3]) if e.tag in ("title", "textarea") else m[3]))
+                at.children.append(e)
+            continue
+        tag = tag.lower()
+        if m[4]:
+            e = at
+            while e is not root and e.tag != tag:
+                e = e.parent
+            if e is not root:
+                at = e.parent
+            continue
+        if tag in _ENDS_P:
+            at = left("p", ("td", "th", "li", "div"))
+        if tag in _CLOSES:
+            for t in _CLOSES[tag]:
+                at = left(t, _BARRIER[tag])
+        e = Element(tag, _attributes(m[6]) if m[6] else None, at)
+        at.children.append(e)
+        if tag not in VOID and not (m[6] and m[6].endswith("/") and tag not in _BLOCK_LIKE):
+            at = e
+    if here < len(html):
+        at.children.append(Element("", None, at, unescape(html[here:])))
+    return root
 
 
 _PART = re.compile(r"([a-zA-Z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
@@ -149,6 +181,23 @@ def compiled(selector: str) -> tuple:
     return tuple(rules)
 
 
+@lru_cache(maxsize=1024)
+def indexed(selector: str) -> tuple[dict, dict, dict, tuple]:
+    """The rules of a selector by what their last step must have: class, id, tag, or another attribute."""
+    by_tag, by_class, by_id, rest = {}, {}, {}, []
+    for rule in compiled(selector):
+        tests = {kind: name for kind, name, _ in rule[-1][1]}
+        for kind, index in (("id", by_id), ("class", by_class), ("tag", by_tag)):
+            if kind in tests and tests[kind] != "*":
+                index.setdefault(tests[kind], []).append(rule)
+                break
+        else:
+            if "tag" in tests:
+                raise ValueError("'*' needs a further test in the last step")
+            rest.append(rule)
+    return by_tag, by_class, by_id, tuple(rest)
+
+
 def _fits(e: Element, tests: tuple) -> bool:
     for kind, name, value in tests:
         if kind == "tag":

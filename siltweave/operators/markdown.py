@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltweave.functions.dom import Element, parse
+from siltweave.functions.dom import Element, compiled, matches, parse
 
 MAX_COLUMNS = 200
 _BLOCKS = frozenset("p div section article main aside header footer nav ul ol dl dt dd table blockquote pre hr h1 h2 h3 h4 h5 h6 figure center form".split())
@@ -67,6 +67,10 @@ def href(value: str | None, domain: str) -> str | None:
     return f"https://{domain}{v}" if domain and v.startswith("/") else v
 
 
+def _holds_block(e: Element) -> bool:
+    return any(c.tag in _BLOCKS or c.children and _holds_block(c) for c in e.children)
+
+
 class Renderer:
     """Draws one page; collects its links, images, tables and warnings on the way."""
 
@@ -129,7 +133,7 @@ class Renderer:
                 run.clear()
 
         for c in children:
-            if c.tag in _BLOCKS or c.tag and any(x.tag in _BLOCKS for x in c.walk()):
+            if c.tag in _BLOCKS or c.children and _holds_block(c):
                 flush()
                 out.append(self.block(c))
             else:
@@ -156,7 +160,7 @@ class Renderer:
             return "---"
         if tag == "table":
             return self.table(e)
-        if tag in ("p", "dt", "dd") and not any(x.tag in _BLOCKS for x in e.walk()):
+        if tag in ("p", "dt", "dd") and not _holds_block(e):
             return self.inlines(e)
         return self.blocks(e.children)
 
@@ -292,14 +296,6 @@ def _tags(e: Element, domain: str) -> str:
 HANDLERS: dict[str, Callable[[Element, str], str]] = {"text": plain_text, "image": _image, "count_images": _counted_images, "extract_cur_id": _current_id, "dedup_pools": _pools, "simplify_collection": _collection, "extract_tags": _tags}
 
 
-def _drop(selector: str) -> Callable[[Element], None]:
-    def op(root: Element) -> None:
-        for e in root.select(selector):
-            e.remove()
-
-    return op
-
-
 def _unwrap_images(root: Element) -> None:
     for a in root.select("a.image, a.mw-file-description"):
         if a.parent is not None and (img := a.first("img")) is not None and not a.all_text().strip():
@@ -314,25 +310,25 @@ def _ambox(root: Element) -> None:
         t.children = [Element("", parent=t, text=f"Note: {text}")] if text else []
 
 
-#: Cleanup operations by the names that site configurations use (K2); unknown names are ignored.
-CLEANUP: dict[str, Callable[[Element], None]] = {
-    "strip_edit_links": _drop(".mw-editsection"),
-    "strip_skip_links": _drop(".mw-jump-link, .skip-link"),
-    "strip_footer": _drop(".printfooter, #footer, footer, .mw-footer"),
-    "strip_category_links": _drop("#catlinks, .catlinks"),
-    "strip_fandom_infobox_tables": _drop("table.infobox, table.infoboxtable"),
-    "convert_ambox_to_text": _ambox,
-    "unwrap_image_wrappers": _unwrap_images,
-    "convert_nested_images": _unwrap_images,
+#: Cleanup operations that drop elements, by the names that site configurations use (K2).
+DROPS = {
+    "strip_edit_links": ".mw-editsection",
+    "strip_skip_links": ".mw-jump-link, .skip-link",
+    "strip_footer": ".printfooter, #footer, footer, .mw-footer",
+    "strip_category_links": "#catlinks, .catlinks",
+    "strip_fandom_infobox_tables": "table.infobox, table.infoboxtable",
 }
+#: The other cleanup operations; unknown names are ignored.
+CLEANUP: dict[str, Callable[[Element], None]] = {"convert_ambox_to_text": _ambox, "unwrap_image_wrappers": _unwrap_images, "convert_nested_images": _unwrap_images}
 
 
 def prepare(root: Element, rules: Rules) -> Element:
     """The content element with dropped parts, hidden elements and cleanup done (K1, K3)."""
-    for selector in rules.drop:
-        _drop(selector)(root)
-    for e in [e for e in root.select("[style]") if "display:none" in e.attrs["style"].replace(" ", "").lower()]:
-        e.remove()
+    drop = [*rules.drop, *(DROPS[n] for n in rules.cleanup if n in DROPS)]
+    for e in root.select(", ".join([*drop, "[style]"])):  # one walk for all of them
+        style = e.attrs.get("style")
+        if style is None or "display:none" in style.replace(" ", "").lower() or drop and any(matches(e, r) for r in compiled(", ".join(drop))):
+            e.remove()
     for name in rules.cleanup:
         if name in CLEANUP:
             CLEANUP[name](root)

@@ -269,14 +269,15 @@ def remediation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with b as (select domain, count(*) filter (where status = 'error') as errors, count(*) filter (where coalesce(content, '') = '') as blank from results where result_id % 2 = 0 group by 1),
-c as (select domain, count(*) filter (where status = 'error') as errors, count(*) filter (where coalesce(content, '') = '') as blank from results where result_id % 2 = 1 group by 1)
-select c.domain, c.errors - coalesce(b.errors, 0) as more_errors, c.blank - coalesce(b.blank, 0) as more_blank from c left join b using (domain)""")
+with h as (select domain, converted_at >= timestamp '2024-07-01' as run, count(*) filter (where status = 'error') as errors, count(*) filter (where coalesce(content, '') = '') as blank from results where converted_at is not null group by all)
+select c.domain, c.errors - coalesce(b.errors, 0) as more_errors, c.blank - coalesce(b.blank, 0) as more_blank from h c left join h b on b.domain = c.domain and not b.run where c.run""")
 def regression_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """AGG22: counters of one half of the results (the run) against the other (the baseline)."""
-    r = table(spark, d, "results").groupBy("domain", (F.col("result_id") % 2).alias("half")).agg(F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("blank"))
-    p = r.groupBy("domain").agg(*(F.max(F.when(F.col("half") == h, F.col(c))).alias(f"{c}{h}") for c in ("errors", "blank") for h in (0, 1)))
-    return p.where("errors1 is not null").select("domain", (F.col("errors1") - F.coalesce("errors0", F.lit(0))).alias("more_errors"), (F.col("blank1") - F.coalesce("blank0", F.lit(0))).alias("more_blank"))
+    """AGG22: counters of the conversions since a date against those before it, from one pass."""
+    run = (F.col("converted_at") >= F.lit("2024-07-01").cast("timestamp")).alias("run")
+    r = table(spark, d, "results").where("converted_at is not null").groupBy("domain", run).agg(F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("blank"))
+    part = lambda c, now: F.max(F.when(F.col("run") == now, F.col(c)))
+    p = r.groupBy("domain").agg(part("errors", True).alias("e1"), part("errors", False).alias("e0"), part("blank", True).alias("b1"), part("blank", False).alias("b0"))
+    return p.where("e1 is not null").select("domain", (F.col("e1") - F.coalesce("e0", F.lit(0))).alias("more_errors"), (F.col("b1") - F.coalesce("b0", F.lit(0))).alias("more_blank"))
 
 
 @query("""
