@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RATED = 8000
+MAX_RATED = 4000
 LEVELS = 5
 MIDDLE = (1 + LEVELS) / 2
 FOLDS = 5
