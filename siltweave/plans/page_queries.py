@@ -326,16 +326,16 @@ def status_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with l as (select distinct * from fetch_log), a as (select url, status, engine, ts, fetch_id, case engine when 'scrapling' then 1 when 'mediawiki-api' then 2 when 'obscura' then 3 else 4 end as rank from l)
-select url, count(*) as attempts, arg_min(engine, {'r': rank, 't': ts, 'f': fetch_id}) filter (where status = 'success') as engine from a group by url""")
+with l as (select distinct * from fetch_log)
+select url, count(*) as attempts, arg_min(engine, {'t': ts, 'f': fetch_id}) filter (where status = 'success') as engine, min(ts) filter (where status = 'success') as answered from l group by url""")
 def probe_chain(spark: SparkSession, d: str) -> DataFrame:
-    """SRC15, SRC16: of each page the first engine in order that succeeded.
+    """SRC16: of each page the first engine that answered.
 
     Few pages hold most rows; both aggregates have partial sums, so they are no hot keys.
     """
-    rank = F.when(F.col("engine") == "scrapling", 1).when(F.col("engine") == "mediawiki-api", 2).when(F.col("engine") == "obscura", 3).otherwise(4)
+    good = F.when(F.col("status") == "success", F.struct("ts", "fetch_id"))
     log = table(spark, d, "fetch_log").distinct()
-    return log.groupBy("url").agg(F.count("*").alias("attempts"), F.min_by("engine", F.when(F.col("status") == "success", F.struct(rank.alias("r"), "ts", "fetch_id"))).alias("engine"))
+    return log.groupBy("url").agg(F.count("*").alias("attempts"), F.min_by("engine", good).alias("engine"), F.min(F.when(F.col("status") == "success", F.col("ts"))).alias("answered"))
 
 
 @query("""

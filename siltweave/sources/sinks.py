@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import urllib.parse
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,9 +87,5 @@ def image_references(df: DataFrame, text: str, pattern: str) -> DataFrame:
     return df.withColumn("image", F.explode(F.array_distinct(F.filter(targets, lambda x: x.rlike(pattern)))))
 
 
-def quoted(name: str) -> str:
-    return urllib.parse.quote(name.replace(" ", "_"))
-
-
 def registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
