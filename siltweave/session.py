@@ -26,6 +26,14 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the storage that all executors share (see :func:`cut`)."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltweave-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the session.
 

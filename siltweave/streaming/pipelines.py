@@ -13,7 +13,12 @@ from siltweave.operators.lifecycle import STEPS
 
 
 def new_pages(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """Stored pages as they arrive, each file once; the batch size bounds the work in flight (STM2, STM3)."""
+    """Stored pages as they arrive, each file once; the batch size bounds the work in flight (STM2, STM3).
+
+    The path becomes a pattern, as a stream takes a table of a single file only by pattern.
+    """
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
@@ -33,13 +38,13 @@ def first_versions(pages: DataFrame, late: str = "7 days") -> DataFrame:
 
 def cooldowns(log: DataFrame, gap: str = "3 hours", late: str = "2 days") -> DataFrame:
     """Rate-limit sessions of each site; rows ingested late by more than ``late`` are ignored (STM5)."""
-    hits = log.where("http_status = 429 or error_type = 'rate_limited'").withWatermark("ts", late)
+    hits = log.where("http_status = 429 or error_type = 'rate_limited'").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return hits.groupBy("domain", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("domain", F.col("w.start").alias("began"), F.col("w.end").alias("until"), "n")
 
 
 def status_windows(log: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:
     """Fetches of each site and status in tumbling windows (an extension, not a counterpart)."""
-    return log.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "domain", "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("began"), "domain", "status", "n")
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "domain", "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("began"), "domain", "status", "n")
 
 
 def issue_states(events: DataFrame) -> DataFrame:
