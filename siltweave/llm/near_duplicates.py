@@ -12,7 +12,12 @@ sketches estimates their similarity; candidates far below the threshold are drop
 before any text moves, the others are verified exactly on their shingle sets.
 
 With BANDS bands of ROWS rows a pair of similarity s is missed with probability
-(1 - s**ROWS)**BANDS: 0.6 gives 3e-5, 0.65 gives 1e-6.
+(1 - s**ROWS)**BANDS: 0.6 gives 1.4e-4, 0.65 gives 3e-6. Pairs that only share site furniture
+(similarity 0.1) meet with probability 0.006, so candidates stay few in a large site.
+
+Texts with many shingles take all samples from one hash of each shingle (one permutation, split
+into bins; an empty bin borrows from a bin drawn by its number), short ones from one hash function
+a sample.
 
 There is no cap on bands, candidates or partners. A band shared by many representatives is
 joined with itself as a shuffle join, which AQE splits when it is skewed.
@@ -34,8 +39,10 @@ from pyspark.sql import functions as F
 from siltweave.llm.words import folded
 from siltweave.session import cut
 
-BANDS, ROWS, ODD_LONGS = 42, 3, 16
+BANDS, ROWS, ODD_LONGS = 64, 4, 16
 SAMPLES = BANDS * ROWS
+#: From this least length on all samples come from one permutation.
+BINNED_CHARS = 200
 #: Odd-sketch estimates this far below the threshold are not verified (over four standard errors).
 SLACK = 0.25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,47 +74,82 @@ def shingles(text: str, k: int) -> np.ndarray:
 _SEEDS = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _MIX)
 
 
-def samples(sh: np.ndarray) -> np.ndarray:
-    """SAMPLES MinHash samples of a non-empty shingle set."""
-    out = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(sh), 256):  # blocks that stay in the cache
-            x = (sh[a : a + 256, None] ^ _SEEDS) * _MIX
-            x ^= x >> np.uint64(32)
-            np.minimum(out, x.min(0), out=out)
+_EDGES = (np.arange(SAMPLES, dtype=np.float64) * (2.0**64 / SAMPLES)).astype(np.uint64)
+with np.errstate(over="ignore"):
+    #: Where an empty bin looks for a sample, in this order.
+    _DONORS = (_mixed(np.arange(SAMPLES * 24, dtype=np.uint64) * _MIX + np.uint64(7)) % np.uint64(SAMPLES)).astype(np.int64).reshape(SAMPLES, 24)
+
+
+def binned_samples(sh: np.ndarray) -> np.ndarray:
+    """SAMPLES MinHash samples of a sorted, non-empty shingle set from one permutation."""
+    at = np.searchsorted(sh, _EDGES)
+    filled = at < np.append(at[1:], len(sh))
+    value = sh[np.minimum(at, len(sh) - 1)]
+    empty = np.flatnonzero(~filled)
+    if len(empty):
+        tries = filled[_DONORS[empty]]
+        some = np.flatnonzero(filled)
+        donor = np.where(tries.any(1), _DONORS[empty, tries.argmax(1)], some[np.searchsorted(some, empty) % len(some)])
+        value[empty] = value[donor]
+    return value
+
+
+def samples(sets: list[np.ndarray]) -> np.ndarray:
+    """SAMPLES MinHash samples a row of non-empty shingle sets, one hash function a sample."""
+    out = np.empty((len(sets), SAMPLES), np.uint64)
+    a = 0
+    while a < len(sets):
+        b, n = a + 1, len(sets[a])
+        while b < len(sets) and n + len(sets[b]) <= 4096:  # blocks of a few megabytes
+            n += len(sets[b])
+            b += 1
+        low = np.full((b - a, SAMPLES), np.iinfo(np.uint64).max, np.uint64)
+        flat = np.concatenate(sets[a:b])
+        starts = np.cumsum([0, *map(len, sets[a : b - 1])])
+        with np.errstate(over="ignore"):
+            if b - a == 1:
+                for k in range(0, len(flat), 4096):
+                    x = (flat[k : k + 4096, None] ^ _SEEDS) * _MIX
+                    x ^= x >> np.uint64(32)
+                    np.minimum(low[0], x.min(0), out=low[0])
+            else:
+                x = (flat[:, None] ^ _SEEDS) * _MIX
+                x ^= x >> np.uint64(32)
+                low = np.minimum.reduceat(x, starts, axis=0)
+        out[a:b] = low
+        a = b
     return out
 
 
-def band_keys(sample: np.ndarray, salt: int) -> np.ndarray:
-    """One 64-bit key a band; ``salt`` keeps groups apart."""
-    rows = sample.reshape(BANDS, ROWS)
+def band_keys(sample: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each row of samples; the salts keep groups apart."""
+    rows = sample.reshape(len(sample), BANDS, ROWS)
     with np.errstate(over="ignore"):
-        h = (np.arange(BANDS, dtype=np.uint64) + np.uint64(salt)) * _MIX
+        h = (np.arange(BANDS, dtype=np.uint64) + salts.astype(np.uint64)[:, None]) * _MIX
         for r in range(ROWS):
-            h = _mixed(h ^ rows[:, r]) * np.uint64(0x100000001B3)
+            h = _mixed(h ^ rows[:, :, r]) * np.uint64(0x100000001B3)
     return _mixed(h).view(np.int64)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """ODD_LONGS words of a bitmap in which each (number, sample) pair flips a bit."""
+def odd_sketches(sample: np.ndarray) -> np.ndarray:
+    """For each row ODD_LONGS words of a bitmap in which each (number, sample) pair flips a bit."""
+    n, width = len(sample), 64 * ODD_LONGS
     with np.errstate(over="ignore"):
-        bit = _mixed(sample + np.arange(SAMPLES, dtype=np.uint64) * _MIX) % np.uint64(64 * ODD_LONGS)
-    parity = (np.bincount(bit.astype(np.int64), minlength=64 * ODD_LONGS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view(np.int64)
+        bit = (_mixed(sample + np.arange(SAMPLES, dtype=np.uint64) * _MIX) % np.uint64(width)).astype(np.int64)
+    parity = (np.bincount((bit + np.arange(n)[:, None] * width).ravel(), minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.int64).reshape(n, ODD_LONGS)
 
 
-def _sketches(k: int, min_chars: int):
+def _sketches(k: int, binned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, odds = [], []
-            for text, salt in zip(batch.column(1), batch.column(2).to_pylist()):
-                sh = shingles(folded(text.as_py()), k)
-                sample = samples(sh)
-                keys.append(band_keys(sample, salt & 0x7FFFFFFFFFFFFFFF))
-                odds.append(odd_sketch(sample))
-            n = len(keys)
-            cols = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * w, np.concatenate(x) if n else np.empty(0, np.int64)) for x, w in ((keys, BANDS), (odds, ODD_LONGS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rep", "bands", "odd"])
+        for big in batches:
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
+                sets = [shingles(folded(t.as_py()), k) for t in batch.column(1)]
+                sample = np.array([binned_samples(x) for x in sets]) if binned else samples(sets)
+                found = (band_keys(sample, np.array(batch.column(2).to_pylist(), np.int64)), odd_sketches(sample))
+                cols = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rep", "bands", "odd"])
 
     return run
 
@@ -158,10 +200,9 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, k: int, group: str
     firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
     members = cut(hashed.join(firsts, ["grp", "same"]).select("id", "rep").distinct())
     own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi").dropDuplicates(["id"])
-    sketched = cut(own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars), "rep long, bands array<long>, odd array<long>"))
-    cells = sketched.select("rep", F.posexplode("bands").alias("band", "key"))
-    a, b = cells.select(F.col("rep").alias("rep_a"), "band", "key"), cells.select(F.col("rep").alias("rep_b"), "band", "key")
-    pairs = a.join(b, ["band", "key"]).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    sketched = cut(own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>"))
+    cells = sketched.select("rep", F.explode("bands").alias("key"))  # a key tells its band
+    pairs = cells.withColumnRenamed("rep", "rep_a").join(cells.withColumnRenamed("rep", "rep_b"), "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
     odd = sketched.select("rep", "odd")
     pairs = pairs.join(odd.select(F.col("rep").alias("rep_a"), F.col("odd").alias("odd_a")), "rep_a").join(odd.select(F.col("rep").alias("rep_b"), F.col("odd").alias("odd_b")), "rep_b")
     near = pairs.where(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= threshold - SLACK).select("rep_a", "rep_b")

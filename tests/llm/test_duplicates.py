@@ -78,7 +78,7 @@ def test_odd_sketch_estimates(spark):
         b = a[cut:] + "z" * cut
         sa, sb = N.shingles(a, 8), N.shingles(b, 8)
         true = len(set(sa) & set(sb)) / len(set(sa) | set(sb))
-        rows.append((true, *([int(x) for x in N.odd_sketch(N.samples(s))] for s in (sa, sb))))
+        rows.append((true, *([int(x) for x in row] for row in N.odd_sketches(N.samples([sa, sb])))))
     df = spark.createDataFrame(rows, "s double, a array<long>, b array<long>")
     for r in df.select("s", N.odd_similarity(df.a, df.b).alias("e")).collect():
         assert abs(r["s"] - r["e"]) < 0.12
