@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltweave.functions import text
 from siltweave.io import table
 from siltweave.operators import markdown, media, wikitext
+from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 from siltweave.sources import readers
 
@@ -61,25 +62,18 @@ def video_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with u as (select domain, min(url) as url, row_number() over (order by domain) as n from manifest where url is not null group by domain), p as (select m.domain, m.url from manifest m where m.url is not null)
-select domain, count(distinct url) as n_urls from p group by domain""")
+select domain, count(distinct url) as n_urls from manifest where url is not null group by domain""")
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     """SRC8, SRC9, SET1: sitemaps of all sites written from the manifest and read back, URLs once.
 
     Each sitemap holds at most 1,000 URLs, as real ones are split too.
     """
-    m = table(spark, d, "manifest").where("url is not null").select("domain", "url", F.pmod(F.xxhash64("url"), F.lit(16)).alias("part"), "page_seq")
-    chunk = F.floor(F.row_number().over(_per("domain", "part")) / 1000)
-    xml = m.withColumn("chunk", chunk).groupBy("domain", "part", "chunk").agg(F.concat(F.lit("<urlset >"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc><![CDATA["), "url", F.lit("]]></loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    m = table(spark, d, "manifest").where("url is not null").select("domain", "url", "page_seq")
+    m = numbered(m, ["domain"], "page_seq", F.floor(F.col("page_seq") / 4096))
+    xml = m.withColumn("chunk", F.floor((F.col("rn") - 1) / 1000)).groupBy("domain", "chunk").agg(F.concat(F.lit("<urlset >"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc><![CDATA["), "url", F.lit("]]></loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
     return xml.where(readers.sitemap_kind("xml") == "urlset").select("domain", F.explode(readers.sitemap_locations("xml")).alias("url")).groupBy("domain").agg(F.count_distinct("url").alias("n_urls"))
 
 
-def _per(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("page_seq")
-
-
 @query()
 def media_matching(spark: SparkSession, d: str) -> DataFrame:
     """Titles of each site's pages matched to file names, each file at most once."""

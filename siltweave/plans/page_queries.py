@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltweave.functions import text, urls
 from siltweave.io import table
 from siltweave.operators import assign
+from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import first_n
 
@@ -197,7 +198,8 @@ def category_index(spark: SparkSession, d: str) -> DataFrame:
     c = m.select("domain", F.explode("categories").alias("category"), "title").distinct()
     f = m.groupBy("domain", "title").agg(F.min(F.concat(F.coalesce(F.expr("nullif(target_directory, '')"), F.lit("misc")), F.lit("/"), F.col("target_filename"))).alias("path"))
     lines = c.join(f, ["domain", "title"]).withColumn("line", F.concat(F.lit("- ["), "title", F.lit("](../"), urls.encode_parens("path"), F.lit(")")))
-    part = F.floor((F.row_number().over(Window.partitionBy("domain", "category").orderBy("title")) - 1) / 200).cast("int")
+    lines = numbered(lines, ["domain", "category"], "title", F.left("title", F.lit(2)))
+    part = F.floor((F.col("rn") - 1) / 200).cast("int")
     return lines.withColumn("part", part).groupBy("domain", "category", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
 
@@ -375,14 +377,24 @@ select url, max(failures) as longest, cast(max(least(power(2.5, failures) * 800,
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     """W2, W8, W9, STM4: longest run of failures of each page and the delay that exponential back-off had reached.
 
-    Ordering a page's attempts needs them in one task. Attempts are first cut down to their four key
-    columns, and a page's runs are bounded by its log, which is narrow; AQE splits what is left.
+    Few pages hold most rows, so no task may hold all attempts of a page: attempts are folded hour by
+    hour into leading, trailing and longest runs, and the hours of a page are folded in turn.
     """
-    log = table(spark, d, "fetch_log").select("url", "ts", "fetch_id", "status").distinct()
-    w = Window.partitionBy("url").orderBy("ts", "fetch_id").rowsBetween(Window.unboundedPreceding, -1)
-    runs = log.withColumn("run", F.coalesce(F.sum(F.when(F.col("status") == "success", 1).otherwise(0)).over(w), F.lit(0)))
-    failures = runs.groupBy("url", "run").agg(F.count_if(F.col("status") != "success").alias("failures"))
-    return failures.groupBy("url").agg(F.max("failures").alias("longest"), F.max(F.least(F.pow(F.lit(2.5), F.col("failures")) * 800, F.lit(60000.0))).alias("delay_ms"))
+    log = table(spark, d, "fetch_log").select("url", "ts", "fetch_id", (F.col("status") == "success").alias("ok")).distinct()
+    hours = log.groupBy("url", F.date_trunc("hour", "ts").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "fetch_id", "ok"))), lambda x: x["ok"]).alias("oks"))
+    zero = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(True).alias("all"))
+
+    def step(a, ok):
+        run = F.when(ok, 0).otherwise(a["run"] + 1)
+        return F.struct(F.when(a["all"] & ~ok, a["lead"] + 1).otherwise(a["lead"]).alias("lead"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["all"] & ~ok).alias("all"))
+
+    def join(a, h):
+        run = F.when(h["f"]["all"], a["run"] + h["f"]["run"]).otherwise(h["f"]["run"])
+        return F.struct(run.alias("run"), F.greatest(a["most"], a["run"] + h["f"]["lead"], h["f"]["most"]).alias("most"))
+
+    folded = hours.select("url", F.struct("hour", F.aggregate("oks", zero, step).alias("f")).alias("h"))
+    runs = folded.groupBy("url").agg(F.aggregate(F.array_sort(F.collect_list("h")), F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), join)["most"].cast("bigint").alias("longest"))
+    return runs.withColumn("delay_ms", F.least(F.pow(F.lit(2.5), F.col("longest")) * 800, F.lit(60000.0)))
 
 
 @query("""
@@ -391,9 +403,16 @@ h as (select domain, ts from t where hit = 1), g as (select domain, ts, case whe
 s as (select domain, ts, sum(fresh) over (partition by domain order by ts rows unbounded preceding) as k from g)
 select domain, min(ts) as began, max(ts) as last, count(*) as n from s group by domain, k""")
 def cooldown_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """STM5: rate-limit events of a site less than three hours apart, as sessions."""
+    """STM5: rate-limit events of a site less than three hours apart, as sessions.
+
+    Events of a minute are summed first, with their first and last time, which tells all gaps exactly;
+    what is ordered within a site is then at most one row a minute.
+    """
     hits = table(spark, d, "fetch_log").distinct().where("http_status = 429 or error_type = 'rate_limited'")
-    return hits.groupBy("domain", F.session_window("ts", "3 hours")).agg(F.min("ts").alias("began"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("session_window")
+    minutes = hits.groupBy("domain", F.date_trunc("minute", "ts").alias("minute")).agg(F.min("ts").alias("first"), F.max("ts").alias("final"), F.count("*").alias("k"))
+    w = Window.partitionBy("domain").orderBy("minute")
+    fresh = F.coalesce(F.col("first") - F.lag("final").over(w) >= F.expr("interval 3 hours"), F.lit(True)).cast("int")
+    return minutes.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w)).groupBy("domain", "session").agg(F.min("first").alias("began"), F.max("final").alias("last"), F.sum("k").alias("n")).drop("session")
 
 
 @query("""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltweave.functions import tables, text, urls
 from siltweave.io import table
 from siltweave.operators import markdown
+from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import links
 from siltweave.sources import sinks
@@ -45,15 +46,11 @@ select page_seq, lpad(cast(row_number() over (partition by domain order by page_
 def page_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """W10, SRC21: file names numbered in a site's visit order.
 
-    A global order within a site is one running number, so it is made from counts of id ranges and
-    ranks inside a range: no task holds a whole site.
+    No task holds a whole site: rows are numbered in id ranges, which counts shift.
     """
-    m = table(spark, d, "manifest").select("page_seq", "domain", "target_filename", F.floor(F.col("page_seq") / 4096).alias("range"))
-    counts = m.groupBy("domain", "range").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("domain").orderBy("range")) - F.col("n")).select(F.col("domain").alias("of"), F.col("range").alias("at"), "before")
-    ranked = m.withColumn("r", F.row_number().over(Window.partitionBy("domain", "range").orderBy("page_seq")))
-    j = ranked.join(before, F.col("domain").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-    return j.select("page_seq", F.concat(F.lpad((F.col("r") + F.col("before")).cast("string"), 6, "0"), F.lit("-"), "target_filename").alias("file"))
+    m = table(spark, d, "manifest").select("page_seq", "domain", "target_filename")
+    out = numbered(m, ["domain"], "page_seq", F.floor(F.col("page_seq") / 4096))
+    return out.select("page_seq", F.concat(F.lpad(F.col("rn").cast("string"), 6, "0"), F.lit("-"), "target_filename").alias("file"))
 
 
 @query("""

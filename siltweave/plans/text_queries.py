@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltweave.functions import text, urls
 from siltweave.io import table
 from siltweave.operators import crawl, quality
+from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 
 
@@ -178,7 +179,8 @@ def merged_documents(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "results").where("status = 'ok' and length(content) > 0")
     latest = r.groupBy("domain", "title").agg(F.max_by(F.left("content", F.lit(200)), F.struct("converted_at", "result_id")).alias("head"))
     rows = latest.select("domain", "title", F.concat(F.lit("## "), "title", F.lit("\n\n"), "head").alias("section"), F.concat(F.lit("- ["), "title", F.lit("](#"), text.anchor("title"), F.lit(")")).alias("toc"))
-    part = F.floor((F.row_number().over(Window.partitionBy("domain").orderBy("title")) - 1) / 100).cast("int")
+    rows = numbered(rows, ["domain"], "title", F.left("title", F.lit(2)))
+    part = F.floor((F.col("rn") - 1) / 100).cast("int")
     listed = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", c))), lambda x: x[c]), sep)
     return rows.withColumn("part", part).groupBy("domain", "part").agg(listed("toc", "\n").alias("toc"), listed("section", "\n\n---\n\n").alias("body"))
 

@@ -126,3 +126,12 @@ def test_streams(spark, tmp_path):
     q = pipelines.convert_incrementally(stream, lambda b: b.groupBy("domain").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_numbered(spark):
+    from siltweave.operators.ranks import numbered
+
+    rows = [(g, i) for g in ("a", None) for i in range(0, 500, 7)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    got = {(r["g"], r["i"]): r["rn"] for r in numbered(df, ["g"], "i", F.floor(F.col("i") / 50)).collect()}
+    assert got == {(g, i): i // 7 + 1 for g, i in rows}
