@@ -82,8 +82,8 @@ def _patterns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    results, patterns = _patterns(spark, d)
-    return repeated_lines.occurrences(results, patterns, "result_id", "domain", "content").select(F.col("doc").alias("result_id"), "line_no").distinct()
+    patterns, sequences = repeated_lines.mine(table(spark, d, "results"), "result_id", "domain", "content")
+    return repeated_lines.marked(sequences, patterns).select(F.col("doc").alias("result_id"), "line_no").distinct()
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
