@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.functions.dom import Element, compiled, matches, parse
+from siltweave.session import spread
 
 MAX_COLUMNS = 200
 _BLOCKS = frozenset("p div section article main aside header footer nav ul ol dl dt dd table blockquote pre hr h1 h2 h3 h4 h5 h6 figure center form".split())
@@ -369,7 +370,7 @@ def to_markdown(pages: DataFrame, page_id: str, html: str, rules: Rules = Rules(
                 cols = [[[{"label": a, "value": b} for a, b in r["infobox"]] if n == "infobox" else r[n] for r in rows] for n in names[1:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types[1:]))], names)
 
-    return pages.where(F.col(html).isNotNull()).select(F.col(page_id).cast("long"), html).mapInArrow(run, _SCHEMA)
+    return spread(pages.where(F.col(html).isNotNull()).select(F.col(page_id).cast("long"), html)).mapInArrow(run, _SCHEMA)
 
 
 def cards(html: str | None) -> list[dict]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltweave.session import spread
+
 PLACEHOLDER = "<!-- DPL_TABLE_PLACEHOLDER -->"
 
 
@@ -194,4 +196,4 @@ def to_markdown(pages: DataFrame, page_id: str, wikitext: str, title: str, field
             rows = [convert(t.as_py(), n or "", fields=fields, forms=forms) for t, n in zip(batch.column(1), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([list(r[k].items()) if k == 2 else r[k] for r in rows], types[k + 1]) for k in range(3))], ["id", "markdown", "warnings", "frontmatter"])
 
-    return pages.where(F.col(wikitext).isNotNull()).select(F.col(page_id).cast("long"), wikitext, title).mapInArrow(run, "id long, markdown string, warnings array<string>, frontmatter map<string,string>")
+    return spread(pages.where(F.col(wikitext).isNotNull()).select(F.col(page_id).cast("long"), wikitext, title)).mapInArrow(run, "id long, markdown string, warnings array<string>, frontmatter map<string,string>")

@@ -55,3 +55,13 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least a partition for each core, for Python passes over a few small files.
+
+    A table of many files or row groups already has more partitions and is left alone, so nothing
+    is shuffled where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
