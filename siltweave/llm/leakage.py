@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.llm.words import HAN, WORD
+from siltweave.session import spread
 
 #: Words in a row that make a match, and those needed when one of the first RUN is a Chinese character.
 RUN, RUN_HAN = 12, 20
@@ -149,7 +150,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                         shard, size = [], 0
             yield out(shard)
 
-        part = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(find, _SCHEMA)
+        part = spread(docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(find, _SCHEMA)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], _SCHEMA)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from siltweave.llm.html_blocks import Block, Node, read
 from siltweave.llm.labelled_pages import MARK, pages
 from siltweave.llm.words import HAN
+from siltweave.session import spread
 
 BLOCK_CHARS = 40
 _KINDS = {"heading": 0, "p": 1, "li": 2, "quote": 3, "pre": 4, "cell": 5, "caption": 6, "control": 7, "formula": 8}
@@ -199,4 +200,4 @@ def article_blocks(pages: DataFrame, html: str, keys: list[str], chars: int | No
             take = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(len(keys))), pa.array(texts, pa.string())], [*keys, "block"])
 
-    return pages.where(F.col(html).isNotNull()).select(*keys, html).mapInArrow(run, schema.add("block", "string"))
+    return spread(pages.where(F.col(html).isNotNull()).select(*keys, html)).mapInArrow(run, schema.add("block", "string"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.llm.words import folded
-from siltweave.session import cut
+from siltweave.session import cut, spread
 
 BANDS, ROWS, ODD_LONGS = 64, 4, 16
 SAMPLES = BANDS * ROWS
@@ -196,7 +196,7 @@ def near_duplicates(df: DataFrame, record_id: str, text: str, k: int, group: str
     ``members`` (id, rep) of every record that takes part; copies share a representative."""
     grp = F.lit(0).cast("long") if group is None else F.xxhash64(F.lit("g"), group)
     base = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull()).select(F.col(record_id).cast("long").alias("id"), grp.alias("grp"), F.col(text).alias("text"))
-    hashed = cut(base.mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary"))
+    hashed = cut(spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary"))
     firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
     members = cut(hashed.join(firsts, ["grp", "same"]).select("id", "rep").distinct())
     own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi").dropDuplicates(["id"])

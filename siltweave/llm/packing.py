@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltweave.session import cut
+from siltweave.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The usual word splitting of byte-level BPE (fixed value).
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             n = [len(encode(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def buckets(lengths: np.ndarray, counts: np.ndarray, capacities: list[int]) -> list[tuple[int, int, int]]:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltweave.session import spread
+
 MAX_RATED = 4000
 LEVELS = 5
 MIDDLE = (1 + LEVELS) / 2
@@ -144,4 +146,4 @@ def levels(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, rated
             out = [level_of(t.as_py(), model) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["doc_id", "level"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, level int")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rate, "doc_id long, level int")
