@@ -2,7 +2,8 @@
 
 Browsers' habits that matter for text are kept: raw elements hold no markup, a block start ends
 an open paragraph, an item ends the item before it, stray end tags are ignored, and what is never
-shown (scripts, styles, noscript, comments) is skipped.
+shown (scripts, styles, noscript, comments) is skipped. Only a caller that asks for notices gets the
+text of noscript elements, as blocks of their own.
 """
 
 from __future__ import annotations
@@ -45,10 +46,11 @@ class Block:
         self.kind, self.node, self.tag, self.parts, self.linked, self.text = kind, node, tag, [], 0, ""
 
 
-def read(html: str | None, formulas: bool = False) -> tuple[list[Node], list[Block]]:
+def read(html: str | None, formulas: bool = False, notices: bool = False) -> tuple[list[Node], list[Block]]:
     """Containers and non-empty blocks of a page in document order.
 
-    With ``formulas`` elements of class ``math`` or ``tex`` become blocks of kind ``formula``.
+    With ``formulas`` elements of class ``math`` or ``tex`` become blocks of kind ``formula``, with
+    ``notices`` noscript elements blocks of kind ``notice``.
     """
     nodes = [Node(0, -1, "body", "", 0)]
     blocks: list[Block] = []
@@ -82,6 +84,9 @@ def read(html: str | None, formulas: bool = False) -> tuple[list[Node], list[Blo
         here = m.end()
         tag = m[3]
         if tag is None:
+            if notices and m[1] and m[1].lower() == "noscript":
+                blocks.append(Block("notice", node, "noscript"))
+                blocks[-1].parts.append(unescape(_TAG.sub(" ", m[0][m[0].index(">") + 1 :])))
             continue
         tag = tag.lower()
         if tag not in _BLOCK:

@@ -10,7 +10,8 @@ Three findings, each on the article text only (of a web page: the blocks that
 * ``filler``: a paragraph most of whose sentences only fill space.
 * ``error``: a record with an error, refusal, waiting or missing-page message or a demand to allow
   scripts, and without a single article paragraph (one of several sentences, or a long one).
-  Quoted messages and notices beside an article do not count.
+  Quoted messages and notices beside an article do not count; a noscript notice counts only where
+  the page shows no article text and no table.
 
 All of it is one Arrow pass a table without a shuffle.
 
@@ -268,13 +269,19 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
     if not html:
         return []
     cut = _CODE_HTML.sub(" ", html) if "<code" in html or "<pre" in html or "math" in html else html
-    texts = [(b.text, b.kind == "heading") for b in read(cut)[1] if b.kind not in ("cell", "control")]
-    found = findings(texts, cut is not html)
-    if fragment:
-        return found
-    if not found and not any(len(t) <= 400 and is_message(t) for t, _ in texts):
-        return []  # nothing to be found in any part of the page
-    return findings([(b.text, b.kind == "heading") for b in article(cut, model)], cut is not html)
+    blocks = read(cut, notices=True)[1]
+    texts = [(b.text, b.kind == "heading") for b in blocks if b.kind not in ("cell", "control", "notice")]
+    asked = any(b.kind == "notice" and is_message(b.text) for b in blocks)
+    found, prose = findings(texts, cut is not html), any(article_weight(t) for t, heading in texts if not heading)
+    if not fragment:
+        if not found and not asked and not any(len(t) <= 400 and is_message(t) for t, _ in texts):
+            return []  # nothing to be found in any part of the page
+        texts = [(b.text, b.kind == "heading") for b in article(cut, model)]
+        found = findings(texts, cut is not html)
+    # a heading of the article counts as one where any paragraph of the page could stand below it
+    if asked and "error" not in found and all(heading and not prose for _, heading in texts) and not any(b.kind == "cell" for b in blocks):
+        found.append("error")
+    return found
 
 
 def residues(df: DataFrame, record_id: str, text: str, html: bool = False, fragment: str | None = None) -> DataFrame:

@@ -54,6 +54,18 @@ def test_page_with_noscript():
     assert R.of_html("<body><main><h1>Not Found</h1><p>Nothing lives at this address any more.</p></main><footer><p>© 2020 A. All rights.</p></footer></body>", tree(), False) == ["error"]
 
 
+@pytest.mark.parametrize("notice", ["You need to enable JavaScript to run this app.", "<p>This site requires <b>scripts</b>.</p><p>Turn them on in your browser settings and reload.</p>", "需要允许运行脚本才能继续浏览。"])
+def test_script_shell(notice):
+    notice, nav = f"<noscript>{notice}</noscript>", "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    assert R.of_html(f"<html><head><title>T</title></head><body>{notice}<div id=app></div></body></html>", tree(), False) == ["error"]
+    assert R.of_html(f"<body>{notice}{nav}<div id=app></div></body>", tree(), False) == ["error"]
+    assert R.of_html(f"<body>{notice}<main><h1>T</h1></main></body>", tree(), False) == ["error"]
+    assert R.of_html(f"<p>{notice}</p>", tree(), True) == ["error"]
+    assert R.of_html(f"<body>{notice}<main><h1>T</h1><p>The cat sleeps on the mat.</p></main></body>", tree(), False) == []
+    assert R.of_html(f"<body>{notice}<main><table><tr><td>HP<td>12</table></main></body>", tree(), False) == []
+    assert R.of_html("<body><noscript><img src=x.gif></noscript><div id=app></div></body>", tree(), False) == []
+
+
 def test_frame(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "{{ a.b }} " + ARTICLE, "x"), (3, "{{ a.b }} " + ARTICLE, "x"), (4, ARTICLE * 3000 + "%%END%%", "x"), (None, "Bad Gateway", "y")]
     df = spark.createDataFrame(rows, "id long, t string, rec_id string")
