@@ -45,6 +45,10 @@ class Block:
     def __init__(self, kind: str, node: int, tag: str):
         self.kind, self.node, self.tag, self.parts, self.linked, self.text = kind, node, tag, [], 0, ""
 
+    def whole(self) -> str:
+        """The text, that of code with its line breaks and indentation."""
+        return "".join(self.parts).strip("\n").rstrip() if self.kind == "pre" else self.text
+
 
 def read(html: str | None, formulas: bool = False, notices: bool = False) -> tuple[list[Node], list[Block]]:
     """Containers and non-empty blocks of a page in document order.

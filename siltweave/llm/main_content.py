@@ -185,7 +185,7 @@ def article(html: str | None, model: tuple) -> list[Block]:
 
 
 def article_blocks(pages: DataFrame, html: str, keys: list[str], chars: int | None = BLOCK_CHARS) -> DataFrame:
-    """``keys`` and one distinct ``block`` a row: the article's blocks, cut to ``chars`` characters."""
+    """``keys`` and one distinct ``block`` a row: the article's blocks, cut to ``chars`` characters, or in full."""
     shared = pages.sparkSession.sparkContext.broadcast(tree())
     schema = pages.select(*keys).schema
 
@@ -194,7 +194,7 @@ def article_blocks(pages: DataFrame, html: str, keys: list[str], chars: int | No
         for batch in batches:
             rows, texts = [], []
             for k, page in enumerate(batch.column(len(keys))):
-                found = dict.fromkeys((b.text if chars is None else b.text[:chars].rstrip()) for b in article(page.as_py(), model))
+                found = dict.fromkeys((b.whole() if chars is None else b.text[:chars].rstrip()) for b in article(page.as_py(), model))
                 texts += found
                 rows += [k] * len(found)
             take = pa.array(rows, pa.int32())

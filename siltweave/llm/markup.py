@@ -105,12 +105,12 @@ def _clean(text: str, held: list[tuple[str, str]], wiki: bool) -> str:
     return " ".join(text.split())
 
 
-def _without_templates(text: str) -> str:
-    """Text without balanced {{templates}} and {|tables|}; an unclosed one stays."""
-    if "{{" not in text and "{|" not in text:
+def _without_templates(text: str, tables: bool = False) -> str:
+    """Text without balanced {{templates}} and, unless ``tables`` are kept, {|tables|}; an unclosed one stays."""
+    if "{{" not in text and (tables or "{|" not in text):
         return text
     spans, open_ = [], []
-    for m in re.finditer(r"\{\{+|\}\}+|^[ \t:]*\{\||^[ \t]*\|\}", text, re.M):
+    for m in re.finditer(r"\{\{+|\}\}+" if tables else r"\{\{+|\}\}+|^[ \t:]*\{\||^[ \t]*\|\}", text, re.M):
         mark = m[0].strip(" \t:")
         if mark == "{|" or mark == "|}":
             if mark == "{|":
@@ -135,17 +135,36 @@ def _without_templates(text: str) -> str:
     return "".join(out)
 
 
-def segments(text: str | None, wiki: bool = False) -> list[tuple[str, str, float]]:
+_CELL_END = re.compile(r"(?<!\\)\|\|?")
+_WIKI_CELL_END = re.compile(r"\|\||!!")
+_CELL_STYLE = re.compile(r"^\s*(?:[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|\"']+)\s*)+\|")
+_DEEP = re.compile(r"^(?: {4}|\t)", re.M)
+
+
+def _row(value: str, wiki: bool) -> str:
+    """The cells of a clean table row, or nothing if it only rules lines."""
+    if wiki:
+        cells = [_CELL_STYLE.sub("", c) for c in _WIKI_CELL_END.split(value.lstrip("|!+"))]
+    else:
+        cells = _CELL_END.split(value.strip("| "))
+    return " | ".join(c.strip() for c in cells) if any(map(str.isalnum, value)) else ""
+
+
+def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[tuple[str, str, float]]:
     """(kind, text, cost of keeping) of a document's lines, code and formulas in order.
 
-    Kinds are the four elements, ``text`` for running text and ``residue`` for pure markup.
+    Kinds are the four elements, ``text`` for running text and ``residue`` for pure markup. With
+    ``whole`` code keeps its line breaks and indentation, and table rows are text.
     """
     if not text:
         return []
     held: list[tuple[str, str]] = []
 
     def hold(kind: str, value: str) -> str:
-        held.append((kind, " ".join(value.split())))
+        if whole and kind == "code":
+            held.append((kind, _HELD.sub(lambda m: held[int(m[1])][1], value).strip("\n").rstrip()))
+        else:
+            held.append((kind, " ".join(value.split())))
         mark = f"\x00{len(held) - 1}\x01"
         return f"\n{mark}\n" if kind == "code" else mark
 
@@ -171,7 +190,7 @@ def segments(text: str | None, wiki: bool = False) -> list[tuple[str, str, float
     if "`" in text or "~~~" in text or "<" in text:
         text = _HIDDEN.sub(hide, text)
     if wiki:
-        text = _without_templates(_FILE.sub("", text))
+        text = _without_templates(_FILE.sub("", text), whole)
     else:
         if "\n    " in text or "\n\t" in text or text[:1] in " \t":
             text = _indented(text, hold)
@@ -195,7 +214,7 @@ def segments(text: str | None, wiki: bool = False) -> list[tuple[str, str, float
                 out.append(("formula", held[int(m[1])][1], 0.0))
 
     lines = text.split("\n")
-    k, table = 0, False
+    k, tables = 0, 0
     while k < len(lines):
         line = lines[k]
         k += 1
@@ -208,6 +227,15 @@ def segments(text: str | None, wiki: bool = False) -> list[tuple[str, str, float
             if value:
                 out.append((kind, _unfenced(value) if kind == "formula" else value, 0.0))
             continue
+        if whole and wiki and bare.lstrip(": ").startswith("{|"):
+            tables += 1
+            out.append(("residue", bare, 4.0))
+            continue
+        if whole and bare[0] in ("|!" if tables else "" if wiki else "|"):
+            tables -= bool(tables) and bare.startswith("|}")
+            row = "" if bare.startswith(("|}", "|-")) and wiki else _row(_clean(bare, held, wiki), wiki)
+            out.append(("text", row, 0.0) if row else ("residue", bare, 4.0))
+            continue
         if wiki:
             if (m := _WIKI_HEAD.match(line)) and m[1] and len(m[1]) == len(m[3]) or (m := _WIKI_HEAD.match(line)):
                 add("heading", m[2])
@@ -261,7 +289,7 @@ def _indented(text: str, hold) -> str:
             code.append("")
             continue
         if code:
-            out += [hold("code", "\n".join(code)), ""]
+            out += [hold("code", _DEEP.sub("", "\n".join(code))), ""]
             code = []
         if not line.strip():
             blank = True
@@ -270,7 +298,7 @@ def _indented(text: str, hold) -> str:
             blank = False
         out.append(line)
     if code:
-        out.append(hold("code", "\n".join(code)))
+        out.append(hold("code", _DEEP.sub("", "\n".join(code))))
     return "\n".join(out)
 
 
@@ -316,25 +344,35 @@ def kept(parts: list[tuple[str, str, float]], parents: list[int] | None = None)
 _FROM_HTML = {"heading": "heading", "li": "list_item", "pre": "code", "formula": "formula", "p": "text", "quote": "text", "caption": "text", "cell": "residue", "control": "residue"}
 
 
-def html_segments(html: str | None) -> tuple[list[tuple[str, str, float]], list[int]]:
-    """Segments of an HTML fragment and the container of each."""
-    _, blocks = read(html, formulas=True)
+def html_segments(html: str | None, whole: bool = False) -> tuple[list[tuple[str, str, float]], list[int]]:
+    """Segments of an HTML fragment and the container of each; ``whole`` as in :func:`segments`."""
+    nodes, blocks = read(html, formulas=True)
     parts, parents = [], []
+    row, at = -1, -1  # the row and the cell of the last block
     for b in blocks:
         kind = _FROM_HTML[b.kind]
-        text = _unfenced(b.text) if kind == "formula" else b.text
+        text = _unfenced(b.text) if kind == "formula" else b.whole() if whole else b.text
         if text:
             density = b.linked / max(1, len(b.text))
-            parts.append((kind, text, 4.0 if kind == "residue" else 0.3 * density if kind in ("text", "list_item") else 0.0))
-            parents.append(b.node)
+            last, cell = row, nodes[b.node]
+            row = cell.parent if whole and b.kind == "cell" and cell.tag in ("td", "th") else -1
+            if whole and b.kind == "cell":
+                kind = "text"
+            if row >= 0 and row == last:
+                k, t, cost = parts[-1]
+                parts[-1] = (k, t + (" " if b.node == at else " | ") + text, min(cost, 0.3 * density))
+            else:
+                parts.append((kind, text, 4.0 if kind == "residue" else 0.3 * density if kind in ("text", "list_item") else 0.0))
+                parents.append(b.node)
+            at = b.node
     return parts, parents
 
 
-def content_of(text: str | None, notation: str) -> list[tuple[str, str]]:
+def content_of(text: str | None, notation: str, whole: bool = False) -> list[tuple[str, str]]:
     """(kind, text) of the content segments of a document in ``wikitext``, ``html`` or ``content``."""
     if notation == "html":
-        return kept(*html_segments(text))
-    return kept(segments(text, notation == "wikitext"))
+        return kept(*html_segments(text, whole))
+    return kept(segments(text, notation == "wikitext", whole))
 
 
 def clean_text(parts: list[tuple[str, str]]) -> str:
@@ -343,14 +381,14 @@ def clean_text(parts: list[tuple[str, str]]) -> str:
     return "\n".join(form[k] % t if k in form else t for k, t in parts)
 
 
-def _mapped(df: DataFrame, record_id: str, text: str, notation: str, rows_of, fields: list[tuple[str, str]]) -> DataFrame:
+def _mapped(df: DataFrame, record_id: str, text: str, notation: str, rows_of, fields: list[tuple[str, str]], whole: bool = False) -> DataFrame:
     names = ["rec_id", *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cols = [], [[] for _ in fields]
             for k, value in enumerate(batch.column(1)):
-                for row in rows_of(content_of(value.as_py(), notation)):
+                for row in rows_of(content_of(value.as_py(), notation, whole)):
                     at.append(k)
                     for c, v in zip(cols, row):
                         c.append(v)
@@ -365,5 +403,5 @@ def elements(df: DataFrame, record_id: str, text: str, notation: str) -> DataFra
 
 
 def cleaned(df: DataFrame, record_id: str, text: str, notation: str) -> DataFrame:
-    """(rec_id, text): each document as clean text."""
-    return _mapped(df, record_id, text, notation, lambda parts: [(clean_text(parts),)], [("text", "string")])
+    """(rec_id, text): each document as clean text, with its code as it stands and its table rows."""
+    return _mapped(df, record_id, text, notation, lambda parts: [(clean_text(parts),)], [("text", "string")], whole=True)

@@ -55,3 +55,10 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, page, "x"), (1, page, "x"), (2, None, "x"), (3, "", "x"), (4, f"<body><main>{f'<p>{TEXT}' * 3000}", "x")], "id long, h string, block string")
     got = sorted(map(tuple, M.article_blocks(df, "h", ["id"]).collect()))
     assert got == sorted([(1, "A"), (1, TEXT[:40].rstrip())] * 2 + [(4, TEXT[:40].rstrip())])
+
+
+def test_code_in_full(spark):
+    text = "The miller takes the long road to the mill every day. In winter he walks it twice, and the dog comes along. "
+    page = f"<body><main><h1>T</h1><p>{text * 3}</p><pre>if x:\n    y = 1\n</pre><p>{text * 3}</p></main></body>"
+    df = spark.createDataFrame([(1, page)], "id long, html string")
+    assert "if x:\n    y = 1" in [r.block for r in M.article_blocks(df, "html", ["id"], None).collect()]

@@ -64,6 +64,22 @@ def test_clean_text():
     assert K.clean_text(K.content_of("# A\n\ntext *b*\n\n- c", "content")) == "# A\ntext b\n- c"
 
 
+@pytest.mark.parametrize(
+    "notation,text,want",
+    [
+        ("content", "a b\n\n```py\nif x:\n    y  = 1\n```\n\nc d", "a b\n```\nif x:\n    y  = 1\n```\nc d"),
+        ("content", "a b\n\n    if x:\n        y\n\nc d", "a b\n```\nif x:\n    y\n```\nc d"),
+        ("content", "a b\n\n| N | [l](x) |\n|---|:-:|\n| **u** | 3 |\n\nc d", "a b\nN | l\nu | 3\nc d"),
+        ("wikitext", "a b\n<pre>\nif x:\n  y &lt; 1\n</pre>\nc d", "a b\n```\nif x:\n  y < 1\n```\nc d"),
+        ("wikitext", "{{Box\n| n = x\n}}\na b\n{| class=\"w\"\n|+ Cap\n! A !! B\n|-\n| style=\"x\" | [[p|q]] || 2\n|}\nc d", "a b\nCap\nA | B\nq | 2\nc d"),
+        ("html", "<p>a b</p><pre>if x:\n    y</pre><table><tr><th>A<th>B</tr><tr><td>u<td>2</td></tr></table><p>c d</p>", "a b\n```\nif x:\n    y\n```\nA | B\nu | 2\nc d"),
+    ],
+)
+def test_clean_whole(spark, notation, text, want):
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    assert K.cleaned(df, "id", "t", notation).collect()[0].text == want
+
+
 def energy(costs, edges, x):
     return sum(c[0] if k else c[1] for c, k in zip(costs, x)) + sum(w for i, j, w in edges if x[i] != x[j])
 
