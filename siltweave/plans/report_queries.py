@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltweave.functions import tables, text, urls
@@ -113,12 +113,29 @@ def table_separators(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "results").where("content is not null").select("result_id", F.size(heads).cast("bigint").alias("n_heads"), F.size(missing).cast("bigint").alias("n_missing")).where("n_heads > 0")
 
 
+def _first_number() -> Column:
+    return F.coalesce(F.expr(r"try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as int)"), F.lit(999))
+
+
 @query("""
 select result_id, title, coalesce(try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as integer), 999) as number from results where content is not null order by number, result_id limit 40""")
 def numbered_order(spark: SparkSession, d: str) -> DataFrame:
-    """SRT3, SRT5, SRT6: texts by their first number, those without one last (a top-k report)."""
-    number = F.coalesce(F.expr(r"try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as int)"), F.lit(999))
-    return table(spark, d, "results").where("content is not null").select("result_id", "title", number.alias("number")).orderBy("number", "result_id").limit(40)
+    """SRT3: the first 40 rows of :func:`numbered_rows`, as its SQL has it."""
+    return table(spark, d, "results").where("content is not null").select("result_id", "title", _first_number().alias("number")).orderBy("number", "result_id").limit(40)
+
+
+@query("""
+with n as (select result_id, title, coalesce(try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as integer), 999) as number from results where content is not null)
+select *, row_number() over (order by number, result_id nulls first, title nulls first) as position from n""")
+def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SRT3, SRT5, SRT6: every text with its place in the order of first numbers, those without one last.
+
+    No task holds all rows: they are numbered by number, those of 999 by id ranges, and shifted by counts.
+    """
+    rows = table(spark, d, "results").where("content is not null").select("result_id", "title", _first_number().alias("number"))
+    ranges = F.when(F.col("number") == 999, F.floor(F.col("result_id") / 4096)).otherwise(F.lit(0))
+    rows = rows.withColumn("place", F.struct("number", "result_id", "title"))
+    return numbered(rows, [], "place", F.struct("number", ranges.alias("range")), "position").drop("place")
 
 
 @query()

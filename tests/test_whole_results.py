@@ -9,3 +9,10 @@ def test_merged_texts(spark, data):
     parts = catalog.QUERIES["merged_texts"](spark, data).collect()
     joints = sum(7 * (len(p.toc.split("\n")) - 1) for p in parts)
     assert sum(len(p.body) for p in parts) - joints == want
+
+
+def test_numbered_rows(spark, data):
+    rows = catalog.QUERIES["numbered_rows"](spark, data).orderBy("position").collect()
+    n = database(data).sql("select count(*) from results where content is not null").fetchall()[0][0]
+    assert n > 40 and [r.position for r in rows] == list(range(1, n + 1))
+    assert [r.number for r in rows] == sorted(r.number for r in rows)
