@@ -1,10 +1,13 @@
 """Problem 2: clean text, with its headings, list items, code and formulas, from marked-up documents.
 
 A document (wikitext, an HTML fragment, or converted text in which Markdown, HTML, wiki and LaTeX
-mix) is read into segments: one a line or DOM block, code and formulas being segments of their
-own. Segments are then labelled content or residue by a minimum cut: a linear classifier's costs
-are the terminal capacities, and neighbouring lines, and blocks that share a DOM parent, are tied
-by smoothness edges. Content segments give the clean text and the elements.
+mix) is read into segments by form alone: one a line or DOM block, code and formulas being segments of
+their own, and also the lines of templates, rows of tables, frames of lists, rules and page links. They are then
+labelled content or residue by a minimum cut. A linear classifier, fitted on the labelled table of
+:mod:`siltweave.llm.labelled_segments`, gives each segment its costs, which are the terminal capacities;
+smoothness edges tie neighbouring segments, the more the nearer they hang in the DOM (in wikitext and
+converted text: in the same template, table, list or section), and the segments of one construct. Content
+segments give the clean text and the elements.
 
 Everything happens in one Arrow pass without a shuffle.
 
@@ -17,14 +20,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from math import exp, log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltweave.llm import labelled_segments
 from siltweave.llm.html_blocks import read
+from siltweave.llm.labelled_lines import leaning, weights
 from siltweave.llm.mincut import label
+from siltweave.llm.words import HAN
 from siltweave.session import spread
 
 ELEMENTS = ("heading", "list_item", "code", "formula")
@@ -105,20 +114,27 @@ def _clean(text: str, held: list[tuple[str, str]], wiki: bool) -> str:
     return " ".join(text.split())
 
 
-def _without_templates(text: str, tables: bool = False) -> str:
-    """Text without balanced {{templates}} and, unless ``tables`` are kept, {|tables|}; an unclosed one stays."""
-    if "{{" not in text and (tables or "{|" not in text):
+_WIKI_MARK = re.compile(r"\{\{+|\}\}+|^[ \t:]*\{\||^[ \t]*\|\}", re.M)
+_LINE = "\x02%s\x03"
+_OF_LINE = re.compile("\x02([TB])(\\d+)\x03")
+
+
+def _constructs(text: str) -> str:
+    """Wikitext without the balanced {{templates}} that stand within a line; each line of one that has
+    lines of its own, and of a {|table|}, begins with a note of its kind (T, B) and number. What is not
+    closed stays as it is."""
+    if "{{" not in text and "{|" not in text:
         return text
     spans, open_ = [], []
-    for m in re.finditer(r"\{\{+|\}\}+" if tables else r"\{\{+|\}\}+|^[ \t:]*\{\||^[ \t]*\|\}", text, re.M):
+    for m in _WIKI_MARK.finditer(text):
         mark = m[0].strip(" \t:")
-        if mark == "{|" or mark == "|}":
-            if mark == "{|":
-                open_.append(("|", m.start()))
-            elif open_ and open_[-1][0] == "|":
+        if mark == "{|":
+            open_.append(("|", m.start()))
+        elif mark == "|}":
+            if open_ and open_[-1][0] == "|":
                 _, at = open_.pop()
                 if not open_:
-                    spans.append((at, m.end()))
+                    spans.append(("B", at, m.end()))
         elif mark[0] == "{":
             open_ += [("{", m.start() + 2 * k) for k in range(len(mark) // 2)]
         else:
@@ -126,15 +142,29 @@ def _without_templates(text: str, tables: bool = False) -> str:
                 if open_ and open_[-1][0] == "{":
                     _, at = open_.pop()
                     if not open_:
-                        spans.append((at, m.end()))
+                        spans.append(("T", at, m.end()))
     out, here = [], 0
-    for a, b in spans:
+    for n, (kind, a, b) in enumerate(spans):
         out.append(text[here:a])
+        inner, alone = text[a:b], text[text.rfind("\n", 0, a) + 1 : a].strip(" \t:") == "" and (b == len(text) or text[b] == "\n")
+        if alone or kind == "B":
+            if kind == "B":
+                inner = _without_templates(inner)
+            out.append("\n".join(_LINE % f"{kind}{n}" + line for line in inner.split("\n")))
         here = b
     out.append(text[here:])
     return "".join(out)
 
 
+def _without_templates(text: str) -> str:
+    new = text
+    while "{{" in text and (new := _FLAT.sub("", text)) != text:
+        text = new
+    return text
+
+
+_FLAT = re.compile(r"\{\{[^{}]*\}\}")
+_FIELD = re.compile(r"^\|\s*([^|=\n]{1,60}?)\s*=\s*(.*)$")
 _CELL_END = re.compile(r"(?<!\\)\|\|?")
 _WIKI_CELL_END = re.compile(r"\|\||!!")
 _CELL_STYLE = re.compile(r"^\s*(?:[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|\"']+)\s*)+\|")
@@ -150,11 +180,14 @@ def _row(value: str, wiki: bool) -> str:
     return " | ".join(c.strip() for c in cells) if any(map(str.isalnum, value)) else ""
 
 
-def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[tuple[str, str, float]]:
-    """(kind, text, cost of keeping) of a document's lines, code and formulas in order.
+def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[tuple[str, str, str, int]]:
+    """(kind, text, source, parent) of all that could be content: lines, code and formulas in order.
 
-    Kinds are the four elements, ``text`` for running text and ``residue`` for pure markup. With
-    ``whole`` code keeps its line breaks and indentation, and table rows are text.
+    Kinds are the four elements and ``text``. The reading is by form alone: the lines of templates are
+    read too (their fields as list items), as are rows of tables, rules, frames of lists and links that only
+    place a page; what of it is content is left to the cut. ``parent`` numbers what a segment stands
+    in: a template or table (negative), a run of list items, or a section. With ``whole`` code keeps its line
+    breaks and indentation.
     """
     if not text:
         return []
@@ -184,13 +217,13 @@ def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[
             return hold("inline", unescape(m["tbody"]))
         return hold("code", unescape(m["tbody"]))
 
-    text = text.replace("\x00", "").replace("\r\n", "\n")
+    text = text.translate(_NO_NOTES).replace("\r\n", "\n")
     if "&nbsp;" in text and "<" in text:
         text = _NBSP_TAG.sub(lambda m: m[0].replace("&nbsp;", " "), text)
     if "`" in text or "~~~" in text or "<" in text:
         text = _HIDDEN.sub(hide, text)
     if wiki:
-        text = _without_templates(_FILE.sub("", text), whole)
+        text = _constructs(text)
     else:
         if "\n    " in text or "\n\t" in text or text[:1] in " \t":
             text = _indented(text, hold)
@@ -203,21 +236,35 @@ def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[
                 return hold("formula", unescape(body) if m[0][0] == "<" else body)
 
             text = _LATEX.sub(tex, text)
-    out: list[tuple[str, str, float]] = []
-
-    def add(kind: str, raw: str) -> None:
-        value = _clean(raw, held, wiki)
+    out: list[tuple[str, str, str, int]] = []
+    section, run = 1, 0  # odd: sections, even: runs of items
+
+    def add(kind: str, inner: str, raw: str, inside: int = 0) -> None:
+        nonlocal section, run
+        if kind == "heading":
+            section += 2
+        if kind == "list_item":
+            run = run or len(out) * 2 + 2
+        else:
+            run = 0
+        parent = inside or run or section
+        value = _clean(inner, held, wiki)
         if value:
-            out.append((kind, value, _cost(kind, raw, value)))
-        for m in _HELD.finditer(raw):
-            if held[int(m[1])][0] == "formula" and held[int(m[1])][1]:
-                out.append(("formula", held[int(m[1])][1], 0.0))
+            out.append((kind, value, raw, parent))
+        if "\x00" in inner:
+            for m in _HELD.finditer(inner):
+                if held[int(m[1])][0] == "formula" and held[int(m[1])][1]:
+                    out.append(("formula", held[int(m[1])][1], "", parent))
 
     lines = text.split("\n")
-    k, tables = 0, 0
+    k = 0
     while k < len(lines):
         line = lines[k]
         k += 1
+        inside = 0
+        if line[:1] == "\x02" and (m := _OF_LINE.match(line)):
+            inside = -2 * int(m[2]) - (1 if m[1] == "T" else 2)
+            line = line[m.end() :]
         bare = line.strip()
         if not bare:
             continue
@@ -225,58 +272,63 @@ def segments(text: str | None, wiki: bool = False, whole: bool = False) -> list[
         if m and held[int(m[1])][0] in ("code", "formula"):
             kind, value = held[int(m[1])]
             if value:
-                out.append((kind, _unfenced(value) if kind == "formula" else value, 0.0))
-            continue
-        if whole and wiki and bare.lstrip(": ").startswith("{|"):
-            tables += 1
-            out.append(("residue", bare, 4.0))
-            continue
-        if whole and bare[0] in ("|!" if tables else "" if wiki else "|"):
-            tables -= bool(tables) and bare.startswith("|}")
-            row = "" if bare.startswith(("|}", "|-")) and wiki else _row(_clean(bare, held, wiki), wiki)
-            out.append(("text", row, 0.0) if row else ("residue", bare, 4.0))
+                out.append((kind, _unfenced(value) if kind == "formula" else value, "", inside or section))
             continue
         if wiki:
-            if (m := _WIKI_HEAD.match(line)) and m[1] and len(m[1]) == len(m[3]) or (m := _WIKI_HEAD.match(line)):
-                add("heading", m[2])
+            if inside and inside % 2 and (m := _FIELD.match(bare)):
+                add("list_item", f"{m[1]} = {m[2]}", bare, inside)
+            elif inside and not inside % 2 and bare[0] in "|!{":
+                if not bare.startswith(("|}", "|-", "{|")) and (row := _row(_clean(bare, held, wiki), wiki)):
+                    out.append(("text", row, "", inside))
+            elif (m := _WIKI_HEAD.match(line)) and m[1]:
+                add("heading", m[2], bare, inside)
             elif m := _WIKI_ITEM.match(line):
-                add("list_item", m[1])
-            elif bare[0] in "|!" or _MAGIC.fullmatch(bare):
-                out.append(("residue", bare, 4.0))
+                add("list_item", m[1], bare, inside)
+            elif inside:
+                out.append(("text", bare, bare, inside))
+            elif bare.startswith("[[") and not _FILE.sub("", bare).strip() or bare[0] in "|!" or _MAGIC.fullmatch(bare):
+                out.append(("text", bare, bare, section))
             elif "<li" in line:
                 for m in _LI.finditer(line):
-                    add("list_item", m[1])
+                    add("list_item", m[1], m[0])
             elif m := _HTML_HEAD.search(line):
-                add("heading", m[2])
+                add("heading", m[2], bare)
             else:
-                add("text", line.lstrip(":"))
+                add("text", line.lstrip(":"), bare)
             continue
         if m := _ATX.match(line):
-            add("heading", m[1])
+            add("heading", m[1], bare)
         elif m := _TEX_HEAD.match(line):
-            add("heading", m[1])
+            add("heading", m[1], bare)
         elif "<h" in line and (m := _HTML_HEAD.search(line)):
-            add("heading", m[2])
+            add("heading", m[2], bare)
         elif bare[0] == "=" and (m := _WIKI_HEAD.match(line)):
-            add("heading", m[2])
+            add("heading", m[2], bare)
         elif k < len(lines) and _SETEXT.match(lines[k]) and not _MD_ITEM.match(line) and bare[0] not in "|>" and (k < 2 or not lines[k - 2].strip()):
-            add("heading", line)
+            add("heading", line, bare)
             k += 1
         elif m := _MD_ITEM.match(line):
-            add("list_item", m[1])
+            add("list_item", m[1], bare)
         elif "<li" in line:
             for m in _LI.finditer(line):
-                add("list_item", m[1])
+                add("list_item", m[1], m[0])
         elif "\\item" in line:
             for m in _TEX_ITEM.finditer(line):
-                add("list_item", m[1])
-        elif _LIST_FRAME.match(line) or bare[0] == "|" or _SETEXT.match(line):
-            out.append(("residue", bare, 4.0))
+                add("list_item", m[1], m[0])
+        elif bare[0] == "|":
+            if row := _row(_clean(bare, held, wiki), wiki):
+                out.append(("text", row, "", -2))
+        elif _LIST_FRAME.match(line) or _SETEXT.match(line):
+            out.append(("text", bare, bare, run or section))
         else:
-            add("text", line.lstrip("> "))
+            add("text", line.lstrip("> "), bare)
     return out
 
 
+#: Characters that stand for held texts and constructs.
+_NO_NOTES = dict.fromkeys(range(4))
+
+
 def _indented(text: str, hold) -> str:
     """Indented code (after a blank line, outside of lists) taken out as code segments."""
     out, code, listed, blank = [], [], False, True
@@ -310,44 +362,98 @@ def _unfenced(formula: str) -> str:
     return " ".join((m[1] or m[2] or m[3] or m[4] or m[6] or "").split()) if m else formula
 
 
-#: The linear classifier of segments: what speaks for residue, in units of the smoothness weight.
+#: What a segment is described by; the names are in the order of :func:`describe`.
+FEATURES = ("constant", "heading", "list_item", "code", "formula", "in template", "marks", "marks left", "no word", "linked", "menu", "short", "ends a sentence", "leaning", "leaning of an element", "shouting", "page link", "repeated", "frame")
 _MARKS = re.compile(r"[{}|<>\[\]=\\]")
+_SEPARATORS = re.compile(r"\s[|·•»/>]\s|(?<=\w) - (?=\w)|  +")
+_ENDS = ".!?。！？…:：;”\"“)"
+_FRAME = re.compile(r"^\s*(?:\{\||\|\}|\|-|\{\{|\}\}|</?[a-zA-Z]+[^<>]*>\s*$|\\(?:begin|end)\{|(?:[-*_=|:] *){3,}$|__[A-Z]+__$)")
+_LINKS = re.compile(r"\]\(|\[\[|\[https?:|<a\b")
+
+
+def describe(kind: str, value: str, raw: str, parent: int, linked: float | None, repeated: bool, words: dict[str, float]) -> list[float]:
+    """The features of a segment as numbers."""
+    element, source = kind != "text", raw or value
+    if kind in ("code", "formula"):
+        return [1.0, 0.0, 0.0, kind == "code", kind == "formula", parent < 0 and parent % 2, *([0.0] * 13)]
+    lean = leaning(value if raw else value.replace(" | ", " "), words)  # a table row has no source of its own
+    n = value.count(" ") + 1 + (0 if value.isascii() else len(HAN.findall(value)) / 2)
+    if linked is None:
+        linked = min(1.0, len(_LINKS.findall(raw)) * 3 / n) if "[" in raw or "<" in raw else 0.0
+    marks = len(_MARKS.findall(raw)) / len(source) if raw else 0.0
+    left = sum(map(value.count, "{}|[]")) if raw else 0
+    return [
+        1.0, kind == "heading", kind == "list_item", 0.0, 0.0, parent < 0 and parent % 2 == 1, min(1.0, 4 * marks), min(1.0, 0.3 * left), not any(map(str.isalnum, value)), linked,
+        min(1.0, len(_SEPARATORS.findall(value)) / 3) if raw and not element and n < 60 else 0.0, 0.0 if element else 1.0 / (1 + n / 4), not element and value[-1] in _ENDS, 0.0 if element else lean, lean if element else 0.0,
+        value.isupper() and n > 1, bool(_FILE.match(source) or _MAGIC.fullmatch(source)) if source[0] in "[_" else 0.0, repeated, bool(raw) and bool(_FRAME.match(raw)),
+    ]
+
+
+#: Weights of the smoothness edges: between neighbours in the same construct, and what is taken off
+#: for each step between two constructs; and between the next two segments of one construct.
+NEAR, SAME_PARENT = 0.8, 0.5
+
+
+def edges_of(parents: list[int], distance=None) -> list[tuple[int, int, float]]:
+    """Edges between neighbouring segments, weaker the further apart they hang, and within a construct."""
+    out, last = [], {}
+    for i, p in enumerate(parents):
+        if i:
+            steps = (0 if p == parents[i - 1] else 1) if distance is None else distance(parents[i - 1], p)
+            out.append((i - 1, i, NEAR / (1 + steps)))
+        if p in last and last[p] != i - 1:
+            out.append((last[p], i, SAME_PARENT))
+        last[p] = i
+    return out
 
 
-def _cost(kind: str, raw: str, value: str) -> float:
-    """The cost of keeping a segment; dropping one costs 2 (elements 3)."""
-    marks = len(_MARKS.findall(raw))
-    left = sum(map(value.count, "{}|[]"))
-    return 0.2 * left + (0.5 if marks > len(value) else 0.0) + (1.5 if not any(map(str.isalnum, value)) else 0.0)
-
-
-SMOOTH, SAME_PARENT, DROP, DROP_ELEMENT = 0.4, 0.3, 2.0, 3.0
+def energies(parts: list[tuple[str, str, str, int]], model: dict, linked: list[float] | None = None) -> list[tuple[float, float]]:
+    """(cost of keeping, cost of dropping) of each segment: the classifier's negative log probabilities."""
+    coef, words, seen, out = model["coef"], model["words"], set(), []
+    for i, (kind, value, raw, parent) in enumerate(parts):
+        again = kind == "text" and value in seen
+        seen.add(value)
+        z = sum([a * b for a, b in zip(coef, describe(kind, value, raw, parent, None if linked is None else linked[i], again, words))])
+        out.append((log1p(exp(z)), log1p(exp(-z))) if -30 < z < 30 else (max(z, 0.0), max(-z, 0.0)))
+    return out
 
 
-def kept(parts: list[tuple[str, str, float]], parents: list[int] | None = None) -> list[tuple[str, str]]:
+@lru_cache(maxsize=1)
+def classifier() -> dict:
+    """The linear classifier (weights for residue), a logistic regression on the labelled segments."""
+    rows, labels = [], []
+    for notation, text, half in labelled_segments.documents():
+        words = weights("site", 1 - half)  # fitted on other lines than the document's
+        parts, linked, _ = _read(text, notation, False)
+        seen = set()
+        for i, (kind, value, raw, parent) in enumerate(parts):
+            labels.append(0.0 if labelled_segments.MARK in value or kind in ("code", "formula") else 1.0)
+            value, raw = value.replace(labelled_segments.MARK, ""), raw.replace(labelled_segments.MARK, "")
+            rows.append(list(map(float, describe(kind, value or "x", raw, parent, None if linked is None else linked[i], kind == "text" and value in seen, words))))
+            seen.add(value)
+    x, y = np.array(rows), np.array(labels)
+    coef, ridge = np.zeros(x.shape[1]), 0.5 * np.eye(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+        coef += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ coef)
+    return {"coef": coef.tolist(), "words": weights("site")}
+
+
+def kept(parts: list[tuple[str, str, str, int]], model: dict, linked: list[float] | None = None, distance=None) -> list[tuple[str, str]]:
     """The segments labelled content by the minimum cut."""
     if not parts:
         return []
-    costs = [(c, 0.0 if k == "residue" else DROP if k == "text" else DROP_ELEMENT) for k, _, c in parts]
-    if all(keep == 0.0 for keep, _ in costs):
-        return [(k, t) for k, t, _ in parts]  # nothing speaks for a cut
-    edges = [(i, i + 1, SMOOTH) for i in range(len(parts) - 1)]
-    if parents:
-        last: dict[int, int] = {}
-        for i, p in enumerate(parents):
-            if p in last:
-                edges.append((last[p], i, SAME_PARENT))
-            last[p] = i
-    return [(k, t) for (k, t, _), keep in zip(parts, label(costs, edges)) if keep and k != "residue"]
+    costs = energies(parts, model, linked)
+    return [(k, t) for (k, t, _, _), keep in zip(parts, label(costs, edges_of([p for *_, p in parts], distance))) if keep]
 
 
-_FROM_HTML = {"heading": "heading", "li": "list_item", "pre": "code", "formula": "formula", "p": "text", "quote": "text", "caption": "text", "cell": "residue", "control": "residue"}
+_FROM_HTML = {"heading": "heading", "li": "list_item", "pre": "code", "formula": "formula", "p": "text", "quote": "text", "caption": "text", "cell": "text", "control": "text"}
 
 
-def html_segments(html: str | None, whole: bool = False) -> tuple[list[tuple[str, str, float]], list[int]]:
-    """Segments of an HTML fragment and the container of each; ``whole`` as in :func:`segments`."""
+def html_segments(html: str | None, whole: bool = False) -> tuple[list[tuple[str, str, str, int]], list[float], object]:
+    """Segments of an HTML fragment, their link densities, and the distance of two containers in the DOM."""
     nodes, blocks = read(html, formulas=True)
-    parts, parents = [], []
+    parts, linked = [], []
     row, at = -1, -1  # the row and the cell of the last block
     for b in blocks:
         kind = _FROM_HTML[b.kind]
@@ -355,24 +461,39 @@ def html_segments(html: str | None, whole: bool = False) -> tuple[list[tuple[str
         if text:
             density = b.linked / max(1, len(b.text))
             last, cell = row, nodes[b.node]
-            row = cell.parent if whole and b.kind == "cell" and cell.tag in ("td", "th") else -1
-            if whole and b.kind == "cell":
-                kind = "text"
+            row = cell.parent if b.kind == "cell" and cell.tag in ("td", "th") else -1
             if row >= 0 and row == last:
-                k, t, cost = parts[-1]
-                parts[-1] = (k, t + (" " if b.node == at else " | ") + text, min(cost, 0.3 * density))
+                k, t, raw, p = parts[-1]
+                parts[-1] = (k, t + (" " if b.node == at else " | ") + text, raw, p)
+                linked[-1] = min(linked[-1], density)
             else:
-                parts.append((kind, text, 4.0 if kind == "residue" else 0.3 * density if kind in ("text", "list_item") else 0.0))
-                parents.append(b.node)
+                parts.append((kind, text, text if kind == "text" and row < 0 else "", b.node))
+                linked.append(density)
             at = b.node
-    return parts, parents
 
+    def distance(a: int, b: int) -> int:
+        steps = 0
+        while a != b:
+            if nodes[a].depth >= nodes[b].depth:
+                a = nodes[a].parent
+            else:
+                b = nodes[b].parent
+            steps += 1
+        return steps
 
-def content_of(text: str | None, notation: str, whole: bool = False) -> list[tuple[str, str]]:
-    """(kind, text) of the content segments of a document in ``wikitext``, ``html`` or ``content``."""
+    return parts, linked, distance
+
+
+def _read(text: str | None, notation: str, whole: bool) -> tuple[list[tuple[str, str, str, int]], list[float] | None, object]:
     if notation == "html":
-        return kept(*html_segments(text, whole))
-    return kept(segments(text, notation == "wikitext", whole))
+        return html_segments(text, whole)
+    return segments(text, notation == "wikitext", whole), None, None
+
+
+def content_of(text: str | None, notation: str, whole: bool = False, model: dict | None = None) -> list[tuple[str, str]]:
+    """(kind, text) of the content segments of a document in ``wikitext``, ``html`` or ``content``."""
+    parts, linked, distance = _read(text, notation, whole)
+    return kept(parts, model or classifier(), linked, distance)
 
 
 def clean_text(parts: list[tuple[str, str]]) -> str:
@@ -383,12 +504,14 @@ def clean_text(parts: list[tuple[str, str]]) -> str:
 
 def _mapped(df: DataFrame, record_id: str, text: str, notation: str, rows_of, fields: list[tuple[str, str]], whole: bool = False) -> DataFrame:
     names = ["rec_id", *(n for n, _ in fields)]
+    shared = df.sparkSession.sparkContext.broadcast(classifier())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             at, cols = [], [[] for _ in fields]
             for k, value in enumerate(batch.column(1)):
-                for row in rows_of(content_of(value.as_py(), notation, whole)):
+                for row in rows_of(content_of(value.as_py(), notation, whole, model)):
                     at.append(k)
                     for c, v in zip(cols, row):
                         c.append(v)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 
 def label(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling of least energy: True where a node is kept.
@@ -11,7 +9,7 @@ def label(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]])
     ``costs[k]`` is (cost of keeping k, cost of dropping k); an edge (i, j, w) costs w where its ends
     differ. The costs are the capacities to the two terminals. Nodes whose terminal capacities
     outweigh all their edges are settled first (they are on that side in every minimum cut); what
-    is left is cut by augmenting shortest paths until the flow is maximal.
+    is left is cut by blocking flows over level graphs (Dinic) until the flow is maximal.
     """
     n = len(costs)
     lean = [drop - keep for keep, drop in costs]  # > 0: rather kept
@@ -41,32 +39,59 @@ def label(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]])
 
 
 def _cut(nodes: list[int], lean: list[float], near: list[dict[int, float]]) -> set[int]:
-    """The source side of a minimum cut, by shortest augmenting paths (Edmonds and Karp)."""
-    source, sink = -1, -2
-    cap: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for k in nodes:
-        cap[k] = dict(near[k])
-    for k in nodes:
-        if lean[k] > 0:
-            cap[source][k], cap[k][source] = lean[k], 0.0
-        elif lean[k] < 0:
-            cap[k][sink], cap[sink][k] = -lean[k], 0.0
+    """The nodes on the source side of a minimum cut.
+
+    Terminal capacities are excess at nodes that lean to the source and room at those that lean to
+    the sink, so only paths between nodes are searched. Each round sends a blocking flow over the
+    level graph; depth-first search is a loop, as paths may be long.
+    """
+    eps = 1e-9
+    cap = {k: dict(near[k]) for k in nodes}
+    excess = {k: lean[k] for k in nodes if lean[k] > eps}
+    room = {k: -lean[k] for k in nodes if lean[k] < -eps}
     while True:
-        before = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
-            u = queue.popleft()
-            for v, c in cap[u].items():
-                if c > 1e-9 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if sink not in before:
-            return {k for k in before if k >= 0}
-        path, v = [], sink
-        while v != source:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= flow
-            cap[v][u] = cap[v].get(u, 0.0) + flow
+        level = dict.fromkeys((k for k, x in excess.items() if x > eps), 0)
+        layer, depth, met = list(level), 0, False
+        while layer and not met:
+            met = any(room.get(k, 0.0) > eps for k in layer)
+            if met:
+                break
+            depth += 1
+            after = []
+            for u in layer:
+                for v, c in cap[u].items():
+                    if c > eps and v not in level:
+                        level[v] = depth
+                        after.append(v)
+            layer = after
+        if not met:
+            return set(level)
+        arcs = {u: [v for v in cap[u] if level.get(v, -1) == level[u] + 1] for u in level}
+        for start in [k for k in excess if excess[k] > eps]:
+            path = [start]
+            while path and excess[start] > eps:
+                u = path[-1]
+                if room.get(u, 0.0) > eps and level[u] == depth:
+                    flow = min(excess[start], room[u], *(cap[a][b] for a, b in zip(path, path[1:])))
+                    excess[start] -= flow
+                    room[u] -= flow
+                    back = 0
+                    for i in range(len(path) - 1, 0, -1):
+                        a, b = path[i - 1], path[i]
+                        cap[a][b] -= flow
+                        cap[b][a] += flow
+                        if cap[a][b] <= eps:
+                            back = i
+                    if back:
+                        del path[back:]
+                    elif room[u] <= eps:
+                        path.pop()
+                    continue
+                while arcs[u] and cap[u][arcs[u][-1]] <= eps:
+                    arcs[u].pop()
+                if arcs[u]:
+                    path.append(arcs[u][-1])
+                else:
+                    path.pop()
+                    if path:
+                        arcs[path[-1]].pop()

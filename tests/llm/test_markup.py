@@ -102,3 +102,52 @@ def test_frame(spark):
     assert got == sorted([(1, "heading", "A"), (1, "heading", "A"), (4, "list_item", "x"), (4, "list_item", "y"), (None, "heading", "N")], key=str)
     assert K.cleaned(df, "id", "t", "content").count() == 5
     assert K.elements(df.where("false"), "id", "t", "content").count() == 0
+
+
+def test_menu_and_notices_leave_the_text():
+    text = "Home | About | Contact\n\n# Mill\n\nThe miller carries a heavy shield along the road.\n\n- [Home](/)\n- [Login](/l)\n- [Search](/s)\n\nCookie notice: accept\n\nShare this page on social media"
+    assert K.clean_text(K.content_of(text, "content")) == "# Mill\nThe miller carries a heavy shield along the road."
+
+
+def test_the_cut_decides():
+    """Without the cut the fields of a template are items; with unary costs alone lines in doubt fall otherwise."""
+    text = "{{Box\n| name = x\n| hp = 3\n* The guard opens the gate.\n}}\n* The king finds three coins."
+    parts = K.segments(text, True)
+    assert [t for k, t, _, _ in parts if k == "list_item"] == ["name = x", "hp = 3", "The guard opens the gate.", "The king finds three coins."]
+    assert K.content_of(text, "wikitext") == [("list_item", "The king finds three coins.")]
+
+
+def test_neighbours_settle_doubtful_lines():
+    model = K.classifier() | {"coef": [0.0] * len(K.FEATURES)}
+    lean = {"a": -3.0, "b": 0.2, "c": -3.0}
+    parts = [("text", t, "", 1) for t in "abc"]
+    costs = [(max(z, 0.0), max(-z, 0.0)) for z in lean.values()]
+    assert label(costs, []) == [True, False, True]
+    assert label(costs, K.edges_of([p for *_, p in parts])) == [True, True, True]
+    assert len(K.energies(parts, model)) == 3
+
+
+def test_held_out_segments():
+    from siltweave.llm.labelled_segments import MARK, documents
+
+    right = total = 0
+    for notation, text, half in documents(150, seed=91):
+        parts, linked, distance = K._read(text, notation, False)
+        marks = [MARK in t or k in ("code", "formula") for k, t, _, _ in parts]
+        parts = [(k, t.replace(MARK, "") or "x", raw.replace(MARK, ""), p) for k, t, raw, p in parts]
+        model = K.classifier() | {"words": K.weights("site", 1 - half)}
+        got = label(K.energies(parts, model, linked), K.edges_of([p for *_, p in parts], distance))
+        right += sum(a == b for a, b in zip(got, marks))
+        total += len(parts)
+    assert right / total > 0.95
+
+
+def test_long_document_is_cut():
+    import time
+
+    r = random.Random(5)
+    n = 10_000
+    costs = [(max(z, 0.0), max(-z, 0.0)) for z in (r.gauss(0, 0.5) for _ in range(n))]
+    began = time.time()
+    assert len(label(costs, K.edges_of([k // 50 for k in range(n)]))) == n
+    assert time.time() - began < 30
