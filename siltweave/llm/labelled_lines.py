@@ -17,10 +17,13 @@ from itertools import product
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]{2,}|©|[|·»>]")
 
+#: Names of faults, as in KeyError.
+_FAULT = re.compile(r"\b\w+(?:Error|Exception|Fault)\b")
+
 
 def tokens(text: str) -> list[str]:
     """Words in lower case; Chinese as pairs of neighbouring characters."""
-    found = _TOKEN.findall(text.lower())
+    found = _TOKEN.findall(_FAULT.sub("error", text).lower())
     if text.isascii():
         return found
     out = [t for t in found if not "一" <= t <= "鿿"]
@@ -44,7 +47,7 @@ def messages() -> list[str]:
         "404 Not Found|403 Forbidden|401 Unauthorized|400 Bad Request|500 Internal Server Error|502 Bad Gateway|503 Service Unavailable|504 Gateway Timeout|Error 1020|Access denied|Permission denied|Page not found|File not found|Too many requests|Rate limit exceeded|Slow down|Request blocked|Internal error|"
         "Fatal error|Syntax error|Unhandled exception|Database error|Traceback (most recent call last)|Connection refused|Connection reset|Sorry|Oops|Uh oh|Whoops|Something went wrong|It seems something went wrong|Something broke on our end|An error occurred|An unexpected error has occurred|Loading|If nothing happens, click here|Please wait|Just a moment|One moment please|Checking your browser|"
         "Redirecting|Under construction|Back soon|We will be right back|We will be back soon|Scheduled maintenance|JavaScript is disabled|JavaScript is required|JavaScript is not available|JavaScript must be enabled|You need to enable JavaScript|Scripts are turned off|Your browser does not support JavaScript|Your browser is not supported|You do not have permission|You are not allowed to view this|You lack the rights for this page|"
-        "You have been blocked|Unusual traffic from your network|Session expired|Nothing was found here|Nothing to see at this address|Gone|No such page|Unknown action|Invalid request|We can't find what you are looking for|We could not process your request|We cannot load this right now|Invalid reply from upstream|Host cannot be reached|There is currently no text in this page|Search for this title in other pages|Error code|Reference number|Request id|Cloud gateway error"
+        "You have been blocked|Unusual traffic from your network|Session expired|Nothing was found here|Nothing to see at this address|Gone|No such page|Unknown action|Invalid request|KeyError in line 3|Traceback: ValueError|TypeError: undefined is not a function|Uncaught exception in module|Nothing exists at this address|There is nothing here any more|No content at this address|Code 7|We can't find what you are looking for|We could not process your request|We cannot load this right now|Invalid reply from upstream|Host cannot be reached|There is currently no text in this page|Search for this title in other pages|Error code|Reference number|Request id|Cloud gateway error"
     )
     dinge = "Die Seite|Diese Seite|Die Datei|Diese Website|Die Adresse|Der Server|Der Dienst|Der Beitrag|Dieser Artikel|Dieser Inhalt|Ihr Konto|Ihre Sitzung|Die Anfrage|Die Verbindung|Die Anwendung"
     zustand = " wurde nicht gefunden| konnte nicht gefunden werden| existiert nicht| ist nicht verfügbar| ist derzeit nicht erreichbar| antwortet nicht| wurde gelöscht| wurde entfernt| wurde gesperrt| ist abgelaufen| wird gewartet| ist überlastet| konnte nicht geladen werden| benötigt JavaScript| erfordert Skripte| wurde abgelehnt"

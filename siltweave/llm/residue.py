@@ -1,17 +1,23 @@
 """Problem 1: records that hold template residue, filler, or an error page in place of an article.
 
 Three findings, each on the article text only (of a web page: the blocks that
-:mod:`siltweave.llm.main_content` keeps; of a converted text: its lines):
+:mod:`siltweave.llm.main_content` keeps; of a converted text: its lines, table rows included for fields):
 
 * ``field``: a template field that was never replaced. Every delimiter pair has its own small
   grammar for what may stand between the delimiters. Code blocks, inline code, formulas and
-  LaTeX arguments are taken out first, and a field in quotation marks, or in a sentence that
-  explains templates on a page that shows code, is a mention and does not count.
-* ``filler``: a paragraph most of whose sentences only fill space.
+  LaTeX arguments are taken out first, and a field in quotation marks is a mention. Of the rest a
+  field is explained where its sentence speaks of templates, variables or settings. The record is a case when
+  the bare fields outnumber the explained ones, or when fields stand as densely as in a template
+  that was never filled at all (DENSE characters of text a field or less), however it is worded.
+* ``filler``: a paragraph that only fills space: running text without the function words that every
+  language needs, one word or a few over and over, masked letters, or sentences most of whose words
+  speak of text that is still to come.
 * ``error``: a record with an error, refusal, waiting or missing-page message or a demand to allow
-  scripts, and without a single article paragraph (one of several sentences, or a long one).
-  Quoted messages and notices beside an article do not count; a noscript notice counts only where
-  the page shows no article text and no table.
+  scripts, and without an article: what paragraphs of several sentences, or long ones, it has are
+  messages themselves or come to less than ARTICLE characters. Messages are told by a status code or by
+  word weights fitted on the labelled lines of :mod:`siltweave.llm.labelled_lines`, against both article sentences
+  and the lines that sites put around articles. Quoted messages and notices beside an article do not count; a noscript
+  notice counts only where the page shows no article text and no table.
 
 All of it is one Arrow pass a table without a shuffle.
 
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.llm.html_blocks import read
+from siltweave.llm.labelled_lines import leaning, weights
 from siltweave.llm.main_content import article, tree
 from siltweave.llm.words import HAN
 from siltweave.session import spread
@@ -38,88 +45,62 @@ _NAME = r"[A-Za-z_][\w-]*(?:\.[\w-]+)*"
 #: One grammar a delimiter pair.
 FIELDS = re.compile(
     "|".join((
-        r"\{\{\{\s*" + _NAME + r"\s*(?:\|[^{}\n]{0,40})?\}\}\}",
-        r"\{\{[-~]?\s*(?:" + _NAME + r"(?:\s*\|\s*[a-z_]+(?:\([^()\n]{0,30}\))?)*|\$?\w{1,10}\(\s*[\"'][^\"'\n]{1,80}[\"']\s*\))\s*[-~]?\}\}",
-        r"\{%[-+]?\s*[a-z]\w*(?:\s[^%{}\n]{0,80})?[-+]?%\}",
-        r"<%[-=#]?\s*[^%<>\n]{1,80}%>",
-        r"<\?(?:php|=)\s[^?<>\n]{1,120}\?>",
+        r"\{\{\{\s*" + _NAME + r"\s*(?:\|[^{}\n]*)?\}\}\}",
+        r"\{\{[-~#/]?\s*(?:" + _NAME + r"(?:\s*\|\s*[a-z_]+(?:\([^()\n]*\))?)*|\$?\w+\(\s*[\"'][^\"'\n]+[\"']\s*\))\s*[-~]?\}\}",
+        r"\{%[-+]?\s*[a-z]\w*(?:\s[^%{}\n]*)?[-+]?%\}",
+        r"<%[-=#]?\s*[^%<>\n]+%>",
+        r"<\?(?:php|=)\s[^?<>\n]+\?>",
         r"\$\{\s*" + _NAME + r"\s*\}",
         r"#\{\s*" + _NAME + r"\s*\}",
-        r"\$\[[A-Za-z_]{2,40}\]",
-        r"%%[A-Za-z_][\w.-]{0,40}%%",
-        r"(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])",
-        r"%\([A-Za-z_]\w{0,40}\)[sdf]\b",
-        r"(?<![\w_])__[A-Z][A-Z_]{1,40}__(?![\w_])",
-        r"(?<![\w@])@@\w{2,40}@@(?![\w@])",
-        r"<<\s*[A-Za-z_][\w .-]{1,40}>>",
-        r"\[(?:INSERT|ENTER|ADD|FILL IN|YOUR|PUT|TBD|TODO|TBA|FIXME|PLACEHOLDER)\b[^\]\[\n]{0,60}\](?!\()",
-        r"\[(?:Your|Insert|Enter|Add|Put|Ihr|Ihre|Dein|Deine)\s[\w ,'-]{1,40}\](?!\()",
-        r"\[[\w ,'-]{1,40} (?:goes|comes|to go) here\](?!\()",
-        r"\[(?:hier|bitte)\b[^\]\[\n]{1,50}(?:eintragen|einfügen|einsetzen|ergänzen|ausfüllen)\](?!\()",
-        r"[【\[](?:此处|此處|请在此|请|在此)[^】\]\n]{0,8}(?:填写|输入|插入|添加)[^】\]\n]{0,40}[】\]]",
+        r"\$\[[A-Za-z_]{2,}\]",
+        r"%%[A-Za-z_][\w.-]*%%",
+        r"(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])",
+        r"%\([A-Za-z_]\w*\)[sdf]\b",
+        r"(?<![\w_])__[A-Z][A-Z_]+__(?![\w_])",
+        r"(?<![\w@])@@\w{2,}@@(?![\w@])",
+        r"<<\s*[A-Za-z_][\w .-]+>>",
+        r"\[(?:INSERT|ENTER|ADD|FILL IN|YOUR|PUT|TBD|TODO|TBA|FIXME|PLACEHOLDER)\b[^\]\[\n]*\](?!\()",
+        r"\[(?:Your|Insert|Enter|Add|Put|Ihr|Ihre|Dein|Deine)\s[\w ,'-]+\](?!\()",
+        r"\[[\w ,'-]+ (?:goes|comes|to go) here\](?!\()",
+        r"\[(?:hier|bitte)\b[^\]\[\n]+(?:eintragen|einfügen|einsetzen|ergänzen|ausfüllen)\](?!\()",
+        r"[【\[](?:此处|此處|请在此|请|在此)[^】\]\n]*?(?:填写|输入|插入|添加)[^】\]\n]*[】\]]",
         r"\b(?:undefined(?: undefined)+|null(?: null)+|NaN(?: NaN)+)\b",
         r"\[object Object\]",
-        r"(?<![\w\\})\]>^_{$#%@])\{(?:[A-Za-z][A-Za-z_]{1,30}(?:\.[A-Za-z_]+)*|\d{1,2})\}(?![\w}(])",
+        r"(?<![\w\\})\]>^_{$#%@])\{(?:[A-Za-z][A-Za-z_]+(?:\.[A-Za-z_]+)*|\d{1,2})\}(?![\w}(])",
     ))
 )
 _OPENER = re.compile(r"[{%$#@\[【]|__|<[<%?]|\b(?:undefined undefined|null null|NaN NaN)\b")
 _QUOTED = ("“”", "„“", "‘’", "「」", "『』", "«»", '""', "''", "‚‘", "„”", "``")
-_TUTORIAL = re.compile(r"\b(?:template|placeholder|variable|syntax|snippet|parameter|Vorlage|Platzhalter|Variable|Syntax)\b|模板|占位符|变量|语法", re.I)
-
-#: Words that only fill space, as in the printers' dummy text and its imitations.
-_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "asdf asdfgh qwer qwert qwertz qwerty yxcv zxcv hjkl foo bar baz qux blah bla xxx xxxx xyz test "
-    "auctis contis dictur egestor fabrel ligula mauren morbi nullo plena porta quirat sedim tellam verum vestum".split()
-)
-_FILLER = re.compile(
-    r"^(?:(?:your |some |more )?(?:text|content|copy|description|title) (?:goes|comes) here|(?:this|here) is (?:a |an |some |another )?(?:sample|dummy|example|placeholder|filler) (?:paragraph|text|sentence|content)|"
-    r"another (?:sample|dummy|example|filler) (?:sentence|paragraph|text)\b.*|(?:dummy|sample|placeholder|filler) (?:text|copy|content)\b.*|replace this (?:copy|text|paragraph|content)\b.*|"
-    r"your (?:content|text|copy|title|description) here|(?:content|text|description) (?:coming soon|to be added|to follow|tbd|tba)|"
-    r"(?:dies|das|hier) ist (?:ein |nur ein |der )?(?:blindtext|beispieltext|platzhaltertext|mustertext|fülltext)\b.*|hier (?:steht|kommt|folgt) (?:später |bald |noch )?(?:ein |der |mehr )?text\b.*|(?:inhalt|text|beschreibung) folgt\b.*|"
-    r"(?:bitte )?(?:diesen )?text ersetzen|beispiel(?:absatz|satz|text|inhalt)\b.*|(?:blindtext|platzhaltertext|mustertext)\b.*|"
-    r"这里是(?:示例|占位|测试)(?:文字|文本|内容).*|此(?:段|处)为(?:占位|示例)(?:文本|文字).*|(?:内容|正文|描述|文字)(?:待补充|待添加|稍后补充|即将推出).*|(?:测试){2,}.*|(?:占位|示例)(?:文本|文字).*|请替换.*)$",
+#: Words of sentences that explain a field instead of holding one that was forgotten.
+_EXPLAINS = re.compile(
+    r"\b(?:templates?|placeholders?|variables?|syntax|snippets?|parameters?|arguments?|macros?|tokens?|markup|brackets|braces|interpolat\w+|replaced|substituted|stands? for|tutorial|environment|shell|terminal|command|config\w*|export|director(?:y|ies)|folder|"
+    r"Vorlagen?|Platzhalter\w*|Variablen?|Parameter|Klammern|ersetzt|steht für|Umgebungs\w+|Ordner|Verzeichnis|Befehl)\b|模板|占位符|变量|语法|参数|替换为|表示|环境|命令|目录",
     re.I,
 )
-_SENTENCE = re.compile(r"[^.!?。！？…]*[.!?。！？…]+[”\"“»]*|[^.!?。！？…]+$")
-_MASKED = re.compile(r"^(?:[■█▇▆□▒░x●*_\-.…]{2,}|\d+)$", re.I)
-
-#: Messages that stand in place of an article. Sentences are matched from their start.
-ERRORS = re.compile(
-    r"^(?:(?:you|we) (?:need|have|are required|ask you) to (?:enable|activate|turn on|allow|switch on) (?:javascript|js|scripts?|scripting|cookies)\b.*|(?:please )?(?:enable|activate|turn on|allow|switch on) (?:javascript|js|scripts?|scripting|cookies)\b.*|"
-    r"(?:this|the|our) (?:site|page|website|app|application|wiki|content) (?:requires|needs|cannot run without|will not work without|works only with|does not work without) (?:javascript|js|scripts?|scripting|cookies)\b.*|"
-    r"turn them on in your browser.*|(?:javascript|js|scripting|scripts) (?:is|are|must be|seems? to be|has been|have been) (?:turned off|disabled|required|blocked|not enabled|switched off|enabled|needed)\b.*|some parts cannot be shown without it|"
-    r"your browser (?:does not|doesn't|cannot|can't) (?:support|run|execute)\b.*|your browser (?:has|is blocking) .*(?:script|cookies).*|loading|if nothing happens\b.*|"
-    r"(?:error |http |status )(?:4\d\d|5\d\d)\b.*|(?:4\d\d|5\d\d)(?: [a-z -]{3,30})?|error\b[^“”\"]{0,40}|(?:page |file |document )?not found|(?:the|this) (?:page|file|document|resource|address|article|url)\b.{0,50}\b(?:could not be found|cannot be found|was not found|does(?: not|n't) exist|no longer exists|has been (?:moved|deleted|removed))\b.*|"
-    r"nothing lives at this address.*|there is currently no text in this page.*|you can search for this title.*|unknown action\b.*|the request names\b.*|"
-    r"(?:this|the) (?:entry|content|page|post|article|item) (?:was|has been|is) (?:removed|deleted|blocked|hidden|unavailable|not available|gone)\b.*|gone|"
-    r"(?:something|it seems something|sorry, something) went wrong\b.*|we (?:could not|couldn't|cannot|were unable to) (?:load|find|process|complete|show)\b.*|sorry|oops!?|an (?:unexpected |internal |unknown )?error (?:has )?occurred\b.*|reference \w*\d+|"
-    r"we (?:are|will be) (?:down|back|offline)\b.*|(?:scheduled |under |down for )?maintenance|come back\b.{0,40}|(?:this|the) (?:site|wiki|server|service) (?:is|was) (?:down|offline|unavailable|temporarily|overloaded|currently|read-only|undergoing)\b.*|"
-    r"service (?:temporarily )?unavailable|bad gateway|gateway time-?out|internal server error|forbidden|unauthori[sz]ed|bad request|time-?out|(?:request|session|gateway|connection) (?:timed out|expired|timeout)|(?:your )?session (?:has )?expired\b.*|"
-    r"(?:the |this )?(?:upstream|host|server|origin|gateway|database|backend)\b.{0,60}\b(?:did not|invalid|failed|timed out|not respond\w*|unavailable|refused|no answer|overloaded)\b.*|upstream sent an invalid reply|"
-    r"(?:fatal|warning|notice|database|sql|\w*error|\w*exception)\s?:.*|\w+: cannot connect to .*|traceback\b.*|stack trace\b.*|"
-    r"access (?:denied|restricted)|you (?:lack|do not have|don't have) (?:the )?(?:permission|access|rights)\b.*|(?:permission|request) denied\b.*|ray \w*\d+|blocked|you (?:have been|are) blocked\b.*|unusual (?:traffic|activity)\b.*|"
-    r"too many requests|rate limit\w*\b.*|slow down\b.*|checking your browser\b.*|(?:one moment|please wait|just a moment|hold on)\b.{0,80}|verify(?:ing)? (?:that )?you are (?:a )?human\b.*|(?:please )?complete the (?:captcha|security check)\b.*|are you a (?:robot|human)\b.*|please (?:log|sign) in to (?:view|continue|read|see)\b.*|"
-    r"(?:bitte )?(?:aktivieren|erlauben) sie (?:javascript|skripte|cookies)\b.*|(?:diese|die) (?:seite|anwendung|website|webseite) (?:benötigt|erfordert|braucht) (?:javascript|skripte|cookies)\b.*|ohne (?:skripte|javascript)\b.*|javascript (?:ist|wurde) (?:deaktiviert|ausgeschaltet|erforderlich)\b.*|bitte (?:browser-)?einstellungen prüfen|"
-    r"bitte browser\b.*|(?:die|diese) (?:angeforderte |gesuchte )?(?:seite|datei|adresse)\b.{0,40}\b(?:nicht gefunden|existiert nicht|nicht verfügbar|gelöscht|entfernt)\b.*|seite nicht gefunden|nicht gefunden|zugriff verweigert|verboten|(?:ihnen|dir) fehlt die berechtigung\b.*|(?:sie|du) (?:haben|hast) keine (?:berechtigung|rechte)\b.*|"
-    r"(?:da|es|hier) ist (?:leider )?(?:etwas|ein fehler)\b.*|hoppla!?|kennung \w*\d+|fehler(?:\s*\d+\b.*|\s*:.*)|interner (?:server)?fehler\b.*|zeitüberschreitung\b.*|der (?:server|host|dienst|zwischenserver|gateway)\b.{0,40}\bantwortet nicht\b.*|(?:wartungsarbeiten|wartung)|wir sind (?:in|bald|gleich)\b.*(?:zurück|wieder da)|"
-    r"laufende wartung\b.*|zu viele (?:anfragen|zugriffe)\b.*|bitte (?:kurz )?warten\b.*|bitte versuchen sie es später\b.*|(?:dieser|der) (?:beitrag|eintrag|artikel|inhalt) wurde (?:gelöscht|entfernt|gesperrt)\b.*|dienst nicht verfügbar|sitzung abgelaufen|"
-    r"(?:请|需要|您需要|必须)(?:先)?(?:启用|开启|允许|打开)(?:运行)?(?:javascript|js|脚本|cookie).*|您的浏览器(?:已)?(?:禁用|不支持|关闭)(?:了)?.*|(?:本|此)(?:页面|站|网站)需要(?:启用)?(?:javascript|脚本).*|"
-    r"(?:抱歉|对不起|很抱歉|非常抱歉)?[，,]?(?:您)?(?:访问|请求|查找|查看)的(?:页面|网页|内容|文件)(?:不存在|未找到|已删除|找不到).*|页面(?:不存在|未找到|找不到).*|(?:该|此)(?:内容|页面|条目|文章|帖子)(?:已|已经)(?:被)?.{0,10}(?:删除|移除|下架|屏蔽).*|"
-    r"服务器(?:开小差|出错|错误|内部错误|繁忙|无响应|维护).*|(?:请)?稍后(?:再试|重试).*|编号\w*\d+|出错(?:了|啦)?|系统(?:维护|繁忙|升级|错误).*|网站维护.*|预计.{0,12}(?:恢复|完成)|网关(?:超时|错误).*|请刷新(?:页面)?|访问(?:受限|被拒绝|过于频繁)|拒绝访问|没有(?:访问)?权限.*|您没有权限.*|"
-    r"(?:您的)?请求过于频繁.*|请(?:先)?(?:完成|通过)(?:安全|人机)验证.*|正在(?:检查|验证)您的浏览器.*|请稍候.*|加载中.*|请(?:先)?登录(?:后)?(?:再)?(?:查看|继续|浏览).*)$",
-    re.I,
+#: Characters of text a field in a template that was never filled.
+DENSE = 60
+
+_FUNCTION_WORDS = frozenset(
+    "the a an of and or to in on at by for with from as is are was were be been it its this that these those he she they we you i his her their our your not no but if when while than then so who which what there into over under after before has have had do does can will would against near behind during between beyond beside through although because always never often again now soon still also only very more most any some each every both such than about up down out off yet how why where just whose whom until since without within under over "
+    "der die das den dem des ein eine einen einem einer und oder nicht ist sind war im in am an auf aus bei mit nach von vor zu zum zur für es er sie wir ihr sich als wie wenn dass doch aber hat haben wird werden kann noch nur auch "
+    "le la les un une des et est dans que qui pour pas sur avec el los las una y es en que por con del se no il lo gli di che per non de het een van op te met voor och att det som en på er til af og o os as um uma do da em não com".split()
 )
-_SIGNATURE = re.compile(r"^(?:\w+/\d+(?:\.\d+)*|(?:ID|Ref|Ray|Code|XID|Request ID)\s*:?\s*[\w-]+|\d{1,6}|[-=*_ ]+)$", re.I)
+_HOLDERS = frozenset("placeholder filler dummy sample example lorem ipsum blindtext platzhalter platzhaltertext mustertext beispieltext beispielabsatz beispielsatz beispielinhalt fülltext blind".split())
+_ABOUT_TEXT = frozenset("text texts content copy paragraph paragraphs sentence sentences description title caption summary headline words body absatz satz inhalt inhalte beschreibung überschrift titel zusammenfassung blindtext platzhaltertext beispieltext beispielabsatz mustertext".split())
+_TO_COME = frozenset("here goes follow follows coming soon later replace insert add added enter ignore tba tbd todo launch fill filling space box another more some please just hier folgt folgen steht stehen kommt bald später kürze ersetzen einfügen ergänzen ignorieren bitte weitere dies kurz".split())
+_HAN_HOLDER = re.compile(r"占位|示例|样例|测试|填充")
+_HAN_TO_COME = re.compile(r"(?:内容|正文|描述|文字|标题|段落).{0,2}(?:待|稍后|即将)|请(?:在此)?(?:替换|填写|输入)|在此(?:填写|输入)")
+_HAN_LEXICON = re.compile(r"占位|示例|样例|测试|填充|这里|此处|此段|这段|本段|在此|文字|文本|内容|段落|正文|描述|标题|替换|补充|添加|填写|输入|稍后|即将|推出|待|请|您的|你的|这|此|是|为|的|符|用|于|一|个|段")
+_SENTENCE = re.compile(r"[^.!?。！？…]*[.!?。！？…]+[”\"“»]*|[^.!?。！？…]+$")
+_ONE_LETTER = re.compile(r"^(?:(.)\1+|[■█▇▆□▒░●*_\-.…]+|\d+)$", re.I | re.S)
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
+_STATUS = re.compile(r"^(?:http|error|status|fehler|错误)?[\s:#/.\d-]{0,8}\b[45]\d\d\b(?:\W|$)", re.I)
 _QUOTE_PAIR = re.compile(r"“[^”“]*[”“]|„[^“”]*[“”]|「[^」]*」|\"[^\"\n]*\"")
 #: An article paragraph has several sentences or PARAGRAPH characters; a record whose such paragraphs
 #: come to ARTICLE characters shows an article. Chinese characters count threefold.
 PARAGRAPH, ARTICLE = 130, 250
-_SITE_LINE = re.compile(r"©|\(c\) ?\d{4}|all rights|alle rechte|版权|newsletter|letter and never|leave a rating|\bviews?\)|aufrufe\)|find a mistake|fehler gefunden|share this|teile diese|official account|官方账号|分享给|编辑", re.I)
-#: Every phrase of _FILLER holds one of these.
-_FILLER_HINTS = ("text", "content", "copy", "paragraph", "sentence", "description", "title", "inhalt", "beschreibung", "absatz", "beispiel", "这里是", "此段", "此处", "待补充", "待添加", "测试", "占位", "示例", "请替换", "即将推出", "稍后补充")
+#: The least mean log odds of a message.
+MESSAGE = 0.55
 _STOPS = re.compile(r"[.!?。！？…](?:\s|$|(?=[^\x00-\u2fff]))")
 
 _CODE = re.compile(
@@ -165,92 +146,126 @@ def lines_of(content: str) -> list[tuple[str, bool]]:
             line = unescape(line)
         line = _TAIL.sub("", _LEAD.sub("", line)) if heading else _LEAD.sub("", line)
         line = " ".join(line.split())
-        if line and not line.startswith("|"):
+        if line:
             out.append((line, heading))
     return out
 
 
-def has_field(texts: list[str], coded: bool) -> str | None:
-    """The first unfilled field among texts that hold no code."""
+def has_field(texts: list[str]) -> str | None:
+    """The first unfilled field of a record's texts, from which code is taken out, if the record is a case."""
+    bare: list[str] = []
+    found = explained = 0
     for text in texts:
+        end = 0
         for start in _OPENER.finditer(text):
+            if start.start() < end:
+                continue
             m = FIELDS.match(text, start.start())
             if not m:
                 continue
-            around = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
-            if around in _QUOTED:
+            end = m.end()
+            if text[max(0, m.start() - 1) : m.start()] + text[end : end + 1] in _QUOTED:
                 continue
+            found += 1
             low = max(text.rfind(c, 0, m.start()) for c in ".!?。！？")
-            if coded and _TUTORIAL.search(text[low + 1 : m.end() + 80].replace(m[0], "")):
-                continue
-            return m[0]
+            high = min((k for k in (text.find(c, end) for c in ".!?。！？") if k >= 0), default=len(text))
+            if _EXPLAINS.search(text, low + 1, m.start()) or _EXPLAINS.search(text, end, high):
+                explained += 1
+            else:
+                bare.append(m[0])
+    if bare and (len(bare) > explained or sum(map(len, texts)) <= DENSE * found):
+        return bare[0]
     return None
 
 
+def _speaks_of_text_to_come(sentence: str) -> bool:
+    """Whether a sentence says little but that text is to come or fills space."""
+    han = len(HAN.findall(sentence))
+    if 2 * han > len(sentence.strip(" .。!！…")):
+        if not (_HAN_HOLDER.search(sentence) or _HAN_TO_COME.search(sentence)):
+            return False
+        return len(HAN.findall(_HAN_LEXICON.sub("", sentence))) <= 0.25 * han
+    words = [w.lower() for w in _PLAIN_WORD.findall(sentence)]
+    holds, text, come = (sum(w in x for w in words) for x in (_HOLDERS, _ABOUT_TEXT, _TO_COME))
+    if not words or not (holds and (text or come or len(words) <= 3) or text and come):
+        return False
+    return sum(w not in _HOLDERS and w not in _ABOUT_TEXT and w not in _TO_COME and w not in _FUNCTION_WORDS for w in words) <= 0.2 * len(words)
+
+
 def is_filler(paragraph: str) -> bool:
     """Whether most of a paragraph only fills space."""
-    words = paragraph[:160].split()
-    if not words:
-        return False
-    low = [w.strip(".,;:!?。").lower() for w in words[:12]]
-    if len(low) >= 4 and sum(w in _LATIN for w in low) >= 0.7 * len(low):
-        return True
-    if len(words) <= 12 and len(paragraph) <= 160:
-        names = [w for w in low if not w.isdigit()]
-        if len(names) >= 2 and len(set(names)) == 1 and (len(names) >= 3 or names[0] in ("undefined", "null", "nan", "none", "todo", "tbd")):
+    tokens = paragraph.split()
+    names = [t for t in (t.strip(".,;:!?。").lower() for t in tokens) if t and not t.isdigit()]
+    if len(names) >= 2 and len(tokens) <= 3 * len(names):
+        kinds = set(names)
+        if len(kinds) == 1 and (len(names) >= 3 or names[0] in ("undefined", "null", "nan", "none", "todo", "tbd")) and names[0].isalnum():
             return True
-        if len(names) >= 2 and all(_MASKED.match(w) for w in low):
+        if all(map(_ONE_LETTER.match, kinds)):
             return True
-    folded = paragraph.lower()
-    if not any(h in folded for h in _FILLER_HINTS):
-        return False
+        if len(names) >= 5:
+            low = [t for t in names if t.isascii() and t.isalpha()]
+            plain = sum(t.strip(".,;:!?").islower() for t in tokens[1:] if t.isascii())
+            # names begin with capitals; what is left of running text needs function words
+            if plain >= 4 and len(low) >= 0.8 * len(names) and plain >= 0.7 * len(low) and 3 * paragraph.count(",") < len(names):
+                share = sum(t in _FUNCTION_WORDS for t in low) / len(low)
+                if share < 0.15 and len(names) >= 16 or share == 0 and (paragraph.rstrip()[-1] in ".!?…" or len(kinds) <= 0.75 * len(names) or len(names) >= 12):
+                    return True
     whole = filled = 0
     for s in _SENTENCE.findall(paragraph):
         s = s.strip()
         if s:
             whole += len(s)
-            if _FILLER.match(s.rstrip(".!?。！？… ")):
+            if _speaks_of_text_to_come(s):
                 filled += len(s)
     return filled > 0.6 * whole
 
 
+def _says(sentence: str) -> bool:
+    """Whether a sentence is a message by its status code or its words."""
+    if _STATUS.match(sentence):
+        return True
+    lean = leaning(sentence, weights("message"))
+    return lean > MESSAGE and lean > leaning(sentence, weights("site"))
+
+
 def is_message(text: str) -> bool:
     """Whether a paragraph is for the most part an error message or a demand, not a quotation of one."""
-    if len(text) > 400 or _QUOTE_PAIR.search(text):
+    if _QUOTE_PAIR.search(text):
         return False
-    if ERRORS.match(text.rstrip(".!?。！？… ")):
-        return True
     sentences = [s for s in (s.strip(" *_'\"") for s in _SENTENCE.findall(text)) if s]
-    hit = sum(len(s) for s in sentences if ERRORS.match(s.rstrip(".!?。！？…) ").strip()))
-    return 2 * hit >= sum(map(len, sentences)) > 0
+    if len(sentences) > 1 and _says(text) and len(text) < PARAGRAPH:
+        return True
+    return 2 * sum(len(s) for s in sentences if _says(s)) >= sum(map(len, sentences)) > 0
 
 
 def article_weight(text: str) -> int:
     """The weight of a line as an article paragraph, 0 if it is none."""
     weight = len(text) if text.isascii() else len(text) + 2 * len(HAN.findall(text))
-    if weight < 45 or weight < PARAGRAPH and (len(_STOPS.findall(text)) < 2 or _SITE_LINE.search(text)):
+    if weight < 45 or weight < PARAGRAPH and (len(_STOPS.findall(text)) < 2 or leaning(text, weights("site")) > 0.3):
         return 0
     return weight
 
 
 def is_error(texts: list[tuple[str, bool]]) -> bool:
     """Whether texts (text, heading?) are a message without an article."""
-    whole, found = 0, False
+    whole = 0
     for text, heading in texts:
-        w = 0 if heading else article_weight(text)
-        if w >= PARAGRAPH or w and not is_message(text):
+        if heading or text.startswith("|"):
+            continue
+        w = article_weight(text)
+        if w and not is_message(text):
             whole += w
             if whole >= ARTICLE:
                 return False
     # a heading alone speaks for a message only where nothing but site lines stands below it
-    return any(is_message(text) for text, heading in texts if not heading or not whole)
+    return any(is_message(text) for text, heading in texts if not text.startswith("|") and (not heading or not whole))
 
 
-def findings(texts: list[tuple[str, bool]], coded: bool) -> list[str]:
+def findings(texts: list[tuple[str, bool]]) -> list[str]:
     kinds = []
-    if has_field([t for t, _ in texts], coded):
+    if has_field([t for t, _ in texts]):
         kinds.append("field")
-    if any(is_filler(t) for t, heading in texts if not heading):
+    if any(is_filler(t) for t, heading in texts if not heading and t[0] != "|"):
         kinds.append("filler")
     if is_error(texts):
         kinds.append("error")
@@ -261,7 +276,7 @@ def of_content(content: str | None) -> list[str]:
     """The findings of a converted text."""
     if not content or content.isspace():
         return []
-    return findings(lines_of(content), "```" in content or "~~~" in content or "<pre" in content or "\n    " in content)
+    return findings(lines_of(content))
 
 
 def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
@@ -270,16 +285,14 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
         return []
     cut = _CODE_HTML.sub(" ", html) if "<code" in html or "<pre" in html or "math" in html else html
     blocks = read(cut, notices=True)[1]
-    texts = [(b.text, b.kind == "heading") for b in blocks if b.kind not in ("cell", "control", "notice")]
     asked = any(b.kind == "notice" and is_message(b.text) for b in blocks)
-    found, prose = findings(texts, cut is not html), any(article_weight(t) for t, heading in texts if not heading)
-    if not fragment:
-        if not found and not asked and not any(len(t) <= 400 and is_message(t) for t, _ in texts):
-            return []  # nothing to be found in any part of the page
-        texts = [(b.text, b.kind == "heading") for b in article(cut, model)]
-        found = findings(texts, cut is not html)
+    cells = [b.text for b in blocks if b.kind == "cell"]
+    shown = blocks if fragment else article(cut, model)
+    texts = [(b.text, b.kind == "heading") for b in shown if b.kind not in ("cell", "control", "notice")]
+    found = findings(texts + [("|" + t, False) for t in cells])
+    prose = any(article_weight(b.text) for b in blocks if b.kind not in ("cell", "control", "notice", "heading"))
     # a heading of the article counts as one where any paragraph of the page could stand below it
-    if asked and "error" not in found and all(heading and not prose for _, heading in texts) and not any(b.kind == "cell" for b in blocks):
+    if asked and "error" not in found and all(heading and not prose for _, heading in texts) and not cells:
         found.append("error")
     return found
 
