@@ -96,7 +96,7 @@ def site_lines() -> list[str]:
 
 
 _EN = (
-    "the miller|a king|her horse|the old guard|this sword|the northern gate|every player|a small village|the dragon|our hero|the blue potion|his brother|the second boss|an empty room|the harvest|a wooden bridge|the council|an early map|the river|the merchant",
+    "the miller|a king|her horse|the old guard|this sword|the northern gate|every player|a small village|the dragon|our hero|the blue potion|his brother|the second boss|an empty room|the harvest|a wooden bridge|the council|an early map|the river|the merchant|there is an owl that|there are wolves and nobody",
     " carries| protects| opens| needs| finds| was built near| grows beside| never leaves| gives| weakens| sells| learned from| depends on| attacks| remembers| increases| is made of| looks like",
     " a heavy shield| three coins| the eastern road| more damage than before| some water| the winter camp| stone and iron| a quiet song| the lost crown| enough food for a week| an enemy at night| its own tail| two letters| the page in the library| a key| an inn on the hill| it in the rain| something at home| an old text| its content| a list of names",
 )
@@ -105,7 +105,7 @@ _DE = (
     " trägt| schützt| öffnet| braucht| findet| steht neben| verlässt nie| kauft| stärkt| erinnert an| liegt hinter| lernt von",
     " ein schweres Schild| drei Münzen| die Straße im Osten| etwas Wasser| das Lager im Winter| Stein und Eisen| ein leises Lied| genug Brot auf dem Dach| den Feind bei Nacht| zwei Briefe| ein Haus unter der Brücke| es im Garten| sich vor dem Sturm",
 )
-_ZH = ("国王|商人|老守卫|英雄|村子|巨龙|玩家|小河|骑士|桥", "保护|打开|需要|发现|带着|学会|卖掉|靠近|想起|离开", "三枚金币|旧地图|北边的路|一把钥匙|很多食物|冬天的营地|失落的王冠|木头和石头|夜里的敌人|一首歌")
+_ZH = ("国王|商人|老守卫|英雄|村子|巨龙|玩家|小河|骑士|桥", "保护|打开|需要|发现|带着|学会|卖掉|靠近|想起|离开|找到|看见|这里有", "三枚金币|旧地图|北边的路|一把钥匙|很多食物|冬天的营地|失落的王冠|木头和石头|夜里的敌人|一首歌")
 
 
 def prose() -> list[str]:
