@@ -44,7 +44,7 @@ def _article(r: random.Random, han: bool, para: str, promos: list[str], short: b
         if r.random() < (0.4 if short else 0.9 if k else 0.6):
             out.append(f"<h{r.choice('23')}>{text(1, 4)}</h2>")
         for _ in range(1 if short else r.randint(1, 4)):
-            out.append(para % text(4, 12 if short or r.random() < 0.3 else 90))
+            out.append(para % text(4, r.choice((12, 40, 90)) if short else 12 if r.random() < 0.3 else 90))
         if short:
             continue
         kind = r.random()
@@ -86,7 +86,7 @@ def _page(r: random.Random) -> str:
         (f"<div {name('callout')}><b>{w(1, 3)}</b><p>{w(4, 16)}</p></div>", 0.15),
     ) if r.random() < share]
     para = r.choice(("<p>%s</p>", "<p>%s", f"<div {name('txt')}>%s</div>"))
-    body = _article(r, han, para, promos, r.random() < 0.2)
+    body = _article(r, han, para, promos, r.random() < 0.35)
     crumbs = f"<div {name('breadcrumbs')}><a href=\"/\">{w(1, 1)}</a> &raquo; <a href=\"/c\">{w(1, 2)}</a></div>" if r.random() < 0.4 else ""
     comment = lambda: f"<div {name('c')}><b>{_word(r)}{r.randint(1, 99)}</b><p>{w(3, 30)}</p></div>"
     comments = f"<div {name('comments')}><h3>{w(1, 2)} (3)</h3>{''.join(comment() for _ in range(r.randint(1, 4)))}</div>" if r.random() < 0.4 else ""
@@ -110,7 +110,7 @@ def _page(r: random.Random) -> str:
     return f"<html><head><title>{w(1, 3)}</title></head><body>{page}</body></html>"
 
 
-def pages(n: int = 600, seed: int = 5) -> list[str]:
+def pages(n: int = 2000, seed: int = 5) -> list[str]:
     """The labelled pages; the same ones at every call."""
     r = random.Random(seed)
     return [_page(r) for _ in range(n)]

@@ -2,7 +2,7 @@
 
 A page becomes flat text blocks. Each block is described by its own word count and link density,
 those of its neighbours, and the make-up of the container it stands in, measured against the
-container that holds most running text. A decision tree trained on the labelled table of
+container that holds most running text; names of classes and ids play no part. A decision tree trained on the labelled table of
 :mod:`siltweave.llm.labelled_pages` keeps or drops each block. The tree (a few hundred numbers) is
 grown on the driver; pages never leave their partition, so there is no shuffle of page text.
 
@@ -28,12 +28,9 @@ from siltweave.session import spread
 
 BLOCK_CHARS = 40
 _KINDS = {"heading": 0, "p": 1, "li": 2, "quote": 3, "pre": 4, "cell": 5, "caption": 6, "control": 7, "formula": 8}
-#: Names that sites give to what is not the article, and to what is.
-_OUTSIDE = re.compile(r"\b(nav\w*|menu|top-?\w*|bar|side\w*|aside|panel|widgets?|foot\w*|\w+footer|header|comments?|repl(?:y|ies)|c|cookie\w*|consent|gdpr\w*|privacy|banner|share|social|promo\w*|newsletter|subscribe\w*|ads?|adverts?|sponsor\w*|related|recommend\w*|breadcrumbs?|popup|modal|mw-panel|mw-navigation|l)\b")
-_INSIDE = re.compile(r"\b(article|main|content|post|entry|body|story|text|mw-parser-output|mw-body|m)\b")
 #: Containers that only arrange others.
 _LISTS = {"ul", "ol", "dl", "tbody", "thead", "tfoot", "tr"}
-FEATURES = 24
+FEATURES = 23
 
 
 def _count(text: str) -> float:
@@ -74,19 +71,12 @@ def features(nodes: list[Node], blocks: list[Block]) -> list[list[float]]:
         linked_blocks[h] += d > 0.7
         if b.kind in ("p", "li", "quote", "pre"):
             plain[h] += w * (1 - d)
-    outside, inside = [0] * size, [0] * size
     score = [0.0] * size
     for x in nodes:
-        named = f"{x.tag} {x.names}"
-        out = 1 if _OUTSIDE.search(named) else 0
-        inside[x.at] = 1 if _INSIDE.search(named) else 0
-        outside[x.at] = max(out, outside[x.parent] if x.parent >= 0 else 0)
         s = plain[x.at] + 4 * min(heads[x.at], 3)
         if count[x.at]:
             s *= 1 - 0.7 * linked_blocks[x.at] / count[x.at]
-        if x.controls:
-            s *= 0.1
-        score[x.at] = s * (0.3 if outside[x.at] else 1.0) * (1.5 if inside[x.at] else 1.0)
+        score[x.at] = s * 0.1 if x.controls else s
     main = max(range(size), key=score.__getitem__)
     above = set()
     k = main
@@ -108,7 +98,7 @@ def features(nodes: list[Node], blocks: list[Block]) -> list[list[float]]:
                 place[h] = (1 if k == main else 3, steps)
         return place[h]
 
-    page = sum(words) or 1.0
+    page, most = sum(words) or 1.0, max(words) or 1.0
     paragraphs = sum(b.kind == "p" and b.tag == "p" and h == main for b, h in zip(blocks, home))
     rows = []
     for k, b in enumerate(blocks):
@@ -121,13 +111,13 @@ def features(nodes: list[Node], blocks: list[Block]) -> list[list[float]]:
             words[k - 1] if k else 0.0, density[k - 1] if k else 0.0, _KINDS[blocks[k - 1].kind] if k else -1.0,
             words[k + 1] if k + 1 < n else 0.0, density[k + 1] if k + 1 < n else 0.0, _KINDS[blocks[k + 1].kind] if k + 1 < n else -1.0,
             relation, steps, x.controls, c, total[h], plain[h] / max(1.0, total[h]), linked_blocks[h] / c, heads[h],
-            total[h] / page, outside[h], inside[h],
-            leaves.get(nodes[b.node].names, 0) if b.node != h and b.kind == "p" else -1.0, paragraphs, outside[b.node], k / n,
+            total[h] / page, words[k] / page, words[k] / most,
+            leaves.get(nodes[b.node].names, 0) if b.node != h and b.kind == "p" else -1.0, paragraphs, k / n,
         ])
     return rows
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 30) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 12) -> tuple:
     """A binary decision tree (Gini) as nested tuples (feature, cut, below, above) with 0/1 leaves."""
     ones = y.sum()
     leaf = (int(2 * ones >= len(y)),)
