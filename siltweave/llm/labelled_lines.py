@@ -96,9 +96,9 @@ def site_lines() -> list[str]:
 
 
 _EN = (
-    "the miller|a king|her horse|the old guard|this sword|the northern gate|every player|a small village|the dragon|our hero|the blue potion|his brother|the second boss|an empty room|the harvest|a wooden bridge|the council|an early map|the river|the merchant|there is an owl that|there are wolves and nobody",
-    " carries| protects| opens| needs| finds| was built near| grows beside| never leaves| gives| weakens| sells| learned from| depends on| attacks| remembers| increases| is made of| looks like",
-    " a heavy shield| three coins| the eastern road| more damage than before| some water| the winter camp| stone and iron| a quiet song| the lost crown| enough food for a week| an enemy at night| its own tail| two letters| the page in the library| a key| an inn on the hill| it in the rain| something at home| an old text| its content| a list of names",
+    "the miller|a king|her horse|the old guard|this sword|the northern gate|every player|a small village|the dragon|our hero|the blue potion|his brother|the second boss|an empty room|the harvest|a wooden bridge|the council|an early map|the river|the merchant|there is an owl that|there are wolves and nobody|the mod|the editor before it",
+    " carries| protects| opens| needs| finds| was built near| grows beside| never leaves| gives| weakens| sells| learned from| depends on| can load| need| attacks| remembers| increases| is made of| looks like",
+    " a heavy shield| three coins| the eastern road| more damage than before| some water| the winter camp| stone and iron| a quiet song| the lost crown| enough food for a week| an enemy at night| its own tail| two letters| the page in the library| a key| an inn on the hill| it in the rain| something at home| an old text| its content| a list of names| JavaScript in the editor| to be enabled before the load",
 )
 _DE = (
     "der Müller|die Königin|das alte Tor|ein Händler|die Wache|jeder Spieler|das Dorf|der Drache|ihr Bruder|die Brücke|ein Ritter|der zweite Gegner|es gibt hier|wer sieht|danach",

@@ -246,6 +246,11 @@ def article_weight(text: str) -> int:
     return weight
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text reads like a sentence of an article."""
+    return len(text) >= 20 and leaning(text, weights("site")) < -0.2 and leaning(text, weights("message")) < -0.2
+
+
 def is_error(texts: list[tuple[str, bool]]) -> bool:
     """Whether texts (text, heading?) are a message without an article."""
     whole = 0
@@ -287,13 +292,16 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
     blocks = read(cut, notices=True)[1]
     asked = any(b.kind == "notice" and is_message(b.text) for b in blocks)
     cells = [b.text for b in blocks if b.kind == "cell"]
-    shown = blocks if fragment else article(cut, model)
-    texts = [(b.text, b.kind == "heading") for b in shown if b.kind not in ("cell", "control", "notice")]
+    texts = [(b.text, b.kind == "heading") for b in (blocks if fragment else article(cut, model)) if b.kind not in ("cell", "control", "notice")]
+    if all(heading for _, heading in texts) and not fragment:
+        # no text was taken for the article: what speaks without links and isn't the site's stands in its place
+        texts += [(b.text, False) for b in blocks if b.kind in ("p", "quote") and not b.linked and (leaning(b.text, weights("site")) <= max(0.0, leaning(b.text, weights("message"))) or is_filler(b.text))]
     found = findings(texts + [("|" + t, False) for t in cells])
-    prose = any(article_weight(b.text) for b in blocks if b.kind not in ("cell", "control", "notice", "heading"))
     # a heading of the article counts as one where any paragraph of the page could stand below it
-    if asked and "error" not in found and all(heading and not prose for _, heading in texts) and not cells:
-        found.append("error")
+    if asked and "error" not in found and not cells and not any(article_weight(t) or is_plain(t) for t, heading in texts if not heading):
+        prose = any(article_weight(b.text) for b in blocks if b.kind in ("p", "li", "quote", "pre"))
+        if not (prose and any(heading for _, heading in texts)):
+            found.append("error")
     return found
 
 
