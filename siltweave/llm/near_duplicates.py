@@ -8,19 +8,24 @@ on, so copies never meet in a band. For each representative one Arrow pass gives
 * ``odd``: an odd sketch, a bitmap in which every (sample number, sample) pair flips one bit.
 
 Representatives that share a band are candidates. The population count of the XOR of two odd
-sketches estimates their similarity; candidates far below the threshold are dropped in the JVM
-before any text moves, the others are verified exactly on their shingle sets.
+sketches estimates their similarity with a standard error of at most 0.042 (measured; less the more
+alike they are). It decides all pairs further than MARGIN, four standard errors, from the threshold,
+in the JVM and without their texts; only the pairs between are verified on their shingle sets.
 
 With BANDS bands of ROWS rows a pair of similarity s is missed with probability
 (1 - s**ROWS)**BANDS: 0.6 gives 1.4e-4, 0.65 gives 3e-6. Pairs that only share site furniture
 (similarity 0.1) meet with probability 0.006, so candidates stay few in a large site.
 
+Classes need no pairs within a class: each member of a band is first compared with the band's least
+representative alone; then only members of one band that are in different classes yet meet.
+
 Texts with many shingles take all samples from one hash of each shingle (one permutation, split
 into bins; an empty bin borrows from a bin drawn by its number), short ones from one hash function
 a sample.
 
-There is no cap on bands, candidates or partners. A band shared by many representatives is
-joined with itself as a shuffle join, which AQE splits when it is skewed.
+There is no cap on bands, candidates or partners. A band shared by more than HOT representatives is
+joined in parts: one side is split by a salt, the other repeated for each part, so that no task
+holds more than HOT times the band's size.
 
 Defined results: null texts, texts folded to fewer than ``max(k, min_chars)`` characters and
 null ids have no partner; a null group is a group of its own; repeated rows of one id count
@@ -43,8 +48,10 @@ BANDS, ROWS, ODD_LONGS = 64, 4, 16
 SAMPLES = BANDS * ROWS
 #: From this least length on all samples come from one permutation.
 BINNED_CHARS = 200
-#: Odd-sketch estimates this far below the threshold are not verified (over four standard errors).
-SLACK = 0.25
+#: Odd-sketch estimates this far from the threshold decide (four standard errors).
+MARGIN = 0.17
+#: Members of a band from which on its pairs are made in parts.
+HOT = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,25 +198,54 @@ def _exact(k: int, threshold: float):
     return run
 
 
-def near_duplicates(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(links, members): ``links`` (rep_a, rep_b) between representatives of similarity >= threshold,
-    ``members`` (id, rep) of every record that takes part; copies share a representative."""
+def sketched(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, members, own): bands and odd sketch of each representative, (id, rep) of every record
+    that takes part (copies share a representative), and the representatives' rows (id, grp, text)."""
     grp = F.lit(0).cast("long") if group is None else F.xxhash64(F.lit("g"), group)
     base = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull()).select(F.col(record_id).cast("long").alias("id"), grp.alias("grp"), F.col(text).alias("text"))
-    hashed = cut(spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary"))
+    hashed = spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary").distinct()
+    hashed = cut(hashed)
     firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
-    members = cut(hashed.join(firsts, ["grp", "same"]).select("id", "rep").distinct())
-    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi").dropDuplicates(["id"])
-    sketched = cut(own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>"))
-    cells = sketched.select("rep", F.explode("bands").alias("key"))  # a key tells its band
-    pairs = cells.withColumnRenamed("rep", "rep_a").join(cells.withColumnRenamed("rep", "rep_b"), "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    odd = sketched.select("rep", "odd")
-    pairs = pairs.join(odd.select(F.col("rep").alias("rep_a"), F.col("odd").alias("odd_a")), "rep_a").join(odd.select(F.col("rep").alias("rep_b"), F.col("odd").alias("odd_b")), "rep_b")
-    near = pairs.where(odd_similarity(F.col("odd_a"), F.col("odd_b")) >= threshold - SLACK).select("rep_a", "rep_b")
-    texts = own.select("id", "text")
-    near = near.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
-    links = cut(near.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(_exact(k, threshold), "rep_a long, rep_b long"))
-    return links, members
+    members = cut(hashed.join(firsts.hint("merge"), ["grp", "same"]).select("id", "rep").distinct())
+    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
+    bands = own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>")
+    return cut(bands.dropDuplicates(["rep"])), members, own.dropDuplicates(["id"])
+
+
+def _cells(sketches: DataFrame) -> DataFrame:
+    """(rep, key, n) of the bands that n > 1 representatives share; a key tells its band."""
+    cells = sketches.select("rep", F.explode("bands").alias("key"))
+    return cells.join(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (rep_a, rep_b) of rows (rep, n, on) of two tables that agree on ``on``, hot ones in parts."""
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    left = a.select(*on, F.col("rep").alias("rep_a"), F.pmod(F.hash("rep"), parts).alias("part"))
+    right = b.select(*on, F.col("rep").alias("rep_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return left.join(right, [*on, "part"]).select("rep_a", "rep_b")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, own: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The distinct pairs of similarity >= threshold."""
+    odd = sketches.select("rep", "odd")
+    pairs = pairs.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+    pairs = pairs.join(odd.select(F.col("rep").alias("rep_a"), F.col("odd").alias("odd_a")).hint("merge"), "rep_a").join(odd.select(F.col("rep").alias("rep_b"), F.col("odd").alias("odd_b")).hint("merge"), "rep_b")
+    near = cut(pairs.select("rep_a", "rep_b", odd_similarity(F.col("odd_a"), F.col("odd_b")).alias("s")).where(F.col("s") >= threshold - MARGIN))
+    doubt = near.where(F.col("s") < threshold + MARGIN).select("rep_a", "rep_b")
+    texts = own.join(doubt.select(F.explode(F.array("rep_a", "rep_b")).alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
+    doubt = doubt.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")).hint("merge"), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")).hint("merge"), "rep_b")
+    exact = doubt.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(_exact(k, threshold), "rep_a long, rep_b long")
+    return cut(near.where(F.col("s") >= threshold + MARGIN).select("rep_a", "rep_b").unionByName(exact))
+
+
+def near_duplicates(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(links, members): ``links`` (rep_a, rep_b) between representatives of similarity >= threshold,
+    ``members`` (id, rep) of every record that takes part; copies share a representative."""
+    sketches, members, own = sketched(df, record_id, text, k, group, min_chars)
+    cells = cut(_cells(sketches))
+    pairs = _met(cells, cells, ["key"]).where("rep_a < rep_b")
+    return verified(pairs, sketches, own, k, threshold), members
 
 
 def odd_similarity(a, b):
@@ -228,13 +264,13 @@ def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def classes(links: DataFrame, members: DataFrame) -> DataFrame:
-    """One row a record: its class (smallest id reachable over links) and its number of linked texts.
+def _components(edges: DataFrame) -> DataFrame:
+    """(rep, label): the least representative that can be reached over links (rep_a, rep_b), of each that has one.
 
     Minimum labels spread over the links and are then looked up through one another (pointer
     jumping), so long chains close in logarithmically many rounds.
     """
-    edges = cut(links.select("rep_a", "rep_b").unionByName(links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))))
+    edges = cut(edges.select("rep_a", "rep_b").unionByName(edges.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))).distinct())
     label = cut(edges.groupBy("rep_a").agg(F.least(F.min("rep_b"), F.col("rep_a")).alias("label")).withColumnRenamed("rep_a", "rep"))
     while True:
         spread = edges.join(label.withColumnRenamed("rep", "rep_b").withColumnRenamed("label", "other"), "rep_b").groupBy("rep_a").agg(F.min("other").alias("other"))
@@ -243,6 +279,35 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
         after = cut(lower.join(jump, "low", "left").select("rep", F.least("low", F.coalesce("far", "low")).alias("new"), "label"))
         label = after.select("rep", F.col("new").alias("label"))
         if after.where("new < label").isEmpty():
-            break
-    degree = edges.groupBy(F.col("rep_a").alias("rep")).agg(F.count("*").alias("n_links"))
-    return members.join(label, "rep", "left").join(degree, "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+            return label
+
+
+def classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, n_links): one row a record; its class by all links, and the number of texts it is linked to."""
+    ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
+    out = members.join(_components(links), "rep", "left").join(ends.groupBy("rep").agg(F.count("*").alias("n_links")), "rep", "left")
+    return out.select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def classes_of(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0, threshold: float = 0.6) -> DataFrame:
+    """(id, class_id): one row a record; a class is what links of similarity >= threshold connect, named
+    by its smallest id. Records without a partner are a class of their own.
+
+    First every member of a band is compared with the band's least one. That settles most classes; of
+    what is left only members of one band in different classes are compared, so a site of n pages of one
+    template makes n pairs a band and not n * n, and no link between classes is lost.
+    """
+    sketches, members, own = sketched(df, record_id, text, k, group, min_chars)
+    cells = cut(_cells(sketches))
+    least = cells.groupBy("key").agg(F.min("rep").alias("rep_b"))
+    stars = verified(cells.select("key", F.col("rep").alias("rep_a")).join(least, "key").select("rep_a", "rep_b"), sketches, own, k, threshold)
+    first = _components(stars)
+    named = cut(cells.join(first, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
+    groups = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    meet = groups.select("key", F.col("label").alias("la")).join(groups.select("key", F.col("label").alias("lb"), F.col("m").alias("n")), "key").where("la < lb")
+    across = meet.join(named.select("key", F.col("rep").alias("rep_a"), F.col("label").alias("la")), ["key", "la"])
+    across = across.select(F.col("rep_a").alias("rep"), "n", "key", F.col("lb").alias("label"))
+    rest = named.join(groups.withColumnRenamed("m", "n"), ["key", "label"])
+    links = verified(_met(across, rest, ["key", "label"]), sketches, own, k, threshold)
+    label = _components(stars.unionByName(links))
+    return members.join(label, "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))

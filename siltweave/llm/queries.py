@@ -71,8 +71,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row a record: its class and the number of other texts it is linked to."""
-    content, title = near_duplicates.classes(*_contents(spark, d)), near_duplicates.classes(*_titles(spark, d))
+    """One row a record with its class."""
+    content = near_duplicates.classes_of(table(spark, d, "results"), "result_id", "content", 12, min_chars=300)
+    title = near_duplicates.classes_of(table(spark, d, "manifest"), "page_seq", "title", 3, group="domain")
     return content.select(F.lit("content").alias("src"), "*").unionByName(title.select(F.lit("title").alias("src"), "*"))
 
 

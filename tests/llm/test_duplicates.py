@@ -82,3 +82,14 @@ def test_odd_sketch_estimates(spark):
     df = spark.createDataFrame(rows, "s double, a array<long>, b array<long>")
     for r in df.select("s", N.odd_similarity(df.a, df.b).alias("e")).collect():
         assert abs(r["s"] - r["e"]) < 0.12
+
+
+def test_classes_without_all_pairs(spark, monkeypatch):
+    """Star links and links between classes give the same classes as all links, whatever counts as hot."""
+    monkeypatch.setattr(N, "HOT", 3)
+    rows = [(i, g, t) for i, g, t in texts(120, 4)] + [(500 + i, "x", "same text " * 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, g string, t string")
+    links, members = N.near_duplicates(df, "id", "t", 8)
+    assert {tuple(r) for r in N.pairs_of(links, members).distinct().collect()} == brute([(i, 0, t) for i, _, t in rows], 8)
+    want = {r["id"]: r["class_id"] for r in N.classes(links, members).collect()}
+    assert {r["id"]: r["class_id"] for r in N.classes_of(df, "id", "t", 8).collect()} == want
