@@ -77,25 +77,21 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return content.select(F.lit("content").alias("src"), "*").unionByName(title.select(F.lit("title").alias("src"), "*"))
 
 
-def _patterns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    results = table(spark, d, "results")
-    return results, repeated_lines.sequential_patterns(results, "result_id", "domain", "content")
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    patterns, sequences = repeated_lines.mine(table(spark, d, "results"), "result_id", "domain", "content")
-    return repeated_lines.marked(sequences, patterns).select(F.col("doc").alias("result_id"), "line_no").distinct()
+    _, marked, _ = repeated_lines.frequent_lines(table(spark, d, "results"), "result_id", "domain", "content")
+    return marked.select(F.col("doc").alias("result_id"), "line_no").distinct()
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Frequent line sequences by domain and length."""
-    _, patterns = _patterns(spark, d)
+    patterns = repeated_lines.sequential_patterns(table(spark, d, "results"), "result_id", "domain", "content")
     return patterns.groupBy(F.col("source").alias("domain"), F.size("keys").alias("n_lines")).agg(F.count("*").alias("n_sequences"), F.max("n_docs").alias("most_docs"))
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every content without the lines its domain repeats."""
-    results, patterns = _patterns(spark, d)
+    results = table(spark, d, "results")
+    patterns = repeated_lines.sequential_patterns(results, "result_id", "domain", "content", max_length=1)
     return repeated_lines.without_repeated(results, patterns, "result_id", "domain", "content").select("result_id", "content")
 
 
