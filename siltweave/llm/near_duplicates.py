@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.llm.words import folded
-from siltweave.session import cut, spread
+from siltweave.session import cut, small_side, spread
 
 BANDS, ROWS, ODD_LONGS = 64, 4, 16
 SAMPLES = BANDS * ROWS
@@ -147,33 +147,46 @@ def odd_sketches(sample: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64).reshape(n, ODD_LONGS)
 
 
-def _sketches(k: int, binned: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
-                sets = [shingles(folded(t.as_py()), k) for t in batch.column(1)]
-                sample = np.array([binned_samples(x) for x in sets]) if binned else samples(sets)
-                found = (band_keys(sample, np.array(batch.column(2).to_pylist(), np.int64)), odd_sketches(sample))
-                cols = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()) for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rep", "bands", "odd"])
-
-    return run
+#: Folded texts that a task remembers, so that copies it meets again are not sketched again.
+SEEN = 100_000
 
 
-def _hashes(k: int, min_chars: int):
+def _sketches(k: int, min_chars: int):
     import xxhash
 
+    binned = min_chars >= BINNED_CHARS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, groups, keys = [], [], []
-            for i, g, text in zip(*(c.to_pylist() for c in batch.columns)):
-                f = folded(text)
-                if len(f) >= max(k, min_chars):
+        seen: dict[tuple[int, bytes], None] = {}
+        for big in batches:
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
+                ids, groups, keys, sets, salts, fresh = [], [], [], [], [], []
+                for i, g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    f = folded(text.as_py())
+                    if len(f) < max(k, min_chars):
+                        continue
+                    same = (g, xxhash.xxh3_128_digest(f.encode()))
                     ids.append(i)
                     groups.append(g)
-                    keys.append(xxhash.xxh3_128_digest(f.encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int64()), pa.array(keys, pa.binary())], ["id", "grp", "same"])
+                    keys.append(same[1])
+                    fresh.append(same not in seen)
+                    if fresh[-1]:
+                        seen[same] = None
+                        if len(seen) > SEEN:
+                            del seen[next(iter(seen))]
+                        sets.append(shingles(f, k))
+                        salts.append(g)
+                cols = []
+                if sets:
+                    sample = np.array([binned_samples(x) for x in sets]) if binned else samples(sets)
+                    place = np.cumsum(fresh) - 1
+                    for x in (band_keys(sample, np.array(salts, np.int64)), odd_sketches(sample)):
+                        lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+                        cols.append(lists.take(pa.array([int(p) if new else None for p, new in zip(place, fresh)], pa.int64())))
+                else:
+                    cols = [pa.nulls(len(ids), pa.list_(pa.int64()))] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int64()), pa.array(keys, pa.binary()), *cols], ["id", "grp", "same", "bands", "odd"])
 
     return run
 
@@ -199,23 +212,26 @@ def _exact(k: int, threshold: float):
 
 
 def sketched(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches, members, own): bands and odd sketch of each representative, (id, rep) of every record
-    that takes part (copies share a representative), and the representatives' rows (id, grp, text)."""
+    """(sketches, members, texts): bands and odd sketch of each representative, (id, rep) of every record
+    that takes part (copies share a representative), and the texts (id, text) of all records.
+
+    One pass over the texts, which stay where they are.
+    """
     grp = F.lit(0).cast("long") if group is None else F.xxhash64(F.lit("g"), group)
     base = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull()).select(F.col(record_id).cast("long").alias("id"), grp.alias("grp"), F.col(text).alias("text"))
-    hashed = spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary").distinct()
-    hashed = cut(hashed)
-    firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
-    members = cut(hashed.join(firsts.hint("merge"), ["grp", "same"]).select("id", "rep").distinct())
-    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
-    bands = own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>")
-    return cut(bands.dropDuplicates(["rep"])), members, own.dropDuplicates(["id"])
+    hashed = cut(spread(base).mapInArrow(_sketches(k, min_chars), "id long, grp long, same binary, bands array<long>, odd array<long>"))
+    firsts = hashed.where("bands is not null").groupBy("grp", "same").agg(F.min("id").alias("rep"))
+    both = hashed.join(firsts.hint("merge"), ["grp", "same"])
+    members = cut(both.select("id", "rep").distinct())
+    return cut(both.where("id = rep and bands is not null").select("rep", "bands", "odd").dropDuplicates(["rep"])), members, base.select("id", "text")
 
 
-def _cells(sketches: DataFrame) -> DataFrame:
-    """(rep, key, n) of the bands that n > 1 representatives share; a key tells its band."""
-    cells = sketches.select("rep", F.explode("bands").alias("key"))
-    return cells.join(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+def _cells(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared, cells): the bands (key, n, least, most) of n > 1 representatives, and the members (key, n, rep)
+    of those of more than two. A key tells its band. Cells are shuffled once for both."""
+    cells = sketches.select("rep", F.explode("bands").alias("key")).repartition("key")
+    shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("n > 1")
+    return cut(shared), cut(cells.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"))
 
 
 def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -226,14 +242,15 @@ def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, [*on, "part"]).select("rep_a", "rep_b")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, own: DataFrame, k: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """The distinct pairs of similarity >= threshold."""
     odd = sketches.select("rep", "odd")
     pairs = pairs.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
     pairs = pairs.join(odd.select(F.col("rep").alias("rep_a"), F.col("odd").alias("odd_a")).hint("merge"), "rep_a").join(odd.select(F.col("rep").alias("rep_b"), F.col("odd").alias("odd_b")).hint("merge"), "rep_b")
     near = cut(pairs.select("rep_a", "rep_b", odd_similarity(F.col("odd_a"), F.col("odd_b")).alias("s")).where(F.col("s") >= threshold - MARGIN))
     doubt = near.where(F.col("s") < threshold + MARGIN).select("rep_a", "rep_b")
-    texts = own.join(doubt.select(F.explode(F.array("rep_a", "rep_b")).alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
+    named = small_side(cut(doubt.select(F.explode(F.array("rep_a", "rep_b")).alias("_r")).distinct()))
+    texts = texts.join(named, F.col("id") == F.col("_r"), "left_semi").dropDuplicates(["id"])
     doubt = doubt.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("text_a")).hint("merge"), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("text_b")).hint("merge"), "rep_b")
     exact = doubt.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(_exact(k, threshold), "rep_a long, rep_b long")
     return cut(near.where(F.col("s") >= threshold + MARGIN).select("rep_a", "rep_b").unionByName(exact))
@@ -242,10 +259,10 @@ def verified(pairs: DataFrame, sketches: DataFrame, own: DataFrame, k: int, thre
 def near_duplicates(df: DataFrame, record_id: str, text: str, k: int, group: str | None = None, min_chars: int = 0, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(links, members): ``links`` (rep_a, rep_b) between representatives of similarity >= threshold,
     ``members`` (id, rep) of every record that takes part; copies share a representative."""
-    sketches, members, own = sketched(df, record_id, text, k, group, min_chars)
-    cells = cut(_cells(sketches))
-    pairs = _met(cells, cells, ["key"]).where("rep_a < rep_b")
-    return verified(pairs, sketches, own, k, threshold), members
+    sketches, members, texts = sketched(df, record_id, text, k, group, min_chars)
+    shared, cells = _cells(sketches)
+    pairs = shared.where("n = 2").select(F.col("least").alias("rep_a"), F.col("most").alias("rep_b")).unionByName(_met(cells, cells, ["key"]).where("rep_a < rep_b"))
+    return verified(pairs, sketches, texts, k, threshold), members
 
 
 def odd_similarity(a, b):
@@ -297,17 +314,17 @@ def classes_of(df: DataFrame, record_id: str, text: str, k: int, group: str | No
     what is left only members of one band in different classes are compared, so a site of n pages of one
     template makes n pairs a band and not n * n, and no link between classes is lost.
     """
-    sketches, members, own = sketched(df, record_id, text, k, group, min_chars)
-    cells = cut(_cells(sketches))
-    least = cells.groupBy("key").agg(F.min("rep").alias("rep_b"))
-    stars = verified(cells.select("key", F.col("rep").alias("rep_a")).join(least, "key").select("rep_a", "rep_b"), sketches, own, k, threshold)
-    first = _components(stars)
-    named = cut(cells.join(first, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
+    sketches, members, texts = sketched(df, record_id, text, k, group, min_chars)
+    shared, cells = _cells(sketches)
+    stars = shared.where("n = 2").select(F.col("least").alias("rep_a"), F.col("most").alias("rep_b"))
+    stars = stars.unionByName(cells.select("key", F.col("rep").alias("rep_a")).join(shared.select("key", F.col("least").alias("rep_b")), "key").select("rep_a", "rep_b"))
+    stars = verified(stars, sketches, texts, k, threshold)
+    named = cut(cells.join(_components(stars), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
     groups = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     meet = groups.select("key", F.col("label").alias("la")).join(groups.select("key", F.col("label").alias("lb"), F.col("m").alias("n")), "key").where("la < lb")
     across = meet.join(named.select("key", F.col("rep").alias("rep_a"), F.col("label").alias("la")), ["key", "la"])
     across = across.select(F.col("rep_a").alias("rep"), "n", "key", F.col("lb").alias("label"))
     rest = named.join(groups.withColumnRenamed("m", "n"), ["key", "label"])
-    links = verified(_met(across, rest, ["key", "label"]), sketches, own, k, threshold)
+    links = verified(_met(across, rest, ["key", "label"]), sketches, texts, k, threshold)
     label = _components(stars.unionByName(links))
     return members.join(label, "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
