@@ -7,10 +7,15 @@ while few documents hold it. A document is described by quantiles of the grades
 expressions; a ridge regression on quantiles made with grades from the other folds, and cut
 points that split the fitted values into the levels, turn them into a level of 1 to 5.
 
+The counts are made in Spark (one row an expression and fold is summed, in whole numbers, so that the
+sums don't depend on their order); only grades and the 13 numbers that describe each rated document come to
+the driver, which solves the regression.
+
 Apply: one Arrow pass over all documents, whole texts, with the grade table broadcast.
 
 Bounds: the fit uses at most ``MAX_RATED`` rated documents (those with the smallest hash of their
-id), which bounds the grade table sent to the executors. Everything else covers all rows.
+id), which bounds the grade table sent to the executors: expressions of fewer than MIN_DOCS rated
+documents have no grade. Everything else covers all rows.
 
 Defined results: several ratings of a document are averaged, null ratings ignored; a null or
 empty text, or one without a known expression, gets the level whose quantiles are all in the
@@ -21,7 +26,7 @@ other columns are ignored; empty tables give an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltweave.session import spread
+from siltweave.session import cut, spread
 
 MAX_RATED = 4000
 LEVELS = 5
@@ -57,50 +62,44 @@ def describe(found: list[str], grades: dict[str, float]) -> np.ndarray:
     return np.concatenate((v[(np.array(QUANTILES) * (len(v) - 1)).round().astype(int)], [v.mean(), 1.0]))
 
 
-def _grades(weight: dict[str, np.ndarray], docs: dict[str, int], total: np.ndarray) -> dict[str, float]:
-    out, scale = {}, np.arange(1, LEVELS + 1)
-    for word, w in weight.items():
-        n = docs[word]
-        if n >= MIN_DOCS:
-            p = w / total
-            mean = float(p @ scale / p.sum())
-            out[word] = (n * mean + PRIOR * MIDDLE) / (n + PRIOR)
-    return out
+#: Shares are summed as whole numbers of this part.
+UNIT = 1 << 36
 
 
-def fit(rated: list[tuple[str, float]]) -> dict | None:
-    """The model from (text, mean rating) pairs: grades, weights and cut points."""
-    rated = [(t, y) for t, y in rated if t]
-    if not rated:
-        return None
-    found = [expressions(t) for t, _ in rated]
-    y = np.array([v for _, v in rated], float)
-    weight, docs, total = ([defaultdict(lambda: np.zeros(LEVELS)) for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)], np.full((FOLDS, LEVELS), 1e-9))
-    for k, words in enumerate(found):
-        share, low = np.zeros(LEVELS), int(np.clip(np.floor(y[k]), 1, LEVELS))
-        share[low - 1] = 1 - (y[k] - low)
-        if y[k] > low:
-            share[low] = y[k] - low
-        f, n = k % FOLDS, max(1, len(words))
-        for word, c in Counter(words).items():
-            weight[f][word] += share * (c / n)
-            docs[f][word] += 1
-        total[f] += share
-
-    def without(fold: int) -> dict[str, float]:
-        w, d = defaultdict(lambda: np.zeros(LEVELS)), Counter()
-        for f in range(FOLDS):
-            if f != fold:
-                d.update(docs[f])
-                for word, x in weight[f].items():
-                    w[word] += x
-        return _grades(w, d, sum(total[f] for f in range(FOLDS) if f != fold))
-
-    rows = np.zeros((len(found), len(QUANTILES) + 2))
-    for f in range(FOLDS):
-        grades = without(f)
-        for k in range(f, len(found), FOLDS):
-            rows[k] = describe(found[k], grades)
+def _shares(y: float) -> np.ndarray:
+    """A mean rating as shares of the two levels next to it."""
+    share, low = np.zeros(LEVELS), int(np.clip(np.floor(y), 1, LEVELS))
+    share[low - 1] = 1 - (y - low)
+    if y > low:
+        share[low] = y - low
+    return share
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, fold, n_docs, w1..w5): what the documents of a batch (text, y, fold) say of each expression."""
+    for batch in batches:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for text, y, fold in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            found = expressions(text)
+            share = _shares(y) / max(1, len(found))
+            for word, c in Counter(found).items():
+                row = np.concatenate(([1], np.round(share * c * UNIT))).astype(np.int64)
+                at = sums.get((word, fold))
+                sums[word, fold] = row if at is None else at + row
+        table = np.array(list(sums.values()), np.int64).reshape(len(sums), 1 + LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in sums], pa.string()), pa.array([f for _, f in sums], pa.int32()), *(pa.array(table[:, k]) for k in range(1 + LEVELS))], ["word", "fold", "n_docs", *(f"w{k}" for k in range(1, LEVELS + 1))])
+
+
+def _grade(n, w: list, total: np.ndarray):
+    """The acquisition grade from document count, weights by level and the levels' totals, as a column; null below MIN_DOCS."""
+    p = [x / float(t) for x, t in zip(w, total)]
+    whole = sum(p[1:], p[0])
+    mean = sum((x * (k + 1) for k, x in enumerate(p)), F.lit(0.0)) / whole
+    return F.when((n >= MIN_DOCS) & (whole > 0), (n * mean + PRIOR * MIDDLE) / (n + PRIOR))
+
+
+def _regressed(rows: np.ndarray, y: np.ndarray) -> dict:
+    """Centre, weights and cut points that turn descriptions into levels."""
     centre = np.append(rows[:, :-1].mean(0), 0)
     x = rows - centre
     penalty = RIDGE * np.eye(x.shape[1])
@@ -116,7 +115,7 @@ def fit(rated: list[tuple[str, float]]) -> dict | None:
             if len(tries):
                 cut = tries[np.argmin([((fitted > c) != (level > k)).sum() for c in tries])]
         cuts.append(float(cut))
-    return {"grades": without(-1), "centre": centre, "coef": coef, "cuts": sorted(cuts)}
+    return {"centre": centre, "coef": coef, "cuts": sorted(cuts)}
 
 
 def level_of(text: str | None, model: dict) -> int:
@@ -126,11 +125,33 @@ def level_of(text: str | None, model: dict) -> int:
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> dict | None:
     """The model of the rated documents, at most ``max_rated`` of them."""
-    mean = labels.where(F.col("level").between(1, LEVELS)).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("level").alias("_y"))
+    spark = docs.sparkSession
+    mean = labels.where(F.col("level").between(1, LEVELS)).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("level").alias("y"))
     mean = mean.orderBy(F.xxhash64("_id"), "_id").limit(max_rated)
     texts = docs.select("doc_id", "text").join(F.broadcast(mean), F.col("doc_id") == F.col("_id"))  # at most max_rated rows
-    rows = texts.select("_id", "text", "_y").dropDuplicates(["_id"]).toPandas().sort_values("_id")
-    return fit(list(zip(rows["text"], rows["_y"])))
+    texts = cut(texts.where(F.length("text") > 0).dropDuplicates(["_id"]).select("text", "y", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("fold"), "_id"))
+    ratings = texts.select("fold", "y").collect()  # at most max_rated rows of two numbers
+    if not ratings:
+        return None
+    levels_of = [f"w{k}" for k in range(1, LEVELS + 1)]
+    total = np.full((FOLDS, LEVELS), 1e-9)
+    for fold, y in ratings:
+        total[fold] += _shares(y)
+    counted = texts.select("text", "y", "fold").mapInArrow(_counts, "word string, fold int, n_docs long, " + ", ".join(f"{c} long" for c in levels_of))
+    counted = counted.groupBy("word", "fold").agg(*(F.sum(c).alias(c) for c in ("n_docs", *levels_of)))
+    words = counted.groupBy("word").agg(*(F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(-1, FOLDS) for c in ("n_docs", *levels_of)))
+    grade = [_grade(F.col(f"n_docs_{f}"), [F.col(f"{c}_{f}") / UNIT for c in levels_of], total.sum(0) - (total[f] if f >= 0 else 0)).alias(f"g{f}") for f in range(-1, FOLDS)]
+    table = words.select("word", *grade).where("`g-1` is not null").toPandas()
+    tables = [{w: g for w, g in zip(table["word"], table[f"g{f}"]) if g == g} for f in range(-1, FOLDS)]
+    shared = spark.sparkContext.broadcast(tables)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [describe(expressions(t), shared.value[1 + f]).tolist() for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    rows = texts.select("text", "y", "fold", F.col("_id").cast("long").alias("_id")).mapInArrow(described, "id long, y double, x array<double>").orderBy("id").collect()  # max_rated rows of 13 numbers
+    return {"grades": tables[0], **_regressed(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))}
 
 
 def levels(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, rated_from: DataFrame | None = None) -> DataFrame:
