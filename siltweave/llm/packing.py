@@ -9,8 +9,8 @@
    budget holds. What a batch leaves free is topped up with the longest shorter texts that fit. The
    plan speaks of lengths and counts only, so its size does not depend on the number of texts.
 4. Every text finds its place from its length and its rank among texts of that length. Ranks are
-   made in salted groups and shifted by the groups' running counts, so a length that a third of all
-   texts share is no hot key.
+   made in groups, as many for a length as its count calls for, and shifted by the groups' running
+   counts, so a length that a third of all texts share is no hot key.
 
 Defined results: null texts and texts without a token are not placed; repeated rows are placed as
 often as they occur; capacities that are null or below 1 are ignored, without any left nothing is
@@ -33,9 +33,8 @@ from siltweave.session import cut, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The usual word splitting of byte-level BPE (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SALTS = 64
-#: Bucket boundaries are looked for on at most so many distinct lengths.
-GRID = 8192
+#: About so many texts of one length are ranked in one task; a length that more texts share is salted.
+GROUP = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -67,26 +66,23 @@ def buckets(lengths: np.ndarray, counts: np.ndarray, capacities: list[int]) -> l
 
     A bucket's batches hold floor(capacity / longest) texts each; its padding is what they leave free.
     """
-    step = -(-len(lengths) // GRID)
-    ends = np.unique(np.append(np.arange(step - 1, len(lengths), step), len(lengths) - 1))
-    tops = lengths[ends]
-    n = np.concatenate(([0], np.cumsum(counts)[ends]))
-    tokens = np.concatenate(([0], np.cumsum(counts * lengths)[ends]))
-    best = np.full(len(ends) + 1, np.inf)
+    n = np.concatenate(([0], np.cumsum(counts)))
+    tokens = np.concatenate(([0], np.cumsum(counts * lengths)))
+    best = np.full(len(lengths) + 1, np.inf)
     best[0] = 0
-    came = [(0, 0)] * (len(ends) + 1)
-    for j in range(1, len(ends) + 1):
+    came = [(0, 0)] * (len(lengths) + 1)
+    for j in range(1, len(lengths) + 1):
         for c in capacities:
-            k = c // tops[j - 1]
+            k = c // lengths[j - 1]
             if k:
                 cost = best[:j] + -(-(n[j] - n[:j]) // k) * float(c) - (tokens[j] - tokens[:j])
                 i = int(np.argmin(cost))
                 if cost[i] < best[j]:
                     best[j], came[j] = cost[i], (i, c)
-    out, j = [], len(ends)
+    out, j = [], len(lengths)
     while j:
         i, c = came[j]
-        out.append((int(lengths[0] if i == 0 else lengths[ends[i - 1] + 1]), int(tops[j - 1]), c))
+        out.append((int(lengths[i]), int(lengths[j - 1]), c))
         j = i
     return out
 
@@ -164,7 +160,9 @@ def packed(docs: DataFrame, containers: DataFrame, path: str = TOKENIZER) -> Dat
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(largest).cast("long"), F.col("n_tokens") - F.col("piece") * largest).alias("length"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `largest` rows
     where = spark.sparkContext.broadcast((places(plan(histogram, sorted(kinds))), kinds, largest))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
+    parts = spark.createDataFrame([(int(k), -(-int(n) // GROUP)) for k, n in histogram.items()] or [(0, 1)], "length long, parts int")
+    pieces = pieces.join(F.broadcast(parts), "length")  # one row a length, at most `largest`
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int")
     ranked = pieces.withColumn("salt", salt).withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
     groups = pieces.groupBy("length", salt.alias("salt")).count()
     offsets = groups.withColumn("shift", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).select("length", "salt", "shift")
