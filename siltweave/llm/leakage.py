@@ -18,6 +18,7 @@ ignored; empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltweave.llm.words import HAN, WORD
-from siltweave.session import spread
+from siltweave.session import cut, small_side, spread
 
 #: Words in a row that make a match, and those needed when one of the first RUN is a Chinese character.
 RUN, RUN_HAN = 12, 20
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 4_000_000
+#: Occurrences looked at together.
+HITS = 1 << 20
 
 _SCHEMA = "doc_id long, item_id long, n_words int, doc_word int, item_word int"
 
@@ -68,8 +71,12 @@ def _keys(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(grid).view(f"S{4 * RUN}").ravel()
 
 
-def search(block: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, int, int, int]]:
-    """(doc, item, words, word in doc, word in item) of the longest match of each pair that has one."""
+def search(block: dict, docs: list[tuple[int, str]], most: int = HITS) -> Iterator[tuple[int, int, int, int, int]]:
+    """(doc, item, words, word in doc, word in item) of the longest match of each pair that has one.
+
+    Occurrences are looked at ``most`` at a time, so a stem that many documents and items share fills no
+    memory; a pair whose occurrences lie in several portions comes once for each.
+    """
     number = block["vocabulary"].get
     ids, lengths = [], []
     for _, text in docs:
@@ -80,16 +87,23 @@ def search(block: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, int
     ids = np.array(ids, np.int32)
     starts = _starts(ids)
     if not len(starts) or not len(block["starts"]):
-        return []
+        return
     keys = _keys(ids, starts)
     order = np.argsort(keys, kind="stable")
     array, keys = starts[order], keys[order]  # the shard's suffix array
     low, high = (np.searchsorted(keys, block["keys"], side) for side in ("left", "right"))
-    hits = high - low
-    q = np.repeat(block["starts"], hits)
-    if not len(q):
-        return []
-    p = array[np.repeat(low, hits) + np.arange(len(q)) - np.repeat(np.cumsum(hits) - hits, hits)]
+    hit = np.flatnonzero(high > low)
+    low, hits, suffix = low[hit], (high - low)[hit], block["starts"][hit]
+    begins, ends = np.concatenate(([0], np.cumsum(lengths))), np.cumsum(hits)
+    han = np.concatenate(([0], np.cumsum(block["han"])))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, most):
+        n = np.arange(at, min(at + most, int(ends[-1])))  # numbers of occurrences
+        of = np.searchsorted(ends, n, "right")
+        yield from _longest(block, docs, ids, array[low[of] + n - (ends[of] - hits[of])], suffix[of], begins, han)
+
+
+def _longest(block: dict, docs: list, ids: np.ndarray, p: np.ndarray, q: np.ndarray, begins: np.ndarray, han: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """The longest match of each pair among occurrences at ``p`` in the shard of suffixes ``q`` of the test texts."""
     length, live = np.full(len(q), RUN), np.arange(len(q))
     test = block["ids"]
     while len(live):
@@ -98,17 +112,18 @@ def search(block: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, int
         same[same] = (ids[a[same]] == test[b[same]]) & (ids[a[same]] > 0)
         live = live[same]
         length[live] += 1
-    han = np.concatenate(([0], np.cumsum(block["han"])))
     keep = (han[q + RUN] == han[q]) | (length >= RUN_HAN)
     p, q, length = p[keep], q[keep], length[keep]
-    begins = np.concatenate(([0], np.cumsum(lengths)))
+    if not len(p):
+        return
     doc = np.searchsorted(begins, p, "right") - 1
     item = block["owner"][q]
     best = np.lexsort((q, p, -length, item, doc))
     doc, item, p, q, length = (x[best] for x in (doc, item, p, q, length))
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return [(docs[d][0], int(i), int(n), int(x - begins[d]), int(block["at"][y])) for d, i, n, x, y in zip(doc[first], item[first], length[first], p[first], q[first])]
+    for d, i, n, x, y in zip(doc[first], item[first], length[first], p[first], q[first]):
+        yield docs[d][0], int(i), int(n), int(x - begins[d]), int(block["at"][y])
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -116,7 +131,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
     block, size = [], 0
     for row in items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).dropDuplicates().toLocalIterator():
         block.append((row[0], row[1]))
-        size += len(row[1]) // 2  # no more words than that, Chinese apart
+        size += len(WORD.findall(row[1]))
         if size >= block_words:
             yield block
             block, size = [], 0
@@ -129,15 +144,14 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     found = None
     for items_of_block in _blocks(items, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(items_of_block)
+        shared = spark.sparkContext.broadcast(test_block(items_of_block))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared, shard_words=shard_words) -> Iterator[pa.RecordBatch]:
-            block = test_block(shared.value)
-
             def out(shard):
-                rows = search(block, shard)
-                cols = list(zip(*rows)) or [()] * 5
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "doc_word", "item_word"])
+                rows = search(shared.value, shard)
+                while part := list(islice(rows, 100_000)):
+                    cols = zip(*part)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "doc_word", "item_word"])
 
             shard, size = [], 0
             for batch in batches:
@@ -146,9 +160,9 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                     shard.append((key, value))
                     size += len(value) // 4
                     if size >= shard_words:
-                        yield out(shard)
+                        yield from out(shard)
                         shard, size = [], 0
-            yield out(shard)
+            yield from out(shard)
 
         part = spread(docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(find, _SCHEMA)
         found = part if found is None else found.unionByName(part)
@@ -160,5 +174,5 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def without_leaks(docs: DataFrame, matches: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents without those that hold a test text."""
-    hit = matches.select(F.col("doc_id").alias("_hit")).distinct()
+    hit = small_side(cut(matches.select(F.col("doc_id").alias("_hit")).distinct()))
     return docs.join(hit, docs[doc_id] == hit["_hit"], "left_anti")

@@ -136,8 +136,8 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of the documents that hold no evaluation text."""
-    return leakage.without_leaks(table(spark, d, "documents").select("doc_id"), _leaks(spark, d))
+    """The documents that hold no evaluation text."""
+    return leakage.without_leaks(table(spark, d, "documents").select("doc_id", "lang", "source", "kind", "title", "text"), _leaks(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
