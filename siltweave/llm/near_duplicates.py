@@ -147,46 +147,33 @@ def odd_sketches(sample: np.ndarray) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64).reshape(n, ODD_LONGS)
 
 
-#: Folded texts that a task remembers, so that copies it meets again are not sketched again.
-SEEN = 100_000
+def _sketches(k: int, binned: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
+                sets = [shingles(folded(t.as_py()), k) for t in batch.column(1)]
+                sample = np.array([binned_samples(x) for x in sets]) if binned else samples(sets)
+                found = (band_keys(sample, np.array(batch.column(2).to_pylist(), np.int64)), odd_sketches(sample))
+                cols = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["rep", "bands", "odd"])
 
+    return run
 
-def _sketches(k: int, min_chars: int):
-    import xxhash
 
-    binned = min_chars >= BINNED_CHARS
+def _hashes(k: int, min_chars: int):
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, bytes], None] = {}
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
-                ids, groups, keys, sets, salts, fresh = [], [], [], [], [], []
-                for i, g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    f = folded(text.as_py())
-                    if len(f) < max(k, min_chars):
-                        continue
-                    same = (g, xxhash.xxh3_128_digest(f.encode()))
+        for batch in batches:
+            ids, groups, keys = [], [], []
+            for i, g, text in zip(*(c.to_pylist() for c in batch.columns)):
+                f = folded(text)
+                if len(f) >= max(k, min_chars):
                     ids.append(i)
                     groups.append(g)
-                    keys.append(same[1])
-                    fresh.append(same not in seen)
-                    if fresh[-1]:
-                        seen[same] = None
-                        if len(seen) > SEEN:
-                            del seen[next(iter(seen))]
-                        sets.append(shingles(f, k))
-                        salts.append(g)
-                cols = []
-                if sets:
-                    sample = np.array([binned_samples(x) for x in sets]) if binned else samples(sets)
-                    place = np.cumsum(fresh) - 1
-                    for x in (band_keys(sample, np.array(salts, np.int64)), odd_sketches(sample)):
-                        lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
-                        cols.append(lists.take(pa.array([int(p) if new else None for p, new in zip(place, fresh)], pa.int64())))
-                else:
-                    cols = [pa.nulls(len(ids), pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int64()), pa.array(keys, pa.binary()), *cols], ["id", "grp", "same", "bands", "odd"])
+                    keys.append(xxhash.xxh3_128_digest(f.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(groups, pa.int64()), pa.array(keys, pa.binary())], ["id", "grp", "same"])
 
     return run
 
@@ -215,15 +202,16 @@ def sketched(df: DataFrame, record_id: str, text: str, k: int, group: str | None
     """(sketches, members, texts): bands and odd sketch of each representative, (id, rep) of every record
     that takes part (copies share a representative), and the texts (id, text) of all records.
 
-    One pass over the texts, which stay where they are.
+    The texts of representatives are shuffled once, as they are smaller than sketches.
     """
     grp = F.lit(0).cast("long") if group is None else F.xxhash64(F.lit("g"), group)
     base = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull()).select(F.col(record_id).cast("long").alias("id"), grp.alias("grp"), F.col(text).alias("text"))
-    hashed = cut(spread(base).mapInArrow(_sketches(k, min_chars), "id long, grp long, same binary, bands array<long>, odd array<long>"))
-    firsts = hashed.where("bands is not null").groupBy("grp", "same").agg(F.min("id").alias("rep"))
-    both = hashed.join(firsts.hint("merge"), ["grp", "same"])
-    members = cut(both.select("id", "rep").distinct())
-    return cut(both.where("id = rep and bands is not null").select("rep", "bands", "odd").dropDuplicates(["rep"])), members, base.select("id", "text")
+    hashed = cut(spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary"))
+    firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
+    members = cut(hashed.join(firsts.hint("merge"), ["grp", "same"]).select("id", "rep").distinct())
+    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
+    bands = own.dropDuplicates(["id"]).select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>")
+    return cut(bands), members, base.select("id", "text")
 
 
 def _cells(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
