@@ -39,15 +39,24 @@ def assignment_chain(pages: DataFrame, priority: DataFrame, manual: DataFrame, t
     return out.select("page", F.coalesce("manual", only, F.col("tag.directory"), F.col("top.name_dir"), F.col("src.name_dir"), F.lit("misc")).alias("directory"), method.alias("method"))
 
 
+def _parts(df: DataFrame, whole: str) -> DataFrame:
+    """Each value of ``whole`` with each of its substrings (``part``)."""
+    n = F.length(whole)
+    starts = df.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
+    return starts.select("*", F.explode(F.sequence(F.lit(1), n - F.col("_i") + 1)).alias("_n")).select(*df.columns, F.substring(F.col(whole), F.col("_i"), F.col("_n")).alias("part")).distinct()
+
+
 def category_scores(tags: DataFrame, keys: DataFrame) -> DataFrame:
     """The best directory of each page: 2 for a category equal to a key, 1 where one contains the other.
 
-    ``tags``: page, category. ``keys``: key, directory, ord (a few rows of configuration). Each
-    distinct category is scored once; ties go to the lower ord; pages without a score get misc.
+    ``tags``: page, category. ``keys``: key, directory, ord. Each distinct category is scored once; that one
+    contains the other is an equality join on its substrings. Ties go to the lower ord; pages without a score get misc.
     """
-    category, key = F.lower(F.translate("category", " ", "_")), F.lower("key")
-    points = F.when(category == key, 2).when(F.contains(category, key) | F.contains(key, category), 1).otherwise(0)
-    scored = tags.select("category").distinct().join(F.broadcast(keys.limit(10_000)), points > 0).select("category", "directory", "ord", points.alias("points"))
+    names = tags.select("category").distinct().withColumn("c", F.lower(F.translate("category", " ", "_"))).where("c <> ''")
+    keys = keys.withColumn("k", F.lower("key")).where("k <> ''")
+    pairs = _parts(names.select("c").distinct(), "c").join(keys.select(F.col("k").alias("part")).distinct(), "part").select("c", F.col("part").alias("k"))
+    pairs = pairs.unionByName(_parts(keys.select("k").distinct(), "k").join(names.select(F.col("c").alias("part")).distinct(), "part").select(F.col("part").alias("c"), "k")).distinct()
+    scored = names.join(pairs, "c").join(keys, "k").select("category", "directory", "ord", F.when(F.col("c") == F.col("k"), 2).otherwise(1).alias("points"))
     totals = tags.join(scored, "category").groupBy("page", "directory").agg(F.sum("points").alias("score"), F.min("ord").alias("ord"))
     best = totals.groupBy("page").agg(F.max_by(F.struct("directory", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return tags.select("page").distinct().join(best, "page", "left").select("page", F.coalesce("b.directory", F.lit("misc")).alias("directory"), F.coalesce("b.score", F.lit(0).cast("long")).alias("score"))

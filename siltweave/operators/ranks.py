@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltweave.session import cut
 
-def numbered(df: DataFrame, keys: list[str], order: str, bucket: Column, name: str = "rn") -> DataFrame:
+
+def numbered(df: DataFrame, keys: list[str], order: str, bucket: Column | None = None, name: str = "rn") -> DataFrame:
     """``df`` with each row's number, from 1, in the order of ``order`` within ``keys``.
 
-    ``bucket`` must never fall as ``order`` rises (a prefix, a range number). Rows are numbered within
+    ``bucket`` must never fall as ``order`` rises (a range number); without one the rows are range partitioned by
+    keys and order, whatever their distribution, and a partition is a bucket. Rows are numbered within
     a bucket and shifted by the counts of the buckets before it, so that a task holds a bucket and
     not a group; the counts are one row a bucket. Ties in ``order`` are numbered in any order.
     """
+    if bucket is None:
+        df = cut(df.repartitionByRange(*keys, order))
+        bucket = F.spark_partition_id()
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).drop("_n")

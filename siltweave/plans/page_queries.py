@@ -16,6 +16,11 @@ EXCLUDED_CATEGORIES = ("Misc B", "News A", "Bosses")
 EXCLUDED_DIRECTORIES = ("stages",)
 
 
+def _log(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The fetch log without the rows that were delivered again, which have the same fetch_id; only the columns needed move."""
+    return table(spark, d, "fetch_log").select("fetch_id", *columns).distinct()
+
+
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -198,7 +203,7 @@ def category_index(spark: SparkSession, d: str) -> DataFrame:
     c = m.select("domain", F.explode("categories").alias("category"), "title").distinct()
     f = m.groupBy("domain", "title").agg(F.min(F.concat(F.coalesce(F.expr("nullif(target_directory, '')"), F.lit("misc")), F.lit("/"), F.col("target_filename"))).alias("path"))
     lines = c.join(f, ["domain", "title"]).withColumn("line", F.concat(F.lit("- ["), "title", F.lit("](../"), urls.encode_parens("path"), F.lit(")")))
-    lines = numbered(lines, ["domain", "category"], "title", F.left("title", F.lit(2)))
+    lines = numbered(lines, ["domain", "category"], "title")
     part = F.floor((F.col("rn") - 1) / 200).cast("int")
     return lines.withColumn("part", part).groupBy("domain", "category", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "line"))), lambda x: x["line"]), "\n").alias("body"))
 
@@ -336,7 +341,7 @@ def probe_chain(spark: SparkSession, d: str) -> DataFrame:
     Few pages hold most rows; both aggregates have partial sums, so they are no hot keys.
     """
     good = F.when(F.col("status") == "success", F.struct("ts", "fetch_id"))
-    log = table(spark, d, "fetch_log").distinct()
+    log = _log(spark, d, "url", "status", "ts", "engine")
     return log.groupBy("url").agg(F.count("*").alias("attempts"), F.min_by("engine", good).alias("engine"), F.min(F.when(F.col("status") == "success", F.col("ts"))).alias("answered"))
 
 
@@ -350,7 +355,7 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("http_status") == 403, "forbidden").when(F.col("http_status") == 429, "rate_limited").when(F.col("http_status") == 401, "unauthorized").when(F.col("error_type") == "timeout", "timeout")
         .when(F.col("http_status") >= 500, "server").when(F.col("error_type").isNotNull(), F.col("error_type")).when(F.col("status") == "success", "none").otherwise("unknown")
     )
-    return table(spark, d, "fetch_log").distinct().groupBy("engine", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("elapsed_ms") >= 0, F.col("elapsed_ms"))).alias("elapsed_ms"))
+    return _log(spark, d, "engine", "http_status", "error_type", "status", "elapsed_ms").groupBy("engine", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("elapsed_ms") >= 0, F.col("elapsed_ms"))).alias("elapsed_ms"))
 
 
 @query("""
@@ -359,7 +364,7 @@ with l as (select distinct * from fetch_log), e as (select engine, count(distinc
 select engine, cast(round((0.5 * a + 0.3 * s + 0.2 * f) * 100) as bigint) as score, row_number() over (order by round((0.5 * a + 0.3 * s + 0.2 * f) * 100) desc, engine) as rank from x""")
 def engine_scores(spark: SparkSession, d: str) -> DataFrame:
     """FN33, D23: engines scored by reach, stability and speed taken from the log."""
-    log = table(spark, d, "fetch_log").distinct()
+    log = _log(spark, d, "engine", "domain", "status", "elapsed_ms")
     good = F.col("status") == "success"
     e = log.groupBy("engine").agg(F.count_distinct(F.when(good, F.col("domain"))).alias("reach"), (F.count_if(good) / F.count("*").cast("double")).alias("s"), F.avg(F.when(F.col("elapsed_ms") >= 0, F.col("elapsed_ms"))).alias("t"))
     all_ = log.agg(F.count_distinct("domain").alias("n_domains"))
@@ -377,23 +382,27 @@ select url, max(failures) as longest, cast(max(least(power(2.5, failures) * 800,
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     """W2, W8, W9, STM4: longest run of failures of each page and the delay that exponential back-off had reached.
 
-    Few pages hold most rows, so no task may hold all attempts of a page: attempts are folded hour by
-    hour into leading, trailing and longest runs, and the hours of a page are folded in turn.
+    Few pages hold most rows, so no task may hold all attempts of a page: attempts are folded minute by
+    minute into leading, trailing and longest runs, then hour by hour, then page by page.
     """
     log = table(spark, d, "fetch_log").select("url", "ts", "fetch_id", (F.col("status") == "success").alias("ok")).distinct()
-    hours = log.groupBy("url", F.date_trunc("hour", "ts").alias("hour")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "fetch_id", "ok"))), lambda x: x["ok"]).alias("oks"))
-    zero = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(True).alias("all"))
-
-    def step(a, ok):
-        run = F.when(ok, 0).otherwise(a["run"] + 1)
-        return F.struct(F.when(a["all"] & ~ok, a["lead"] + 1).otherwise(a["lead"]).alias("lead"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["all"] & ~ok).alias("all"))
-
-    def join(a, h):
-        run = F.when(h["f"]["all"], a["run"] + h["f"]["run"]).otherwise(h["f"]["run"])
-        return F.struct(run.alias("run"), F.greatest(a["most"], a["run"] + h["f"]["lead"], h["f"]["most"]).alias("most"))
-
-    folded = hours.select("url", F.struct("hour", F.aggregate("oks", zero, step).alias("f")).alias("h"))
-    runs = folded.groupBy("url").agg(F.aggregate(F.array_sort(F.collect_list("h")), F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), join)["most"].cast("bigint").alias("longest"))
+    minutes = log.groupBy("url", F.date_trunc("minute", "ts").alias("at")).agg(F.array_sort(F.collect_list(F.struct("ts", "fetch_id", "ok"))).alias("rows"))
+    empty = F.struct(F.lit(0).alias("lead"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(True).alias("all"))
+
+    def join(a, f):
+        """Two stretches after one another; ``all``: nothing but failures, then lead, run and most are their number."""
+        run = F.when(f["all"], a["run"] + f["run"]).otherwise(f["run"])
+        lead = F.when(a["all"], a["lead"] + f["lead"]).otherwise(a["lead"])
+        return F.struct(lead.alias("lead"), run.alias("run"), F.greatest(a["most"], a["run"] + f["lead"], f["most"]).alias("most"), (a["all"] & f["all"]).alias("all"))
+
+    def one(x):
+        bad = (~x["ok"]).cast("int")
+        return F.struct(bad.alias("lead"), bad.alias("run"), bad.alias("most"), (~x["ok"]).alias("all"))
+
+    folded = minutes.select("url", "at", F.aggregate("rows", empty, lambda a, x: join(a, one(x))).alias("f"))
+    for to in (F.date_trunc("hour", "at"), F.lit(None).cast("timestamp")):
+        folded = folded.groupBy("url", to.alias("to")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("parts")).select("url", F.col("to").alias("at"), F.aggregate("parts", empty, lambda a, x: join(a, x["f"])).alias("f"))
+    runs = folded.select("url", F.col("f.most").cast("bigint").alias("longest"))
     return runs.withColumn("delay_ms", F.least(F.pow(F.lit(2.5), F.col("longest")) * 800, F.lit(60000.0)))
 
 
@@ -408,7 +417,7 @@ def cooldown_sessions(spark: SparkSession, d: str) -> DataFrame:
     Events of a minute are summed first, with their first and last time, which tells all gaps exactly;
     what is ordered within a site is then at most one row a minute.
     """
-    hits = table(spark, d, "fetch_log").distinct().where("http_status = 429 or error_type = 'rate_limited'")
+    hits = _log(spark, d, "domain", "ts", "http_status", "error_type").where("http_status = 429 or error_type = 'rate_limited'")
     minutes = hits.groupBy("domain", F.date_trunc("minute", "ts").alias("minute")).agg(F.min("ts").alias("first"), F.max("ts").alias("final"), F.count("*").alias("k"))
     w = Window.partitionBy("domain").orderBy("minute")
     fresh = F.coalesce(F.col("first") - F.lag("final").over(w) >= F.expr("interval 3 hours"), F.lit(True)).cast("int")

@@ -84,7 +84,7 @@ with l as (select distinct * from fetch_log), a as (select domain, bool_or(http_
 select domain, case when coalesce(login, false) then 'login' when coalesce(blocked, false) and failures > 0.1 * n then 'blocked' when coalesce(limited, false) then 'rate_limit' when failures > 0 then 'unstable' else 'none' end as protection, round(failures / cast(n as double), 2) as failure_rate from a""")
 def protection_class(spark: SparkSession, d: str) -> DataFrame:
     """FLT19, AGG19: a site's protection as its attempts show it, and the share of failures."""
-    log = table(spark, d, "fetch_log").distinct()
+    log = table(spark, d, "fetch_log").select("fetch_id", "domain", "status", "http_status", "error_type").distinct()
     ever = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     a = log.groupBy("domain").agg(ever((F.col("http_status") == 429) | (F.col("error_type") == "rate_limited")).alias("limited"), ever((F.col("http_status") == 403) | (F.col("error_type") == "blocked")).alias("blocked"), ever(F.col("http_status") == 401).alias("login"), F.count_if(F.col("status") == "failure").alias("failures"), F.count("*").alias("n"))
     kind = F.when(F.col("login"), "login").when(F.col("blocked") & (F.col("failures") > 0.1 * F.col("n")), "blocked").when(F.col("limited"), "rate_limit").when(F.col("failures") > 0, "unstable").otherwise("none")
@@ -117,18 +117,27 @@ def _first_number() -> Column:
     return F.coalesce(F.expr(r"try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as int)"), F.lit(999))
 
 
-@query("""
-select result_id, title, coalesce(try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as integer), 999) as number from results where content is not null order by number, result_id limit 40""")
+@query("select result_id, title, row_number() over (order by result_id desc nulls last) as position from results")
 def numbered_order(spark: SparkSession, d: str) -> DataFrame:
-    """SRT3: the first 40 rows of :func:`numbered_rows`, as its SQL has it."""
-    return table(spark, d, "results").where("content is not null").select("result_id", "title", _first_number().alias("number")).orderBy("number", "result_id").limit(40)
+    """SRT5: every result with its place in descending numeric order of ids."""
+    rows = table(spark, d, "results").select("result_id", "title", (-F.col("result_id")).alias("place"))
+    return numbered(rows, [], "place", name="position").drop("place")
+
+
+@query("""
+select page_seq, row_number() over (order by case when coalesce(is_list_page, false) then 0 else 1 end, case when coalesce(is_list_page, false) then '' else coalesce(target_directory, '') end, title, page_seq) as position from manifest""")
+def entity_order(spark: SparkSession, d: str) -> DataFrame:
+    """SRT6: list pages by title, then all other pages by directory and title."""
+    listed = F.coalesce("is_list_page", F.lit(False))
+    place = F.struct(F.when(listed, 0).otherwise(1).alias("a"), F.when(listed, "").otherwise(F.coalesce("target_directory", F.lit(""))).alias("b"), F.col("title").alias("c"), F.col("page_seq").alias("d"))
+    return numbered(table(spark, d, "manifest").select("page_seq", place.alias("place")), [], "place", name="position").drop("place")
 
 
 @query("""
 with n as (select result_id, title, coalesce(try_cast(regexp_extract(content, '(\\d+) (?:turns|Züge)', 1) as integer), 999) as number from results where content is not null)
 select *, row_number() over (order by number, result_id nulls first, title nulls first) as position from n""")
 def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
-    """SRT3, SRT5, SRT6: every text with its place in the order of first numbers, those without one last.
+    """SRT3: every text with its place in the order of first numbers, those without one last.
 
     No task holds all rows: they are numbered by number, those of 999 by id ranges, and shifted by counts.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltweave.functions import text, urls
@@ -170,33 +170,23 @@ def table_shapes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "results").where("content is not null").select("result_id", folded.alias("f")).where("f.r > 0").select("result_id", F.col("f.t").alias("n_tables"), F.col("f.r").alias("n_rows"))
 
 
-def _merged(spark: SparkSession, d: str, content: Column) -> DataFrame:
-    """Each site's latest texts by title, with a table of contents, 100 a part."""
-    r = table(spark, d, "results").where("status = 'ok' and length(content) > 0")
-    latest = r.groupBy("domain", "title").agg(F.max_by(content, F.struct("converted_at", "result_id")).alias("text"))
-    rows = latest.select("domain", "title", F.concat(F.lit("## "), "title", F.lit("\n\n"), "text").alias("section"), F.concat(F.lit("- ["), "title", F.lit("](#"), text.anchor("title"), F.lit(")")).alias("toc"))
-    rows = numbered(rows, ["domain"], "title", F.left("title", F.lit(2)))
-    part = F.floor((F.col("rn") - 1) / 100).cast("int")
-    listed = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", c))), lambda x: x[c]), sep)
-    return rows.withColumn("part", part).groupBy("domain", "part").agg(listed("toc", "\n").alias("toc"), listed("section", "\n\n---\n\n").alias("body"))
-
-
 @query("""
 with s as (select domain, title, max_by(content, {'a': converted_at, 'b': result_id}) as content from results where status = 'ok' and length(content) > 0 group by all),
-h as (select domain, title, '## ' || title || chr(10) || chr(10) || left(content, 200) as section, '- [' || title || '](#' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g') || ')' as toc, row_number() over (partition by domain order by title) - 1 as rn from s)
+h as (select domain, title, '## ' || title || chr(10) || chr(10) || content as section, '- [' || title || '](#' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g') || ')' as toc, row_number() over (partition by domain order by title) - 1 as rn from s)
 select domain, cast(floor(rn / 100) as integer) as part, list_aggregate(list(toc order by title), 'string_agg', chr(10)) as toc, list_aggregate(list(section order by title), 'string_agg', chr(10) || chr(10) || '---' || chr(10) || chr(10)) as body from h group by all""")
 def merged_documents(spark: SparkSession, d: str) -> DataFrame:
-    """SRT2: a preview of :func:`merged_texts` with the first 200 characters of each text, as its SQL has it."""
-    return _merged(spark, d, F.left("content", F.lit(200)))
+    """SNK7, K23, ASM1, SRT2: each site's latest texts merged whole with a table of contents, 100 a part.
 
+    Titles are numbered without their texts, which move to their part afterwards.
+    """
+    r = table(spark, d, "results").where("status = 'ok' and length(content) > 0")
+    latest = r.groupBy("domain", "title").agg(F.max(F.struct("converted_at", "result_id")).alias("m")).select("domain", "title", "m.result_id")
+    parts = numbered(latest, ["domain"], "title").select("result_id", F.floor((F.col("rn") - 1) / 100).cast("int").alias("part"))
+    rows = r.select("result_id", "domain", "title", "content").join(parts, "result_id")
+    rows = rows.select("domain", "part", "title", F.concat(F.lit("## "), "title", F.lit("\n\n"), "content").alias("section"), F.concat(F.lit("- ["), "title", F.lit("](#"), text.anchor("title"), F.lit(")")).alias("toc"))
+    listed = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", c))), lambda x: x[c]), sep)
+    return rows.groupBy("domain", "part").agg(listed("toc", "\n").alias("toc"), listed("section", "\n\n---\n\n").alias("body"))
 
-@query("""
-with s as (select domain, title, max_by(content, {'a': converted_at, 'b': result_id}) as content from results where status = 'ok' and length(content) > 0 group by all),
-h as (select domain, title, '## ' || title || chr(10) || chr(10) || content as section, '- [' || title || '](#' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g') || ')' as toc, row_number() over (partition by domain order by title) - 1 as rn from s)
-select domain, cast(floor(rn / 100) as integer) as part, list_aggregate(list(toc order by title), 'string_agg', chr(10)) as toc, list_aggregate(list(section order by title), 'string_agg', chr(10) || chr(10) || '---' || chr(10) || chr(10)) as body from h group by all""")
-def merged_texts(spark: SparkSession, d: str) -> DataFrame:
-    """SNK7, K23, ASM1, SRT2: each site's texts merged whole with a table of contents, 100 a part."""
-    return _merged(spark, d, F.col("content"))
 
 @query("""
 with p as (select m.domain, coalesce(nullif(lower(m.target_directory), ''), 'misc') as dir, bool_or(coalesce(m.is_list_page, false)) as has_index, count(*) as n from manifest m group by all)
@@ -263,13 +253,10 @@ with c as (select result_id, domain, status, unnest(warnings) as warning from re
 p as (select *, case when n >= 5 then 'P0' when n >= 2 then 'P1' else 'P2' end as priority from k), w as (select *, row_number() over (order by priority, n desc, domain, warning) as rn from p)
 select priority, count(*) as n_issues, cast(sum(n) as bigint) as n_findings, min('KI-' || rn) as first_id from w group by priority""")
 def ki_batches(spark: SparkSession, d: str) -> DataFrame:
-    """KI4, AGG18, W5, D11: issues of each priority with numbered ids.
-
-    Numbering is global; it runs over one row a domain and kind of warning, not over findings.
-    """
+    """AGG18, W5, D11: issues of each priority with ids numbered over all, one a domain and kind of warning."""
     k = table(spark, d, "results").select("domain", F.explode("warnings").alias("warning")).groupBy("domain", "warning").agg(F.count("*").alias("n"))
     p = k.withColumn("priority", F.when(F.col("n") >= 5, "P0").when(F.col("n") >= 2, "P1").otherwise("P2"))
-    w = p.withColumn("rn", F.row_number().over(Window.orderBy("priority", F.desc("n"), "domain", "warning")))
+    w = numbered(p.withColumn("place", F.struct("priority", -F.col("n"), "domain", "warning")), [], "place")
     return w.groupBy("priority").agg(F.count("*").alias("n_issues"), F.sum("n").alias("n_findings"), F.min(F.concat(F.lit("KI-"), F.col("rn").cast("string"))).alias("first_id"))
 
 

@@ -8,24 +8,38 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltweave.session import cut, small_side
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
 def upsert_cache(new: DataFrame, path: str) -> None:
     """Rows of new pages into the cache, newest version of (platform, domain, title) wins.
 
-    Only the partitions that get rows are read and replaced. A crash before the commit leaves the old ones.
+    Only the partitions that get rows are read and replaced; a crash before the commit leaves the old ones.
+    A cache that isn't there counts as empty, one that can't be read is an error. Versions are compared
+    by key and time alone; bodies are not shuffled but for the new rows.
     """
     spark = new.sparkSession
-    new = new.withColumn("fetched_at", F.coalesce("fetched_at", F.current_timestamp()))
     keys = ["platform", "domain", "title"]
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
-        old = None
-    touched = new.select("platform", "domain").distinct()
-    every = new if old is None else new.unionByName(old.join(touched, ["platform", "domain"], "left_semi"), allowMissingColumns=True)
-    rest = [c for c in every.columns if c not in keys]
-    best = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("fetched_at", F.xxhash64(*[c for c in rest if c != "fetched_at"]))).alias("r")).select(*keys, "r.*")
-    best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("platform", "domain").parquet(path)
+    new = new.withColumn("fetched_at", F.coalesce("fetched_at", F.current_timestamp()))
+    rest = [c for c in new.columns if c not in keys]
+    order = F.struct("fetched_at", F.xxhash64(*[c for c in rest if c != "fetched_at"]))
+    new = cut(new.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*"))
+    if _exists(spark, path):
+        touched = small_side(new.select("platform", "domain").distinct())
+        old = spark.read.parquet(path).join(touched, ["platform", "domain"], "left_semi")
+        arrived = small_side(new.select(*keys, F.col("fetched_at").alias("_new")))
+        later = old.select(*keys, "fetched_at").join(arrived, keys).where(F.col("fetched_at") > F.col("_new")).select(*keys).distinct()
+        later = cut(later)  # the few pages whose stored version is newer
+        new = new.join(later, keys, "left_anti")
+        kept = old.join(small_side(new.select(*keys)), keys, "left_anti")
+        new = kept.unionByName(new, allowMissingColumns=True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("platform", "domain").parquet(path)
 
 
 def write_tree(files: DataFrame, root: str) -> int:
