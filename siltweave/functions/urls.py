@@ -100,6 +100,24 @@ def relative_path(source_dir, target_dir, file) -> Column:
     return F.concat(ups, F.when(down == "", F.lit("")).otherwise(F.concat(down, F.lit("/"))), _c(file))
 
 
+def joined(directory, file) -> Column:
+    """A file's path below a directory; '' is the top."""
+    d = _c(directory)
+    return F.concat(F.when(d == "", F.lit("")).otherwise(F.concat(d, F.lit("/"))), _c(file))
+
+
+def normalized(path) -> Column:
+    """A path without '.' and, as far as they can be followed, '..' steps."""
+    parts = F.filter(F.split(_c(path), "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
+
+    def step(done, x):
+        up = (x == "..") & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("")) != "..")
+        return F.when(up, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array_append(done, x))
+
+    return F.array_join(F.aggregate(parts, none, step), "/")
+
+
 def encode_parens(url) -> Column:
     return F.replace(F.replace(_c(url), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siltweave.functions import text, urls
 from siltweave.io import table
 from siltweave.operators import assign
-from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import first_n
 
@@ -193,21 +192,6 @@ def category_members(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("domain", "category").agg(F.count("*").alias("n_members"), F.min("title").alias("first_title"), F.max("title").alias("last_title"))
 
 
-@query("""
-with c as (select distinct m.domain, unnest(m.categories) as category, m.title from manifest m), f as (select domain, title, min(coalesce(nullif(target_directory, ''), 'misc') || '/' || target_filename) as path from manifest group by all),
-l as (select c.domain, c.category, c.title, '- [' || c.title || '](../' || replace(replace(f.path, '(', '%28'), ')', '%29') || ')' as line from c join f using (domain, title))
-select domain, category, cast(floor(rn / 200) as integer) as part, list_aggregate(list(line order by title), 'string_agg', chr(10)) as body from (select *, row_number() over (partition by domain, category order by title) - 1 as rn from l) group by all""")
-def category_index(spark: SparkSession, d: str) -> DataFrame:
-    """ASM2, J12, FN9: index pages of the categories, 200 members a part, titles in code point order."""
-    m = table(spark, d, "manifest")
-    c = m.select("domain", F.explode("categories").alias("category"), "title").distinct()
-    f = m.groupBy("domain", "title").agg(F.min(F.concat(F.coalesce(F.expr("nullif(target_directory, '')"), F.lit("misc")), F.lit("/"), F.col("target_filename"))).alias("path"))
-    lines = c.join(f, ["domain", "title"]).withColumn("line", F.concat(F.lit("- ["), "title", F.lit("](../"), urls.encode_parens("path"), F.lit(")")))
-    lines = numbered(lines, ["domain", "category"], "title")
-    part = F.floor((F.col("rn") - 1) / 200).cast("int")
-    return lines.withColumn("part", part).groupBy("domain", "category", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "line"))), lambda x: x["line"]), "\n").alias("body"))
-
-
 @query("""
 select domain, coalesce(nullif(lower(target_directory), ''), 'misc') as directory, count(*) as n, round(100.0 * count(*) filter (where assigned_category is null) / count(*), 2) as unassigned_pct from manifest group by rollup(domain, coalesce(nullif(lower(target_directory), ''), 'misc'))""")
 def directory_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -274,38 +258,6 @@ def link_resolution(spark: SparkSession, d: str) -> DataFrame:
     return out.select("result_id", "href", "domain", "path", F.coalesce("path", F.concat(F.lit("https://"), "domain", F.lit("/wiki/"), F.translate("title", " ", "_"))).alias("resolved"), "n")
 
 
-@query(f"""
-with {_MD_LINKS}, t as (select distinct domain, regexp_extract(href, '([^/]+\\.md)$', 1) as file from md) select domain, file from t
-where file <> '' and not exists (select 1 from manifest m where m.domain = t.domain and (m.target_filename = t.file))""")
-def broken_links(spark: SparkSession, d: str) -> DataFrame:
-    """Files that converted texts link to and no page is written to."""
-    t = _md_links(spark, d).select("domain", F.regexp_extract("href", r"([^/]+\.md)$", 1).alias("file")).where("file <> ''").distinct()
-    known = table(spark, d, "manifest").select("domain", F.col("target_filename").alias("file")).distinct()
-    return t.join(known, ["domain", "file"], "left_anti")
-
-
-@query(f"""
-with {_MD_LINKS}, t as (select distinct domain, replace(regexp_extract(href, '([^/]+)\\.md$', 1), '_', ' ') as name from md), n as (select * from t where name <> ''),
-c as (select n.domain, n.name, m.title, m.page_seq, m.ns, case when m.title = n.name then 1 when split_part(m.title, ' ', 1) = split_part(n.name, ' ', 1) then 2 else 3 end as tier from n join manifest m on m.domain = n.domain and (m.title = n.name or split_part(m.title, ' ', 1) = split_part(n.name, ' ', 1) or split_part(m.title, ' ', -1) = split_part(n.name, ' ', -1)))
-select n.domain, n.name, b.title as target, b.tier from n left join (select * from (select *, row_number() over (partition by domain, name order by tier, ns, page_seq) as rn from c) where rn = 1) b on b.domain = n.domain and b.name = n.name""")
-def short_name_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Link names by exact title, then by first word, then by last word, the best candidate of each.
-
-    Three equi-joins against the first candidate of each key take the place of a disjunctive join.
-    """
-    n = _md_links(spark, d).select("domain", F.translate(F.regexp_extract("href", r"([^/]+)\.md$", 1), "_", " ").alias("name")).where("name <> ''").distinct()
-    m = table(spark, d, "manifest").where("domain is not null")
-    first, last = (lambda c: F.element_at(F.split(c, " "), 1)), (lambda c: F.element_at(F.split(c, " "), -1))
-
-    def tier(key_of, at: int, name: str) -> DataFrame:
-        return m.groupBy("domain", key_of("title").alias(f"k{at}")).agg(F.min_by("title", F.struct("ns", "page_seq")).alias(name))
-
-    out = n.select("*", F.col("name").alias("k1"), first("name").alias("k2"), last("name").alias("k3"))
-    for at, key in ((1, F.col), (2, first), (3, last)):
-        out = out.join(tier(key, at, f"t{at}"), ["domain", f"k{at}"], "left")
-    return out.select("domain", "name", F.coalesce("t1", "t2", "t3").alias("target"), F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3).alias("tier"))
-
-
 @query("""
 with i as (select domain, unnest(images) as image from raw_pages), s as (select * from i where not regexp_matches(image, '(?i)(icon|logo|sprite)')),
 used as (select domain, image, count(*) as n from s group by all) select domain, image, n from used where not exists (select 1 from raw_pages r where r.domain = used.domain and contains(coalesce(r.html, r.wikitext, ''), used.image))""")

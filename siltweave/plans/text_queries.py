@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltweave.functions import text, urls
 from siltweave.io import table
-from siltweave.operators import crawl, quality
+from siltweave.operators import quality
 from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 
@@ -210,20 +210,6 @@ def homepage_manifest(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.coalesce("kd", "domain").alias("domain"), F.coalesce("category", "title").alias("title"), F.col("category").isNotNull().alias("is_list_page"), F.lower(F.replace("category", F.lit(" "), F.lit("-"))).alias("dir"))
 
 
-@query("""
-with recursive e as (select page_seq as source, (page_seq * 7 + 3) % (select max(page_seq) + 1 from manifest) as target from manifest union all select page_seq, (page_seq * 5 + 1) % (select max(page_seq) + 1 from manifest) from manifest),
-r(page, depth) as (select 0::bigint, 0 union select e.target, r.depth + 1 from r join e on e.source = r.page where r.depth < 6)
-select page, cast(min(depth) as integer) as depth from r group by page""")
-def crawl_reachability(spark: SparkSession, d: str) -> DataFrame:
-    """ITR1, ITR2, J16, SRT0: least depth of pages within six steps of page 0 over a made-up link graph."""
-    m = table(spark, d, "manifest").select("page_seq")
-    n = m.agg((F.max("page_seq") + 1).alias("n"))
-    e = m.crossJoin(F.broadcast(n))  # one row
-    edges = e.select(F.col("page_seq").alias("source"), ((F.col("page_seq") * 7 + 3) % F.col("n")).alias("target")).unionByName(e.select(F.col("page_seq").alias("source"), ((F.col("page_seq") * 5 + 1) % F.col("n")).alias("target")))
-    seeds = spark.createDataFrame([(0,)], "page long")
-    return crawl.reach(edges, seeds, max_depth=6)
-
-
 _STATE = {"error": 1, "signup": 2, "click": 3}
 
 

@@ -81,16 +81,6 @@ def wiki_links(spark: SparkSession, d: str) -> DataFrame:
     return links(spark, d).where(keep).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("""
-with d as (select distinct coalesce(domain, '') as domain, coalesce(target_directory, '') as a from manifest), p as (select x.domain, x.a as source_dir, y.a as target_dir from d x join d y on x.domain = y.domain)
-select domain, source_dir, target_dir, case when source_dir = target_dir then '' when source_dir = '' then '' else '../' end || case when target_dir = '' or source_dir = target_dir then '' else target_dir || '/' end || 'x.md' as link from p""")
-def relative_links(spark: SparkSession, d: str) -> DataFrame:
-    """FN8: how pages of one directory link to another of the same site."""
-    dirs = table(spark, d, "manifest").select(F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("target_directory", F.lit("")).alias("dir")).distinct()
-    pairs = dirs.withColumnRenamed("dir", "source_dir").join(dirs.withColumnRenamed("dir", "target_dir"), "domain")
-    return pairs.withColumn("link", urls.relative_path("source_dir", "target_dir", F.lit("x.md")))
-
-
 @query("""
 with u as (select cache_id, regexp_extract(url, '^([^#]*)', 1) as u, unnest(range(1, 4)) as page from raw_pages where url is not null)
 select cache_id, cast(page as integer) as page, case when regexp_matches(u, '[?&]page=') then regexp_replace(u, '([?&]page=)[^&#]*', '\\1' || page, 'g') else u || case when contains(u, '?') then '&' else '?' end || 'page=' || page end as next_url from u""")
