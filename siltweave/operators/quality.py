@@ -38,6 +38,38 @@ def checks(df: DataFrame, doc: str, md: str, html: str) -> DataFrame:
     return df.select(F.col(doc).alias("doc"), F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("failed")) for k, v in found.items()))).alias("c")).select("doc", "c.check", "c.failed")
 
 
+def page_checks(conv: DataFrame) -> DataFrame:
+    """(result_id, domain, check_id, status): pass, fail or skip of each text (md) against its page (html, wiki) and the
+    known pages it should link to (unlinked). All checks are expressions over one row."""
+    m, h = F.col("md"), F.col("html")
+    images = count(h, "(?i)<img[ >]") - count(h, '(?i)<img[^>]*src="data:image/gif;base64[^>]*>')
+    sections = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r'(?is)class="mw-headline"[^>]*>(.*?)</span>'), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))), lambda x: ~x.isin("", "Contents"))
+    lines = F.split(m, "\n")
+    heads = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.rlike(r"^#{1,6}\s+.+$"))
+    tables = F.filter(F.regexp_extract_all(h, F.lit(r"(?is)<table[^>]*>.*?</table>"), F.lit(0)), lambda t: (count(t, "(?i)<tr[ >]") > 2) & ~t.rlike('(?i)^<table[^>]*class="[^"]*(?:navbox|nav-box|mw-collapsible|nav-main|nav-header|nav-footer)'))
+    data_rows = lambda t: F.size(F.filter(F.slice(F.split(t, "(?i)<tr[ >]"), 2, 1 << 30), lambda x: ~(F.contains(x, F.lit("<th")) & ~F.contains(x, F.lit("<td")))))
+    rows_html = F.aggregate(tables, F.lit(0), lambda n, t: n + data_rows(t))
+    rows_md = F.size(F.filter(lines, lambda x: F.trim(x).startswith("|") & ~F.contains(x, F.lit("---")) & ~F.trim(x).rlike(r"^\|[\s\-:|]+\|$")))
+    infobox = F.regexp_extract(m, r"(?s)## Infobox\n(.*?)(?:\n## |\z)", 1)
+    fields = F.size(F.filter(F.split(infobox, "\n"), lambda x: x.rlike(r"^(?:\||- )")))
+    unlinked = F.exists(F.coalesce("unlinked", F.array().cast("array<string>")), lambda n: ~F.contains(m, F.concat(F.lit("["), n, F.lit("]("), F.translate(n, " ", "_"), F.lit(".md)"))))
+    failed = lambda c: F.when(c, "fail").otherwise("pass")
+    found = {
+        "S1": F.when(h == "", "skip").otherwise(failed(m.rlike(r"!\[[^\]]*\]\(/images/") | (images != count(m, r"!\[[^\]]*\]\([^)]*\)")))),
+        "S2": F.when(h == "", "skip").when(m.rlike(r"\[[^\]]*\]\(/wiki/"), "fail").when(m.rlike(r"\[[^\]]+\]\(https?://[^/]+/wiki/"), "pass").otherwise(failed(unlinked)),
+        "S3": F.when(~F.col("wiki").rlike(r"(?i)\{\{Infobox"), "skip").otherwise(failed((fields < 3) | infobox.rlike("<[a-z/]"))),
+        "S4": failed(F.btrim(F.regexp_replace(m, r"(?s)\A---.*?---", ""), F.lit("\n\t\r ")) == ""),
+        "S5": failed(F.regexp_replace(m, r"!\[.*?\]\([^)]+?\)", "").rlike(r"(?:^|[^`])[a-z]\d+(?:\.\d+)?[a-z](?:[^`]|$)") | m.contains("data:image/gif;base64") | m.rlike(r"\\\*") | m.rlike("</a>|</span>|</div>") | m.rlike("&amp;|&lt;|&gt;")),
+        "S6": F.when(rows_html == 0, "skip").otherwise(failed(F.abs(rows_md - rows_html) > 0.1 * rows_html)),
+        "S7": failed(m.rlike(r"\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)")),
+        "S8": F.when(F.size(sections) == 0, "skip").otherwise(failed(F.exists(sections, lambda s: ~F.exists(heads, lambda x: F.contains(x, s))))),
+        "S10": failed(m.rlike(r"\[(?:Video|YouTube video|Watch)\]\(")),
+        "S11": failed(m.rlike(r"\]\(/(?:wiki|images)/")),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("check_id"), v.alias("status")) for k, v in found.items()))
+    return conv.select("result_id", "domain", F.explode(rows).alias("c")).select("result_id", "domain", "c.check_id", "c.status")
+
+
 def navigation_runs(df: DataFrame, doc: str, md: str) -> DataFrame:
     """S9, AGG17: the longest run of consecutive menu lines of each document.
 

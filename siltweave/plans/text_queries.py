@@ -123,29 +123,6 @@ def line_filters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "results").where("content is not null").select("result_id", (F.size(lines) - F.size(kept)).cast("bigint").alias("dropped"), F.array_join(kept, "\n").alias("body"))
 
 
-@query(r"""
-with r as (select result_id as doc, coalesce(content, '') as m, '' as h from results),
-c as (select doc, unnest([{'k': 'S1', 'f': len(regexp_extract_all(m, '!\[')) <> 0 or contains(m, '](/images/')}, {'k': 'S2', 'f': contains(m, '](/wiki/')}, {'k': 'S3', 'f': false},
- {'k': 'S4', 'f': length(trim(regexp_replace(m, '\A---\n.*?\n---\n', '', 's'))) = 0}, {'k': 'S5', 'f': regexp_matches(m, 'data:[a-z]+/[a-z]+;base64|</(?:div|span|td|p)>|&(?:nbsp|amp|lt|gt|quot);')}, {'k': 'S6', 'f': false},
- {'k': 'S7', 'f': regexp_matches(m, '\[!\[[^\]]*\]\([^)]*\)\]\(')}, {'k': 'S8', 'f': false}, {'k': 'S10', 'f': regexp_matches(m, '\[(?:Video|YouTube video|Watch)\]\(')}, {'k': 'S11', 'f': regexp_matches(m, '\]\(/(?:wiki|images)/')},
- {'k': 'S12', 'f': regexp_matches(m, '(?m)^\| ?(?:Name|ID) ?\| ?[^|]*(?:[a-z][A-Z][a-z]+[A-Z]|\.(?:png|jpg)|menu)')}]) as x from r)
-select x.k as check_id, count(*) as n, count(*) filter (where x.f) as failed from c group by 1""")
-def markdown_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of every converted text, summed up."""
-    r = table(spark, d, "results").withColumn("_html", F.lit(""))
-    return quality.checks(r, "result_id", "content", "_html").groupBy(F.col("check").alias("check_id")).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
-
-
-@query()
-def page_quality(spark: SparkSession, d: str) -> DataFrame:
-    """S1, S3, S6, S8 against the stored page: failures of each site."""
-    pages = table(spark, d, "raw_pages").where("html is not null").select("domain", "title", "html", "cache_id", "fetched_at")
-    newest = pages.groupBy("domain", "title").agg(F.max(F.struct("fetched_at", "cache_id")).alias("m")).select("m.cache_id")
-    pages = pages.join(newest, "cache_id", "left_semi").select("domain", "title", "html")
-    done = table(spark, d, "results").where("status = 'ok'").select("domain", "title", "result_id", "content")
-    return quality.checks(done.join(pages, ["domain", "title"]), "result_id", "content", "html").groupBy(F.col("check").alias("check_id")).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
-
-
 _NAV = ", ".join(f"'{w}'" for w in quality.NAVIGATION)
 
 
@@ -158,18 +135,6 @@ def nav_leak_runs(spark: SparkSession, d: str) -> DataFrame:
     return quality.navigation_runs(table(spark, d, "results"), "result_id", "content")
 
 
-@query("""
-with l as (select result_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from results where content is not null),
-t as (select *, starts_with(trim(line), '|') as row from l), g as (select *, n - sum(case when row then 1 else 0 end) over (partition by result_id order by n) as grp from t),
-c as (select result_id, grp, len(string_split(regexp_replace(trim(line), '\\\\\\|', '', 'g'), '|')) as cols from g where row)
-select result_id, count(distinct grp) as n_tables, count(*) as n_rows from c group by result_id""")
-def table_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Q15, AGG21: tables and table rows of each text; the fold over its own lines needs no shuffle."""
-    rows = F.transform(F.split("content", "\n"), lambda x: F.startswith(F.trim(x), F.lit("|")))
-    folded = F.aggregate(rows, F.struct(F.lit(False).alias("on"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("r")), lambda a, x: F.struct(x.alias("on"), (a["t"] + (x & ~a["on"]).cast("bigint")).alias("t"), (a["r"] + x.cast("bigint")).alias("r")))
-    return table(spark, d, "results").where("content is not null").select("result_id", folded.alias("f")).where("f.r > 0").select("result_id", F.col("f.t").alias("n_tables"), F.col("f.r").alias("n_rows"))
-
-
 @query("""
 with s as (select domain, title, max_by(content, {'a': converted_at, 'b': result_id}) as content from results where status = 'ok' and length(content) > 0 group by all),
 h as (select domain, title, '## ' || title || chr(10) || chr(10) || content as section, '- [' || title || '](#' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g') || ')' as toc, row_number() over (partition by domain order by title) - 1 as rn from s)
