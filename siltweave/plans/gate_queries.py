@@ -179,13 +179,19 @@ def table_shapes(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select 'site without pages' as finding, domain from registry r where not exists (select 1 from manifest m where m.domain = r.domain)
 union all select distinct 'pages without site', domain from manifest m where domain is not null and not exists (select 1 from registry r where r.domain = m.domain)
-union all select 'file of another site', domain from registry where file is not null and not contains(file, domain)""")
+union all select 'file of another site', domain from registry where file is not null and not contains(file, domain)
+union all select 'declared type unused: ' || k.t, k.domain from (select distinct domain, unnest(page_types) as t from registry) k where not exists (select 1 from manifest m where m.domain = k.domain and m.page_type = k.t)
+union all select 'used type undeclared: ' || k.t, k.domain from (select distinct domain, page_type as t from manifest where page_type is not null and domain is not null) k where not exists (select 1 from registry r where r.domain = k.domain and list_contains(r.page_types, k.t))""")
 def registry_consistency(spark: SparkSession, d: str) -> DataFrame:
-    """What registry and manifest lack of each other, and entries whose file is another site's."""
+    """What registry and manifest lack of each other, sites and page types, and entries whose file is another site's."""
     r, m = table(spark, d, "registry"), table(spark, d, "manifest").select("domain").where("domain is not null").distinct()
     lack = r.select("domain").join(m, "domain", "left_anti").select(F.lit("site without pages").alias("finding"), "domain")
     odd = r.where("file is not null").where(~F.contains("file", "domain")).select(F.lit("file of another site").alias("finding"), "domain")
-    return lack.unionByName(m.join(r.select("domain"), "domain", "left_anti").select(F.lit("pages without site").alias("finding"), "domain")).unionByName(odd)
+    declared = r.select("domain", F.explode("page_types").alias("t")).distinct()
+    used = table(spark, d, "manifest").where("page_type is not null and domain is not null").select("domain", F.col("page_type").alias("t")).distinct()
+    unused = declared.join(used, ["domain", "t"], "left_anti").select(F.concat(F.lit("declared type unused: "), "t").alias("finding"), "domain")
+    gaps = used.join(declared, ["domain", "t"], "left_anti").select(F.concat(F.lit("used type undeclared: "), "t").alias("finding"), "domain")
+    return lack.unionByName(unused).unionByName(gaps).unionByName(m.join(r.select("domain"), "domain", "left_anti").select(F.lit("pages without site").alias("finding"), "domain")).unionByName(odd)
 
 
 @query("""
