@@ -384,6 +384,27 @@ def cards(html: str | None) -> list[dict]:
     return out
 
 
+#: Rows of a card page's fact box: label and selector (fixed values of such pages).
+_CARD_ROWS = (("Name", ".druid-row-Name"), ("Cost", ".druid-row-EnergyCost"), ("Type", ".druid-row-Type"), ("Rarity", ".druid-row-RarityClass"))
+
+
+def card_stats(html: str | None) -> str:
+    """The base and upgraded values of a card page's fact box as a table; a row without tabs has one value for both."""
+    box = parse(html).first(".druid-infobox")
+    if not box:
+        return ""
+    lines = ["| | Base | Upgraded |", "| --- | --- | --- |"]
+    for label, selector in _CARD_ROWS:
+        row = box.first(selector)
+        if not row:
+            continue
+        tabs = {"Upgraded" in t.attrs.get("data-druid-tab-key", ""): plain_text(t, "") for t in row.select(".druid-toggleable-data")}
+        base = tabs.get(False, "") if tabs else plain_text(row, "").removesuffix(" Card")
+        if base:
+            lines.append(f"| **{label}** | {base} | {tabs.get(True) or base} |")
+    return "\n".join(lines)
+
+
 def largest_table(html: str | None, rules: Rules = Rules()) -> str:
     """The table with most rows as Markdown, the first of equals; '' without one (K15, AGG21)."""
     r = Renderer(rules)

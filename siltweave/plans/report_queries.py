@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siltweave.functions import tables, text, urls
 from siltweave.io import table
-from siltweave.operators import markdown
 from siltweave.operators.ranks import numbered
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import links
@@ -207,16 +206,6 @@ def sourced_pages(spark: SparkSession, d: str) -> DataFrame:
     return r.select("result_id", sinks.with_source("title", "site", "content").alias("page"))
 
 
-_CARDS = '<div class="card-box" data-color="red" data-rarity="rare" data-type="skill"><a href="/wiki/A">A</a><img src="a.png"><div class="desc">Do it.</div></div><div class="card-box" data-name="B" data-color="red" data-rarity="common"><a href="/wiki/B">b</a></div>'
-
-
-@query("""select 'A' as name, 'red' as color, 'rare' as rarity, '/wiki/A' as href, 'Do it.' as description union all select 'B', 'red', 'common', '/wiki/B', ''""")
-def card_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """K13, K14, ASM4: cards of a list page (inline fixture)."""
-    found = F.udf(lambda h: [(c["name"], c["color"], c["rarity"], c["href"], c["description"]) for c in markdown.cards(h)], "array<struct<name:string,color:string,rarity:string,href:string,description:string>>")  # one fixture row
-    return spark.createDataFrame([(_CARDS,)], "html string").select(F.explode(found("html")).alias("c")).select("c.*")
-
-
 @query("""select cast(0 as integer) as tbl, 0 as row, 0 as col, true as is_header, 'k' as text union all select 0, 1, 0, false, 'v'""")
 def table_functions(spark: SparkSession, d: str) -> DataFrame:
     """The table functions in a lateral join (inline fixture)."""
