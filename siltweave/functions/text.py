@@ -39,14 +39,15 @@ def anchor(text) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(text)), "[^a-z0-9一-鿿]+", "-"), "^-|-$", "")
 
 
-def frontmatter(fields) -> Column:
-    """A map as a YAML block, keys in order; values are quoted where they must be."""
+def frontmatter(fields, escape: bool = True) -> Column:
+    """A map as a YAML block, keys in order; values are quoted where they must be, quotes in them escaped unless told not to."""
+    quotes = (lambda v: F.replace(v, F.lit('"'), F.lit('\\"'))) if escape else (lambda v: v)
     entries = F.transform(
         F.array_sort(F.map_keys(_c(fields))),
         lambda k: F.concat(
             k,
             F.lit(": "),
-            F.when(_c(fields)[k].rlike('[\n:"]'), F.concat(F.lit('"'), F.replace(F.replace(_c(fields)[k], F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))).otherwise(_c(fields)[k]),
+            F.when(_c(fields)[k].rlike('[\n:"]'), F.concat(F.lit('"'), F.replace(quotes(_c(fields)[k]), F.lit("\n"), F.lit("\\n")), F.lit('"'))).otherwise(_c(fields)[k]),
         ),
     )
     return F.concat(F.lit("---\n"), F.array_join(entries, "\n"), F.lit("\n---\n"))

@@ -6,7 +6,10 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from siltweave.session import cut
 
 _SUFFIX = re.compile(r"(?:[\s_.-]+(?:\d{3,4}p|[48]k|x26[45]|h26[45]|hevc|web|final|v\d+|part\s?\d+|\(\d+\)))+$", re.I)
 
@@ -42,16 +45,59 @@ def pairs(posts: list[tuple[int, str]], files: list[tuple[str, str]]) -> list[tu
     return out
 
 
-def matched(posts: DataFrame, files: DataFrame) -> DataFrame:
-    """(collection, post, path, tier) for posts (collection, post, title) and files (collection, path, name).
+def _names(df: DataFrame, key: str, name: str, cut_ending: bool) -> DataFrame:
+    """(collection, key, f, s): folded and stripped names, by an Arrow pass over names alone."""
+
+    @F.pandas_udf("struct<f:string,s:string>")
+    def both(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"f": [folded(re.sub(r"\.\w{2,4}$", "", n or "") if cut_ending else n) for n in names], "s": [stripped(n) for n in names]})
+
+    return df.select("collection", key, both(F.col(name)).alias("n")).select("collection", key, "n.f", "n.s")
+
+
+def _one_to_one(pairs_: DataFrame) -> DataFrame:
+    """(collection, post, path) of candidates, each post and path once: the pairs that are each other's first are taken, until none is left."""
+    left, out = cut(pairs_.distinct()), None
+    while True:
+        a = left.groupBy("collection", "post").agg(F.min("path").alias("path"))
+        b = left.groupBy("collection", "path").agg(F.min("post").alias("post"))
+        took = cut(a.join(b, ["collection", "post", "path"]))
+        if took.isEmpty():
+            return out if out is not None else took
+        out = took if out is None else out.unionByName(took)
+        left = cut(left.join(took.select("collection", "post"), ["collection", "post"], "left_anti").join(took.select("collection", "path"), ["collection", "path"], "left_anti"))
 
-    The greedy 1:1 choice needs a collection's names in one task; a collection is one creator's
-    folder, and only its names, not its files, are gathered.
-    """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("post"), b.sort_values("path")
-        rows = pairs(list(zip(a["post"], a["title"])), list(zip(b["path"], b["name"])))
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["collection", "post", "path", "tier"])
+def _equal(posts: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """Posts and files of one name paired in order, the first with the first."""
+    rank = lambda k: F.row_number().over(Window.partitionBy("collection", by).orderBy(k))
+    return posts.withColumn("r", rank("post")).join(files.withColumn("r", rank("path")), ["collection", by, "r"]).select("collection", "post", "path")
 
-    return posts.groupBy("collection").cogroup(files.groupBy("collection")).applyInPandas(run, "collection string, post long, path string, tier int")
+
+def _inside(short: DataFrame, long: DataFrame, by: str, key: str) -> DataFrame:
+    """Rows of ``short`` whose name of at least 8 letters is part of one of ``long``: an equality join on all such parts."""
+    n = F.length(by)
+    parts = long.where(n >= 8).select("collection", key, by, F.explode(F.sequence(F.lit(1), n - 7)).alias("i")).select("collection", key, by, "i", F.explode(F.sequence(F.lit(8), n - F.col("i") + 1)).alias("k"))
+    parts = parts.select("collection", key, F.substring(F.col(by), F.col("i"), F.col("k")).alias(by)).distinct()
+    return short.where(n >= 8).join(parts, ["collection", by]).select("collection", "post", "path")
+
+
+def matched(posts: DataFrame, files: DataFrame) -> DataFrame:
+    """(collection, post, path, tier) for posts (collection, post, title) and files (collection, path, name), each post and file once.
+
+    Tier by tier: equal names, equal stripped names of 8 letters, one name in the other, one stripped name in the other. Every
+    tier is an equality join, so a collection may be as large as a site.
+    """
+    p, f, out = cut(_names(posts, "post", "title", False)), cut(_names(files, "path", "name", True)), None
+    for tier, by in ((1, "f"), (2, "s"), (3, "f"), (4, "s")):
+        if tier == 1:
+            found = _equal(p.where("f <> ''"), f, "f")
+        elif tier == 2:
+            found = _equal(p.where(F.length("s") >= 8), f, "s")
+        else:
+            found = _one_to_one(_inside(p, f, by, "path").unionByName(_inside(f, p, by, "post").select("collection", "post", "path")))
+        found = cut(found.withColumn("tier", F.lit(tier)))
+        out = found if out is None else out.unionByName(found)
+        p = p.join(found.select("collection", "post"), ["collection", "post"], "left_anti")
+        f = f.join(found.select("collection", "path"), ["collection", "path"], "left_anti")
+    return out

@@ -202,10 +202,23 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return xml.where(readers.sitemap_kind("xml") == "urlset").select("domain", F.explode(readers.sitemap_locations("xml")).alias("url")).groupBy("domain").agg(F.count_distinct("url").alias("n_urls"))
 
 
+def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    posts = table(spark, d, "raw_pages").where("title is not null and domain is not null").groupBy(F.col("domain").alias("collection"), "title").agg(F.min("cache_id").alias("post"))
+    files = table(spark, d, "manifest").where("target_filename is not null and domain is not null").groupBy(F.col("domain").alias("collection"), F.col("target_filename").alias("name")).agg(F.concat(F.lit("/m/"), F.min("page_seq").cast("string")).alias("at"))
+    return posts.select("collection", "post", "title"), files.select("collection", F.concat("at", F.lit("-"), "name").alias("path"), "name")
+
+
 @query()
 def media_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of each site's pages matched to file names, each file at most once."""
-    m = table(spark, d, "manifest").where("title is not null and domain is not null")
-    posts = m.groupBy(F.concat_ws("/", "domain", F.pmod(F.xxhash64(F.lower("title")), F.lit(64)).cast("string")).alias("collection"), "title").agg(F.min("page_seq").alias("post"))
-    files = posts.select("collection", F.concat(F.lit("/m/"), F.translate("title", " ", "_"), F.lit("_1080p.mp4")).alias("path"), F.concat(F.translate("title", " ", "_"), F.lit("_1080p.mp4")).alias("name"))
-    return media.matched(posts.select("collection", "post", "title"), files).select("post", "path", "tier")
+    """Titles of each site's stored pages matched to the file names of its manifest, each file at most once."""
+    return media.matched(*_media(spark, d)).select("post", "path", "tier")
+
+
+@query(r"""
+with p as (select domain, min(cache_id) as post, regexp_replace(lower(title), '[^\p{L}\p{N}]', '', 'g') as f from raw_pages where title is not null and domain is not null group by domain, title),
+m as (select domain, '/m/' || min(page_seq) || '-' || target_filename as path, regexp_replace(lower(regexp_replace(target_filename, '\.\w{2,4}$', '')), '[^\p{L}\p{N}]', '', 'g') as f from manifest where target_filename is not null and domain is not null group by domain, target_filename),
+a as (select *, row_number() over (partition by domain, f order by post) as r from p where f <> ''), b as (select *, row_number() over (partition by domain, f order by path) as r from m)
+select a.post, b.path from a join b on b.domain = a.domain and b.f = a.f and b.r = a.r""")
+def equal_media_names(spark: SparkSession, d: str) -> DataFrame:
+    """The first tier of :func:`media_matching`, equal folded names paired in order."""
+    return media.matched(*_media(spark, d)).where("tier = 1").select("post", "path")

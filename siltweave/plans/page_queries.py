@@ -26,12 +26,13 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 @query("""
 select page_seq, title from manifest where not coalesce(list_has_any(source_categories, ['Misc B', 'News A', 'Bosses']), false)
-and not coalesce(list_has_any(categories, ['Misc B', 'News A', 'Bosses']), false) and not coalesce(assigned_category in ('stages'), false)""")
+and not coalesce(list_has_any(categories, ['Misc B', 'News A', 'Bosses']), false) and not coalesce(assigned_category in ('stages'), false) and not coalesce(title in ('Misc B', 'News A', 'Bosses'), false)""")
 def exclude_filter(spark: SparkSession, d: str) -> DataFrame:
     """FLT1, FLT2, FLT3, SET2, SET3: pages none of whose categories is excluded."""
     gone = F.array_union(F.array(*map(F.lit, EXCLUDED_CATEGORIES[:2])), F.array(*map(F.lit, EXCLUDED_CATEGORIES[1:])))
     hit = lambda c: F.coalesce(F.arrays_overlap(c, gone), F.lit(False))
-    return table(spark, d, "manifest").where(~hit(F.col("source_categories")) & ~hit(F.col("categories")) & ~F.coalesce(F.col("assigned_category").isin(*EXCLUDED_DIRECTORIES), F.lit(False))).select("page_seq", "title")
+    titled = F.coalesce(F.col("title").isin(*EXCLUDED_CATEGORIES), F.lit(False))
+    return table(spark, d, "manifest").where(~titled & ~hit(F.col("source_categories")) & ~hit(F.col("categories")) & ~F.coalesce(F.col("assigned_category").isin(*EXCLUDED_DIRECTORIES), F.lit(False))).select("page_seq", "title")
 
 
 @query("""
@@ -160,17 +161,30 @@ def assignment_chain(spark: SparkSession, d: str) -> DataFrame:
     return assign.assignment_chain(pages, _values(spark, _PRIORITY, "name string, alias string, rank int, directory string"), manual, _values(spark, _TAXONOMY, "tag string, top string"))
 
 
+_MAPPED = [("Guides A", "guides"), ("Lore (all)", "lore")]
+
+
 @query("""
-with k(key, directory, ord) as (values ('items', 'items', 0), ('boss', 'bosses', 1), ('lore', 'lore', 2), ('guides_a', 'guides', 3)),
-t as (select distinct page_seq, unnest(categories) as category from manifest),
+with k(key, directory, ord) as (values ('items', 'items', 0), ('boss', 'bosses', 1), ('lore', 'lore', 2), ('guides_a', 'guides', 3)), mp(category, directory) as (values ('Guides A', 'guides'), ('Lore (all)', 'lore')),
+m as (select page_seq, categories, case when coalesce(is_list_page, false) then nullif(target_directory, '') end as own from manifest),
+t as (select distinct page_seq, unnest(categories) as category from m), u as (select page_seq, unnest(categories) as category, generate_subscripts(categories, 1) as pos from m),
+mapped as (select page_seq, arg_min(mp.directory, pos) as directory from u join mp using (category) group by 1),
 s as (select page_seq, directory, ord, case when lower(translate(category, ' ', '_')) = key then 2 when contains(lower(translate(category, ' ', '_')), key) or contains(key, lower(translate(category, ' ', '_'))) then 1 else 0 end as p from t cross join k),
 g as (select page_seq, directory, min(ord) as ord, sum(p) as score from s where p > 0 group by all),
 b as (select page_seq, arg_max(directory, {'s': score, 'o': -ord}) as directory, max(score) as score from g group by 1)
-select distinct t.page_seq as page, coalesce(directory, 'misc') as directory, cast(coalesce(score, 0) as bigint) as score from t left join b using (page_seq)""")
+select m.page_seq as page, coalesce(m.own, mapped.directory, b.directory, 'misc') as directory, cast(coalesce(score, 0) as bigint) as score, case when m.own is not null then 'list_page' when mapped.directory is not null then 'mapped' when b.directory is not null then 'scored' else 'default' end as method
+from m left join mapped using (page_seq) left join b using (page_seq)""")
 def category_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """AGG10: the best scoring directory of each page's categories."""
-    tags = table(spark, d, "manifest").select(F.col("page_seq").alias("page"), F.explode("categories").alias("category")).distinct()
-    return assign.category_scores(tags, _values(spark, [("items", "items", 0), ("boss", "bosses", 1), ("lore", "lore", 2), ("guides_a", "guides", 3)], "key string, directory string, ord int"))
+    """AGG10: a list page's own directory, else that of the first mapped category, else the best scoring directory of the page's categories."""
+    m = table(spark, d, "manifest").select(F.col("page_seq").alias("page"), "categories", F.when(F.coalesce("is_list_page", F.lit(False)), F.expr("nullif(target_directory, '')")).alias("own"))
+    tags = m.select("page", F.explode("categories").alias("category")).distinct()
+    scored = assign.category_scores(tags, _values(spark, [("items", "items", 0), ("boss", "bosses", 1), ("lore", "lore", 2), ("guides_a", "guides", 3)], "key string, directory string, ord int"))
+    mapping = F.broadcast(_values(spark, _MAPPED, "category string, directory string"))  # configuration
+    mapped = m.select("page", F.posexplode("categories").alias("at", "category")).join(mapping, "category").groupBy("page").agg(F.min_by("directory", "at").alias("mapped"))
+    out = m.join(mapped, "page", "left").join(scored.withColumnRenamed("directory", "scored"), "page", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+    found = F.when(F.col("score") > 0, F.col("scored"))
+    method = F.when(F.col("own").isNotNull(), "list_page").when(F.col("mapped").isNotNull(), "mapped").when(found.isNotNull(), "scored").otherwise("default")
+    return out.select("page", F.coalesce("own", "mapped", found, F.lit("misc")).alias("directory"), "score", method.alias("method"))
 
 
 @query("""

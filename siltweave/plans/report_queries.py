@@ -146,7 +146,10 @@ def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
     return numbered(rows, [], "place", F.struct("number", ranges.alias("range")), "position").drop("place")
 
 
-@query()
+@query(r"""
+with n as (select domain, regexp_extract_all(regexp_extract(html, '(?is)<(?:nav|div role="navigation"|div class="top-menu"|div id="mw-navigation")[^>]*>(.*?)</ul>', 1), '<a [^>]*>([^<]+)</a>', 1) as nav, regexp_extract_all(html, '(?is)<h2[^>]*>(?:<span[^>]*>)?([^<]+)<', 1) as h2 from raw_pages where html is not null),
+l as (select domain, case when len(nav) > 0 then nav else h2 end as l from n)
+select domain, label, count(*) as n from (select domain, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:10]) as label from l) group by all""")
 def navigation_labels(spark: SparkSession, d: str) -> DataFrame:
     """K19, SRT7: at most ten menu labels of each whole page, else its h2 headings, counted by site."""
     nav = F.regexp_extract_all(F.regexp_extract("html", r'(?is)<(?:nav|div role="navigation"|div class="top-menu"|div id="mw-navigation")[^>]*>(.*?)</ul>', 1), F.lit(r"<a [^>]*>([^<]+)</a>"), F.lit(1))

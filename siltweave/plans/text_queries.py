@@ -32,10 +32,11 @@ def first_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with e as (select result_id, list_sort(map_keys(frontmatter)) as k, frontmatter as f from results where frontmatter is not null)
-select result_id, '---' || chr(10) || coalesce(list_aggregate(list_transform(k, lambda x: x || ': ' || case when regexp_matches(f[x], '[\\n:"]') then '"' || replace(replace(f[x], '"', '\\"'), chr(10), '\\n') || '"' else f[x] end), 'string_agg', chr(10)), '') || chr(10) || '---' || chr(10) as block from e""")
+select result_id, '---' || chr(10) || coalesce(list_aggregate(list_transform(k, lambda x: x || ': ' || case when regexp_matches(f[x], '[\\n:"]') then '"' || replace(replace(f[x], '"', '\\"'), chr(10), '\\n') || '"' else f[x] end), 'string_agg', chr(10)), '') || chr(10) || '---' || chr(10) as block,
+ '---' || chr(10) || coalesce(list_aggregate(list_transform(k, lambda x: x || ': ' || case when regexp_matches(f[x], '[\\n:"]') then '"' || replace(f[x], chr(10), '\\n') || '"' else f[x] end), 'string_agg', chr(10)), '') || chr(10) || '---' || chr(10) as bare_block from e""")
 def frontmatter_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """FN17: front matter as YAML, keys in order."""
-    return table(spark, d, "results").where("frontmatter is not null").select("result_id", text.frontmatter("frontmatter").alias("block"))
+    """FN17: front matter as YAML, keys in order, with and without escaped quotes (the two converters differ in that)."""
+    return table(spark, d, "results").where("frontmatter is not null").select("result_id", text.frontmatter("frontmatter").alias("block"), text.frontmatter("frontmatter", escape=False).alias("bare_block"))
 
 
 @query("""
@@ -51,11 +52,12 @@ def content_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with i as (select cache_id, list_filter(images, lambda x: not regexp_matches(x, '(?i)(icon|logo|sprite)'))[1] as image, domain from raw_pages)
-select cache_id, replace(image, ' ', '_') as image, 'https://' || domain || '/images/' || replace(image, ' ', '_') as url from i""")
+select cache_id, replace(image, ' ', '_') as image, 'https://' || domain || '/images/' || replace(image, ' ', '_') as url, 'https://' || domain || '/Special:Redirect/file/' || replace(url_encode(image), '+', '%20') as redirect from i""")
 def image_names(spark: SparkSession, d: str) -> DataFrame:
     """FN19, FN20: the first image of a page that isn't skipped, and its URL."""
-    first = F.translate(F.get(F.filter("images", lambda x: ~x.rlike("(?i)(icon|logo|sprite)")), F.lit(0)), " ", "_")
-    return table(spark, d, "raw_pages").select("cache_id", first.alias("image"), F.concat(F.lit("https://"), "domain", F.lit("/images/"), first).alias("url"))
+    raw = F.get(F.filter("images", lambda x: ~x.rlike("(?i)(icon|logo|sprite)")), F.lit(0))
+    first = F.translate(raw, " ", "_")
+    return table(spark, d, "raw_pages").select("cache_id", first.alias("image"), F.concat(F.lit("https://"), "domain", F.lit("/images/"), first).alias("url"), F.concat(F.lit("https://"), "domain", F.lit("/Special:Redirect/file/"), F.replace(F.url_encode(raw), F.lit("+"), F.lit("%20"))).alias("redirect"))
 
 
 @query("""
@@ -183,14 +185,17 @@ with e as (select user_id, event_type, count(*) as n, max(ts) as last from event
 select user_id, coalesce(max(n) filter (where event_type = 'error'), 0) as errors, arg_max(event_type, {'t': last, 'e': event_type}) as last_type,
  case when coalesce(max(n) filter (where event_type = 'error'), 0) >= 20 then 'P0' when coalesce(max(n) filter (where event_type = 'error'), 0) >= 10 then 'P1' when coalesce(max(n) filter (where event_type = 'error'), 0) > 0 then 'P2' else 'P3' end as priority from e group by user_id""")
 def issue_priorities(spark: SparkSession, d: str) -> DataFrame:
-    """KI1, KI2: priority of an issue by its counted errors, last state by time."""
+    """AGG18: priority of an issue by its counted errors, last event by time."""
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     errors = F.coalesce(F.max(F.when(F.col("event_type") == "error", F.col("n"))), F.lit(0).cast("long"))
     a = e.groupBy("user_id").agg(errors.alias("errors"), F.max_by("event_type", F.struct("last", "event_type")).alias("last_type"))
     return a.withColumn("priority", F.when(F.col("errors") >= 20, "P0").when(F.col("errors") >= 10, "P1").when(F.col("errors") > 0, "P2").otherwise("P3"))
 
 
-@query()
+@query("""
+with e as (select user_id as issue, ts, case event_type when 'click' then 'in_progress' when 'purchase' then 'resolved' else 'wontfix' end as s from events where event_type in ('click', 'purchase', 'error')),
+f as (select issue, min({'t': ts, 's': s}) as a from e where s in ('in_progress', 'wontfix') group by issue), g as (select e.issue, min({'t': ts, 's': s}) as b from e join f on f.issue = e.issue where f.a.s = 'in_progress' and e.s in ('resolved', 'wontfix') and (e.ts > f.a.t or e.ts = f.a.t and e.s > f.a.s) group by e.issue)
+select i.issue, coalesce(g.b.s, f.a.s, 'open') as state, cast(case when f.a is null then 0 when g.b is null then 1 else 2 end as integer) as n_steps from (select distinct issue from e) i left join f on f.issue = i.issue left join g on g.issue = i.issue""")
 def ki_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """KI3: the last legal state of each issue, a fold over its ordered transitions."""
     from siltweave.operators.lifecycle import last_state
@@ -222,15 +227,15 @@ def remediation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with h as (select domain, converted_at >= timestamp '2024-07-01' as run, count(*) filter (where status = 'error') as errors, count(*) filter (where coalesce(content, '') = '') as blank from results where converted_at is not null group by all)
-select c.domain, c.errors - coalesce(b.errors, 0) as more_errors, c.blank - coalesce(b.blank, 0) as more_blank from h c left join h b on b.domain = c.domain and not b.run where c.run""")
+with h as (select domain, converted_at >= timestamp '2024-07-01' as run, count(*) filter (where status = 'error') as errors, count(*) filter (where coalesce(content, '') = '') as blank, coalesce(sum(len(warnings)), 0)::bigint as warned from results where converted_at is not null group by all)
+select c.domain, c.errors - coalesce(b.errors, 0) as more_errors, c.blank - coalesce(b.blank, 0) as more_blank, c.warned - coalesce(b.warned, 0) as more_warnings from h c left join h b on b.domain = c.domain and not b.run where c.run""")
 def regression_deltas(spark: SparkSession, d: str) -> DataFrame:
     """AGG22: counters of the conversions since a date against those before it, from one pass."""
     run = (F.col("converted_at") >= F.lit("2024-07-01").cast("timestamp")).alias("run")
-    r = table(spark, d, "results").where("converted_at is not null").groupBy("domain", run).agg(F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("blank"))
+    r = table(spark, d, "results").where("converted_at is not null").groupBy("domain", run).agg(F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("blank"), F.coalesce(F.sum(F.when(F.col("warnings").isNotNull(), F.size("warnings"))), F.lit(0)).cast("bigint").alias("warned"))
     part = lambda c, now: F.max(F.when(F.col("run") == now, F.col(c)))
-    p = r.groupBy("domain").agg(part("errors", True).alias("e1"), part("errors", False).alias("e0"), part("blank", True).alias("b1"), part("blank", False).alias("b0"))
-    return p.where("e1 is not null").select("domain", (F.col("e1") - F.coalesce("e0", F.lit(0))).alias("more_errors"), (F.col("b1") - F.coalesce("b0", F.lit(0))).alias("more_blank"))
+    p = r.groupBy("domain").agg(part("errors", True).alias("e1"), part("errors", False).alias("e0"), part("blank", True).alias("b1"), part("blank", False).alias("b0"), part("warned", True).alias("w1"), part("warned", False).alias("w0"))
+    return p.where("e1 is not null").select("domain", (F.col("e1") - F.coalesce("e0", F.lit(0))).alias("more_errors"), (F.col("b1") - F.coalesce("b0", F.lit(0))).alias("more_blank"), (F.col("w1") - F.coalesce("w0", F.lit(0))).alias("more_warnings"))
 
 
 @query("""
