@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
-class Links:
-    def eval(self, html: str):
-        for k, h in enumerate(re.findall(r'href="([^"#]+)"', html or "")):
-            yield k, h
-
-
 class TableCells:
     def eval(self, html: str):
         from siltweave.functions.dom import parse
@@ -26,27 +18,16 @@ class TableCells:
                     yield t, y, x, y < heads, text
 
 
-class SitemapUrls:
-    def eval(self, xml: str):
-        for u in re.findall(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(https?://[^<\]]*?)\s*(?:\]\]>)?\s*</loc>", xml or ""):
-            yield (u,)
-
-
-class Lines:
-    def eval(self, text: str):
-        for k, line in enumerate((text or "").split("\n"), 1):
-            yield k, line
-
-
-FUNCTIONS = {
-    "extract_links": (Links, "at int, href string"),
-    "table_cells": (TableCells, "tbl int, row int, col int, is_header boolean, text string"),
-    "sitemap_urls": (SitemapUrls, "url string"),
-    "text_lines": (Lines, "line_no int, line string"),
-}
+#: Table functions that are SQL over built-in generators: name, parameter, columns, body.
+GENERATORS = (
+    ("extract_links", "html", "at int, href string", """select pos, col from posexplode(regexp_extract_all(html, 'href="([^"#]+)"', 1))"""),
+    ("text_lines", "text", "line_no int, line string", "select pos + 1, col from posexplode(split(text, '\\n'))"),
+    ("sitemap_urls", "xml", "url string", "select trim(col) from explode(regexp_extract_all(xml, '(?is)<loc>\\\\s*(?:<!.CDATA.)?\\\\s*(https?://[^<\\]]*)', 1))"),
+)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the table functions known to SQL. Built-in generators are preferred where they suffice."""
-    for name, (kind, schema) in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(kind, returnType=schema))
+    """Make the table functions known to SQL; only the one that needs a DOM runs in Python."""
+    for name, parameter, columns, body in GENERATORS:
+        spark.sql(f"create or replace temporary function {name}({parameter} string) returns table ({columns}) return {body}")
+    spark.udtf.register("table_cells", udtf(TableCells, returnType="tbl int, row int, col int, is_header boolean, text string"))

@@ -209,12 +209,27 @@ def sourced_pages(spark: SparkSession, d: str) -> DataFrame:
     return r.select("result_id", sinks.with_source("title", "site", "content").alias("page"))
 
 
-@query("""select cast(0 as integer) as tbl, 0 as row, 0 as col, true as is_header, 'k' as text union all select 0, 1, 0, false, 'v'""")
+@query(r"""
+with c as (select cache_id, len(regexp_extract_all(html, '(?i)<th[ >]')) as h, len(regexp_extract_all(html, '(?i)<td[ >]')) as d, len(regexp_extract_all(html, '(?i)<table[ >]')) as t from raw_pages where platform = 'mediawiki' and html is not null)
+select cache_id, t as n_tables, h + d as n_cells, h as n_heads from c where t > 0""")
 def table_functions(spark: SparkSession, d: str) -> DataFrame:
-    """The table functions in a lateral join (inline fixture)."""
+    """§2.16: the table cells of stored fragments by the table function in a lateral join."""
+    tables.register(spark)
+    table(spark, d, "raw_pages").where("platform = 'mediawiki' and html is not null").createOrReplaceTempView("_fragments")
+    return spark.sql("select p.cache_id, count(distinct c.tbl) as n_tables, count(*) as n_cells, count_if(c.is_header) as n_heads from _fragments p, lateral table_cells(p.html) c group by p.cache_id")
+
+
+@query("""
+with a as (select unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) as href, generate_subscripts(regexp_extract_all(html, 'href="([^"#]+)"', 1), 1) as pos from raw_pages where html is not null),
+l as (select unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as pos from results where content is not null)
+select 'links' as kind, count(*) as n, cast(sum(pos - 1) as bigint) as places, count(distinct href) as n_distinct from a union all select 'lines', count(*), cast(sum(pos) as bigint), count(distinct line) from l""")
+def lateral_generators(spark: SparkSession, d: str) -> DataFrame:
+    """§2.16: links and lines by table functions that are SQL over built-in generators, so no row leaves the JVM."""
     tables.register(spark)
-    spark.createDataFrame([("<table><tr><th>k</th></tr><tr><td>v</td></tr></table>",)], "html string").createOrReplaceTempView("_table_page")
-    return spark.sql("select c.tbl, c.row, c.col, c.is_header, c.text from _table_page, lateral table_cells(html) c")
+    table(spark, d, "raw_pages").where("html is not null").createOrReplaceTempView("_pages")
+    table(spark, d, "results").where("content is not null").createOrReplaceTempView("_texts")
+    return spark.sql("""select 'links' as kind, count(*) as n, sum(l.at) as places, count(distinct l.href) as n_distinct from _pages p, lateral extract_links(p.html) l
+      union all select 'lines', count(*), sum(l.line_no), count(distinct l.line) from _texts t, lateral text_lines(t.content) l""")
 
 
 @query("""

@@ -14,7 +14,7 @@ from siltweave.streaming import pipelines
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.new_pages(spark, os.path.join(d, "fetch_log.parquet"), table(spark, d, "fetch_log").schema, files_per_batch=4)
+    return pipelines.new_pages(spark, os.path.join(d, "fetch_log.parquet"), table(spark, d, "fetch_log").schema, files_per_batch=None)
 
 
 def _finish(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -44,12 +44,13 @@ g as (select domain, ts, case when lag(ts) over w is null or ts - lag(ts) over w
 s as (select domain, ts, sum(fresh) over (partition by domain order by ts rows unbounded preceding) as k from g)
 select domain, min(ts) as began, max(ts) + interval 3 hour as until, count(*) as n from s group by domain, k""")
 def stream_cooldowns(spark: SparkSession, d: str) -> DataFrame:
-    """STM5: rate-limit sessions as the stream sees them; the watermark allows for the longest delay of the stored log."""
-    return _finish(spark, pipelines.cooldowns(_log(spark, d), late="400 days"), "complete", "cooldowns").select("domain", F.col("began").cast("timestamp_ntz").alias("began"), F.col("until").cast("timestamp_ntz").alias("until"), "n")
+    """STM5: rate-limit sessions as the stream sees them. Sessions of all time are given out, so state is one row a session."""
+    return _finish(spark, pipelines.cooldowns(_log(spark, d)), "complete", "cooldowns").select("domain", F.col("began").cast("timestamp_ntz").alias("began"), F.col("until").cast("timestamp_ntz").alias("until"), "n")
 
 
 @query("select distinct url, engine, status, ts from fetch_log")
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    """STM2: fetches without the rows that were delivered again."""
-    once = _log(spark, d).select("url", "engine", "status", "ts").dropDuplicates()
-    return _finish(spark, once, "append", "once").select("url", "engine", "status", "ts")
+    """STM2: fetches without the rows that were delivered again; state older than the watermark leaves."""
+    log = _log(spark, d).select("url", "engine", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "30 days")
+    once = log.dropDuplicatesWithinWatermark(["url", "engine", "status", "ts"])
+    return _finish(spark, once, "append", "once").select("url", "engine", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))

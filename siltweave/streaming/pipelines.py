@@ -12,14 +12,16 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from siltweave.operators.lifecycle import STEPS
 
 
-def new_pages(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """Stored pages as they arrive, each file once; the batch size bounds the work in flight (STM2, STM3).
+def new_pages(spark: SparkSession, path: str, schema, files_per_batch: int | None = 64) -> DataFrame:
+    """Stored pages as they arrive, each file once; the batch size bounds the work in flight (STM2, STM3). Without one all
+    files there are make a batch, as a replay of a store needs whose files aren't in order of time: no row is late then.
 
     The path becomes a pattern, as a stream takes a table of a single file only by pattern.
     """
     if not any(c in path for c in "*?[{"):
         path = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def convert_incrementally(pages: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
