@@ -163,7 +163,11 @@ def tree() -> tuple:
 
 def article(html: str | None, model: tuple) -> list[Block]:
     """The blocks of the article; table cells and controls never count."""
-    nodes, blocks = read(html)
+    return article_of(*read(html), model)
+
+
+def article_of(nodes: list[Node], blocks: list[Block], model: tuple) -> list[Block]:
+    """The blocks of the article of a page that has been read."""
     kept = []
     for b, row in zip(blocks, features(nodes, blocks)):
         at = model

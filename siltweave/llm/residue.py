@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from siltweave.llm.html_blocks import read
 from siltweave.llm.labelled_lines import leaning, weights
-from siltweave.llm.main_content import article, tree
+from siltweave.llm.main_content import article_of, tree
 from siltweave.llm.words import HAN
 from siltweave.session import spread
 
@@ -88,6 +88,7 @@ _FUNCTION_WORDS = frozenset(
 _HOLDERS = frozenset("placeholder filler dummy sample example lorem ipsum blindtext platzhalter platzhaltertext mustertext beispieltext beispielabsatz beispielsatz beispielinhalt fülltext blind".split())
 _ABOUT_TEXT = frozenset("text texts content copy paragraph paragraphs sentence sentences description title caption summary headline words body absatz satz inhalt inhalte beschreibung überschrift titel zusammenfassung blindtext platzhaltertext beispieltext beispielabsatz mustertext".split())
 _TO_COME = frozenset("here goes follow follows coming soon later replace insert add added enter ignore tba tbd todo launch fill filling space box another more some please just hier folgt folgen steht stehen kommt bald später kürze ersetzen einfügen ergänzen ignorieren bitte weitere dies kurz".split())
+_FILLING = _HOLDERS | _ABOUT_TEXT
 _HAN_HOLDER = re.compile(r"占位|示例|样例|测试|填充")
 _HAN_TO_COME = re.compile(r"(?:内容|正文|描述|文字|标题|段落).{0,2}(?:待|稍后|即将)|请(?:在此)?(?:替换|填写|输入)|在此(?:填写|输入)")
 _HAN_LEXICON = re.compile(r"占位|示例|样例|测试|填充|这里|此处|此段|这段|本段|在此|文字|文本|内容|段落|正文|描述|标题|替换|补充|添加|填写|输入|稍后|即将|推出|待|请|您的|你的|这|此|是|为|的|符|用|于|一|个|段")
@@ -195,29 +196,41 @@ def _speaks_of_text_to_come(sentence: str) -> bool:
 def is_filler(paragraph: str) -> bool:
     """Whether most of a paragraph only fills space."""
     tokens = paragraph.split()
+    low = paragraph.lower().split()
+    plainly = len(low) >= 5 and sum([t in _FUNCTION_WORDS for t in low]) >= 0.15 * len(low)  # running text of a language
+    if not plainly and _only_fills(paragraph, tokens):
+        return True
+    if not _FILLING.isdisjoint(low) or not _FILLING.isdisjoint([t.strip(".,;:!?()") for t in low]) or not paragraph.isascii() and (_HAN_HOLDER.search(paragraph) or _HAN_TO_COME.search(paragraph)):
+        whole = filled = 0
+        for s in _SENTENCE.findall(paragraph):
+            s = s.strip()
+            if s:
+                whole += len(s)
+                if _speaks_of_text_to_come(s):
+                    filled += len(s)
+        return filled > 0.6 * whole
+    return False
+
+
+def _only_fills(paragraph: str, tokens: list[str]) -> bool:
+    """One word or letter over and over, or running text without function words."""
     names = [t for t in (t.strip(".,;:!?。").lower() for t in tokens) if t and not t.isdigit()]
-    if len(names) >= 2 and len(tokens) <= 3 * len(names):
-        kinds = set(names)
-        if len(kinds) == 1 and (len(names) >= 3 or names[0] in ("undefined", "null", "nan", "none", "todo", "tbd")) and names[0].isalnum():
-            return True
-        if all(map(_ONE_LETTER.match, kinds)):
-            return True
-        if len(names) >= 5:
-            low = [t for t in names if t.isascii() and t.isalpha()]
-            plain = sum(t.strip(".,;:!?").islower() for t in tokens[1:] if t.isascii())
-            # names begin with capitals; what is left of running text needs function words
-            if plain >= 4 and len(low) >= 0.8 * len(names) and plain >= 0.7 * len(low) and 3 * paragraph.count(",") < len(names):
-                share = sum(t in _FUNCTION_WORDS for t in low) / len(low)
-                if share < 0.15 and len(names) >= 16 or share == 0 and (paragraph.rstrip()[-1] in ".!?…" or len(kinds) <= 0.75 * len(names) or len(names) >= 12):
-                    return True
-    whole = filled = 0
-    for s in _SENTENCE.findall(paragraph):
-        s = s.strip()
-        if s:
-            whole += len(s)
-            if _speaks_of_text_to_come(s):
-                filled += len(s)
-    return filled > 0.6 * whole
+    if len(names) < 2 or len(tokens) > 3 * len(names):
+        return False
+    kinds = set(names)
+    if len(kinds) == 1 and (len(names) >= 3 or names[0] in ("undefined", "null", "nan", "none", "todo", "tbd")) and names[0].isalnum():
+        return True
+    if all(map(_ONE_LETTER.match, kinds)):
+        return True
+    if len(names) < 5:
+        return False
+    low = [t for t in names if t.isascii() and t.isalpha()]
+    plain = sum(t.strip(".,;:!?").islower() for t in tokens[1:] if t.isascii())
+    # names begin with capitals; what is left of running text needs function words
+    if plain < 4 or len(low) < 0.8 * len(names) or plain < 0.7 * len(low) or 3 * paragraph.count(",") >= len(names):
+        return False
+    share = sum(t in _FUNCTION_WORDS for t in low) / len(low)
+    return share < 0.15 and len(names) >= 16 or share == 0 and (paragraph.rstrip()[-1] in ".!?…" or len(kinds) <= 0.75 * len(names) or len(names) >= 12)
 
 
 def _says(sentence: str) -> bool:
@@ -289,10 +302,11 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
     if not html:
         return []
     cut = _CODE_HTML.sub(" ", html) if "<code" in html or "<pre" in html or "math" in html else html
-    blocks = read(cut, notices=True)[1]
+    nodes, blocks = read(cut, notices=True)
     asked = any(b.kind == "notice" and is_message(b.text) for b in blocks)
     cells = [b.text for b in blocks if b.kind == "cell"]
-    texts = [(b.text, b.kind == "heading") for b in (blocks if fragment else article(cut, model)) if b.kind not in ("cell", "control", "notice")]
+    shown = [b for b in blocks if b.kind != "notice"]
+    texts = [(b.text, b.kind == "heading") for b in (shown if fragment else article_of(nodes, shown, model)) if b.kind not in ("cell", "control")]
     if all(heading for _, heading in texts) and not fragment:
         # no text was taken for the article: what speaks without links and isn't the site's stands in its place
         texts += [(b.text, False) for b in blocks if b.kind in ("p", "quote") and not b.linked and (leaning(b.text, weights("site")) <= max(0.0, leaning(b.text, weights("message"))) or is_filler(b.text))]
