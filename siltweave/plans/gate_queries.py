@@ -195,8 +195,9 @@ def registry_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select domain, array_to_string(list_filter(coalesce(page_types, []), lambda x, i: list_position(page_types, x) = i), ',') as page_types, array_to_string(list_filter(coalesce(pagination, []), lambda x, i: list_position(pagination, x) = i), ',') as pagination from registry""")
+select domain, array_to_string(list_filter(coalesce(page_types, []), lambda x, i: list_position(page_types, x) = i), ',') as page_types, array_to_string(list_filter(coalesce(pagination, []), lambda x, i: list_position(pagination, x) = i), ',') as pagination, list_has_all(coalesce(page_types, []), ['static_article']) as complete from registry""")
 def registry_types(spark: SparkSession, d: str) -> DataFrame:
-    """AGG20: declared page types and paginations of each site, once each, in order."""
+    """AGG20, FLT28: declared page types and paginations of each site, once each, in order, and whether all that is required is among them."""
     once = lambda c: F.array_join(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), ",").alias(c)
-    return table(spark, d, "registry").select("domain", once("page_types"), once("pagination"))
+    lacks = F.size(F.array_except(F.array(F.lit("static_article")), F.coalesce("page_types", F.array().cast("array<string>"))))
+    return table(spark, d, "registry").select("domain", once("page_types"), once("pagination"), (lacks == 0).alias("complete"))

@@ -316,7 +316,7 @@ with l as (select distinct * from fetch_log), c as (select engine, case when htt
   when http_status >= 500 then 'server' when error_type is not null then error_type when status = 'success' then 'none' else 'unknown' end as kind, elapsed_ms from l)
 select engine, kind, count(*) as n, cast(sum(case when elapsed_ms >= 0 then elapsed_ms end) as bigint) as elapsed_ms from c group by all""")
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    """FLT20, FLT21, FLT26, D14: fetches of each engine by class of error; negative times count as unknown."""
+    """FLT20, D14: fetches of each engine by class of error; negative times count as unknown."""
     kind = (
         F.when(F.col("http_status") == 403, "forbidden").when(F.col("http_status") == 429, "rate_limited").when(F.col("http_status") == 401, "unauthorized").when(F.col("error_type") == "timeout", "timeout")
         .when(F.col("http_status") >= 500, "server").when(F.col("error_type").isNotNull(), F.col("error_type")).when(F.col("status") == "success", "none").otherwise("unknown")
@@ -402,23 +402,24 @@ def conversion_routes(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with t as (select cache_id, coalesce(html, rendered_html) as h from raw_pages), c as (select cache_id, h, len(regexp_extract_all(h, '(?i)<p[ >]')) as p, len(regexp_extract_all(h, '(?i)<li[ >]')) as li, len(regexp_extract_all(h, '(?i)<tr[ >]')) as tr, len(regexp_extract_all(h, '(?i)<img[ >]')) as img, len(regexp_extract_all(h, '(?i)<table[ >]')) as tb from t where h is not null)
 select cache_id, case when regexp_matches(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1), '(?i)main page|home') then 'home' when (tr > 5 or li > 20) and not (p > 10 and tr < 10) then 'list' when img > 10 then 'gallery' when p > 3 then 'article' else 'home' end as kind,
-  tb > 2 as many_tables, regexp_matches(h, 'class="[^"]*infobox') as infobox, cast(p as bigint) as p, cast(li as bigint) as li from c""")
+  tb > 2 as many_tables, regexp_matches(h, 'class="[^"]*infobox') as infobox, len(regexp_extract_all(h, '(?i)<(?:ul|ol)[ >]')) > 5 as many_lists, regexp_matches(h, 'class="[^"]*card') as cards, cast(p as bigint) as p, cast(li as bigint) as li from c""")
 def page_structure_class(spark: SparkSession, d: str) -> DataFrame:
     """FLT17, FLT18: page type and structure flags from tag counts, all in the JVM."""
     n = lambda tag: F.regexp_count("h", F.lit(rf"(?i)<{tag}[ >]"))
     c = table(spark, d, "raw_pages").select("cache_id", F.coalesce("html", "rendered_html").alias("h")).where("h is not null").select("cache_id", "h", n("p").alias("p"), n("li").alias("li"), n("tr").alias("tr"), n("img").alias("img"), n("table").alias("tb"))
     home = F.regexp_extract("h", "(?is)<title[^>]*>(.*?)</title>", 1).rlike("(?i)main page|home")
     kind = F.when(home, "home").when(((F.col("tr") > 5) | (F.col("li") > 20)) & ~((F.col("p") > 10) & (F.col("tr") < 10)), "list").when(F.col("img") > 10, "gallery").when(F.col("p") > 3, "article").otherwise("home")
-    return c.select("cache_id", kind.alias("kind"), (F.col("tb") > 2).alias("many_tables"), F.col("h").rlike('class="[^"]*infobox').alias("infobox"), F.col("p").cast("bigint").alias("p"), F.col("li").cast("bigint").alias("li"))
+    return c.select("cache_id", kind.alias("kind"), (F.col("tb") > 2).alias("many_tables"), F.col("h").rlike('class="[^"]*infobox').alias("infobox"), (F.regexp_count("h", F.lit("(?i)<(?:ul|ol)[ >]")) > 5).alias("many_lists"), F.col("h").rlike('class="[^"]*card').alias("cards"), F.col("p").cast("bigint").alias("p"), F.col("li").cast("bigint").alias("li"))
 
 
 @query("""
-select cache_id, case when regexp_matches(rendered_html, '(?i)<meta name="generator" content="mediawiki') then 'mediawiki' when regexp_matches(rendered_html, '(?i)<meta name="generator"') then 'other' else 'unknown' end as backend,
+select cache_id, case when regexp_matches(rendered_html, '(?i)<meta name="generator" content="mediawiki') and regexp_matches(rendered_html, 'class="[^"]*mw-') and contains(coalesce(url, ''), '/wiki/') then 'mediawiki' when regexp_matches(rendered_html, '(?i)<meta name="generator"') then 'other' else 'unknown' end as backend,
   regexp_extract(rendered_html, '(?i)<meta name="generator" content="MediaWiki ([0-9.]+)', 1) as version from raw_pages where rendered_html is not null""")
 def backend_detection(spark: SparkSession, d: str) -> DataFrame:
-    """FLT16, FLT31: the software behind a page by its generator mark."""
+    """FLT16, FLT31: the software behind a page: the first whose every sign (generator mark, class, URL) is there."""
     h = F.col("rendered_html")
-    backend = F.when(h.rlike('(?i)<meta name="generator" content="mediawiki'), "mediawiki").when(h.rlike('(?i)<meta name="generator"'), "other").otherwise("unknown")
+    signs = h.rlike('(?i)<meta name="generator" content="mediawiki') & h.rlike('class="[^"]*mw-') & F.contains(F.coalesce("url", F.lit("")), F.lit("/wiki/"))
+    backend = F.when(signs, "mediawiki").when(h.rlike('(?i)<meta name="generator"'), "other").otherwise("unknown")
     return table(spark, d, "raw_pages").where("rendered_html is not null").select("cache_id", backend.alias("backend"), F.regexp_extract(h, '(?i)<meta name="generator" content="MediaWiki ([0-9.]+)', 1).alias("version"))
 
 
@@ -426,7 +427,7 @@ def backend_detection(spark: SparkSession, d: str) -> DataFrame:
 with r as (select distinct domain, unnest(page_types) as page_type from registry), m as (select domain, coalesce(page_type, '') as page_type, count(*) as n from manifest group by all)
 select m.domain, m.page_type, m.n from m where m.page_type <> '' and not exists (select 1 from r where r.domain = m.domain and r.page_type = m.page_type)""")
 def capability_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """J20, J21, J22, FLT28, AGG20: page types that a site's pages need and its registry entry doesn't declare."""
+    """J20, FLT28: page types that a site's pages need and its registry entry doesn't declare."""
     declared = table(spark, d, "registry").select("domain", F.explode("page_types").alias("page_type")).distinct()
     needed = table(spark, d, "manifest").where("page_type is not null and page_type <> ''").groupBy("domain", "page_type").agg(F.count("*").alias("n"))
     return needed.join(declared, ["domain", "page_type"], "left_anti")

@@ -43,7 +43,7 @@ def stored_descriptors(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select page_seq, lpad(cast(row_number() over (partition by domain order by page_seq) as varchar), 6, '0') || '-' || target_filename as file from manifest""")
 def page_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """W10, SRC21: file names numbered in a site's visit order.
+    """W10, SRC21, ITR3: file names numbered in a site's visit order.
 
     No task holds a whole site: rows are numbered in id ranges, which counts shift.
     """
@@ -93,7 +93,7 @@ def protection_class(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select domain, case when starts_with(coalesce(backend, ''), 'mediawiki') then 'api' when list_contains(entry_points, 'sitemap') then 'sitemap' when list_contains(pagination, 'page_param') then 'first_level' else 'crawl' end as backend from registry""")
 def crawl_backends(spark: SparkSession, d: str) -> DataFrame:
-    """FLT22, FLT29: how a site is crawled, by its registry entry."""
+    """FLT29: how a site is crawled, by its registry entry."""
     kind = F.when(F.coalesce("backend", F.lit("")).startswith("mediawiki"), "api").when(F.array_contains("entry_points", "sitemap"), "sitemap").when(F.array_contains("pagination", "page_param"), "first_level").otherwise("crawl")
     return table(spark, d, "registry").select("domain", kind.alias("backend"))
 
@@ -185,7 +185,7 @@ _KEYS = ("turns", "dungeon", "never_used_key", "Züge", "zzunused")
 with k(key) as (values ('turns'), ('dungeon'), ('never_used_key'), ('Züge'), ('zzunused')), w as (select distinct unnest(regexp_extract_all(content, '[\\p{L}_]+')) as word from results where content is not null)
 select key from k where key not in (select word from w)""")
 def dead_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Configured keys that no text mentions; an anti-join on distinct words instead of a pattern for each key."""
+    """Configured keys that no text mentions; an anti-join on distinct words instead of a pattern for each key."""
     words = table(spark, d, "results").where("content is not null").select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}_]+"), F.lit(0)))).alias("key"))
     keys = spark.createDataFrame([(k,) for k in _KEYS], "key string")
     return keys.join(words.join(F.broadcast(keys), "key", "left_semi").distinct(), "key", "left_anti")
@@ -243,7 +243,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select doc_id, regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g') as anchor, case when lower(coalesce(lang, 'und')) in ('en', 'de', 'zh') then lower(lang) else 'und' end as lang from documents""")
 def document_labels(spark: SparkSession, d: str) -> DataFrame:
-    """FN16, FN37: anchors and languages of documents, odd language codes folded."""
+    """FN16: anchors and languages of documents, odd language codes folded."""
     lang = F.lower(F.coalesce("lang", F.lit("und")))
     return table(spark, d, "documents").select("doc_id", text.anchor(F.coalesce("title", F.lit(""))).alias("anchor"), F.when(lang.isin("en", "de", "zh"), lang).otherwise("und").alias("lang"))
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltweave.functions import urls
+from siltweave.functions import text, urls
 from siltweave.io import table
 from siltweave.operators.ranks import numbered
 from siltweave.plans.link_queries import _RELATIVE, _TREE, files
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import first_n
-from siltweave.sources import readers
+from siltweave.session import shared_folder
+from siltweave.sources import readers, sinks
 
 
 @query("""
@@ -243,3 +245,72 @@ def run_reports(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "results").groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("bad"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("blank"))
     said = F.when(F.col("bad") * 2 > F.col("n"), "Most pages failed.").when(F.col("bad") > 0, "Some pages failed.").otherwise("All pages were converted.")
     return c.where("domain is not null").select("domain", F.concat_ws("\n", F.concat(F.lit("# Run of "), "domain"), F.lit(""), *(F.concat(F.lit(f"- {t}: "), F.col(x).cast("string")) for t, x in (("pages", "n"), ("ok", "ok"), ("errors", "bad"), ("empty", "blank"))), F.lit(""), said).alias("report"))
+
+
+@query("""
+with r as (select domain, split_part(coalesce(backend, ''), '-', 1) as soft, coalesce(protection_level, '') as level from registry),
+t as (select a.domain, min(b.domain) filter (where b.soft = a.soft and b.level = a.level) as both_, min(b.domain) filter (where b.soft = a.soft) as soft, min(b.domain) filter (where b.level = a.level) as level from r a left join r b on b.domain <> a.domain group by a.domain)
+select domain, coalesce(both_, soft, level, 'default') as template, case when both_ is not null then 1 when soft is not null then 2 when level is not null then 3 else 4 end as tier from t""")
+def template_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The entry that a new site's is modelled on: one of the same software and protection, else of the same software, else of the same protection."""
+    r = table(spark, d, "registry").select("domain", F.element_at(F.split(F.coalesce("backend", F.lit("")), "-"), 1).alias("soft"), F.coalesce("protection_level", F.lit("")).alias("level"))
+
+    def first_other(*keys: str) -> Column:
+        two = F.slice(F.array_sort(F.collect_set("domain").over(Window.partitionBy(*keys))), 1, 2)  # the registry is a table of fixed size
+        return F.get(F.filter(two, lambda x: x != F.col("domain")), F.lit(0))
+
+    t = r.select("domain", first_other("soft", "level").alias("a"), first_other("soft").alias("b"), first_other("level").alias("c"))
+    tier = F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 2).when(F.col("c").isNotNull(), 3).otherwise(4)
+    return t.select("domain", F.coalesce("a", "b", "c", F.lit("default")).alias("template"), tier.alias("tier"))
+
+
+@query(r"""
+select cache_id, length(regexp_replace(html, '(?is)<iframe[^>]*(?:youtube|youtu\.be|vimeo)[^>]*>.*?</iframe>|\[?Play video\]?', '', 'g')) as n_left, len(regexp_extract_all(html, '(?i)<span class="[^"]*tooltip')) as n_tooltips from raw_pages where html is not null""")
+def embedded_residue(spark: SparkSession, d: str) -> DataFrame:
+    """FN25: what is left of a page without embedded players, and how many tooltips it has."""
+    h = table(spark, d, "raw_pages").where("html is not null")
+    return h.select("cache_id", F.length(text.strip_video("html")).cast("bigint").alias("n_left"), F.regexp_count("html", F.lit('(?i)<span class="[^"]*tooltip')).cast("bigint").alias("n_tooltips"))
+
+
+@query("""
+with k as (select platform, domain, title, max(fetched_at) as newest from raw_pages where platform is not null and domain is not null and title is not null and fetched_at is not null group by all)
+select platform, count(*) as n_pages, count(distinct domain) as n_domains, max(newest) as newest from k group by platform""")
+def cache_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1, SRC12, SRC13: stored pages put into a page cache in two deliveries and read back; the newest version of each page is there."""
+    path = shared_folder(spark, "cache")
+    pages = table(spark, d, "raw_pages").where("platform is not null and domain is not null and title is not null and fetched_at is not null").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    half = F.pmod(F.xxhash64("cache_id"), F.lit(2))
+    for k in (0, 1):  # both halves are delivered
+        sinks.upsert_cache(pages.where(half == k), path)
+    got = readers.page_cache(spark, path)
+    return got.groupBy("platform").agg(F.count("*").alias("n_pages"), F.count_distinct("domain").alias("n_domains"), F.max("fetched_at").cast("timestamp_ntz").alias("newest"))
+
+
+@query("""
+select domain, count(*) as n_pages, count(url) as n_urls, count(*) filter (where coalesce(is_list_page, false)) as n_lists, cast(sum(coalesce(len(categories), 0)) as bigint) as n_categories from manifest where domain is not null group by domain""")
+def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """SRC11, SNK3, SNK5: each site's manifest written as JSON documents of statistics and pages, at most 1,000 pages each, and read back."""
+    path = shared_folder(spark, "manifest")
+    m = table(spark, d, "manifest").where("domain is not null")
+    fields = [f.name for f in readers.MANIFEST.fields]
+    n = numbered(m, ["domain"], "page_seq", F.floor(F.col("page_seq") / 4096))
+    docs = n.groupBy("domain", F.floor((F.col("rn") - 1) / 1000).alias("part")).agg(F.struct(F.count("*").alias("total"), F.count("url").alias("with_url")).alias("stats"), F.collect_list(F.struct("domain", *fields)).alias("pages"))
+    sinks.write_json(docs.select("domain", "stats", "pages"), path)
+    schema = T.StructType([T.StructField("domain", T.StringType()), T.StructField("pages", T.ArrayType(readers.MANIFEST))])
+    p = spark.read.schema(schema).json(path).select("domain", F.explode("pages").alias("p")).select("domain", "p.*")
+    return p.groupBy("domain").agg(F.count("*").alias("n_pages"), F.count("url").alias("n_urls"), F.count_if(F.coalesce("is_list_page", F.lit(False))).alias("n_lists"), F.sum(F.coalesce(F.when(F.col("categories").isNotNull(), F.size("categories")), F.lit(0))).cast("bigint").alias("n_categories"))
+
+
+@query(f"""
+with {_TREE}, last as (select domain, title, arg_max(content, {{'a': converted_at, 'b': result_id}}) as content from results where status = 'ok' and length(content) > 0 group by all), f as (select files.domain, files.path, any_value(last.content) as content from files join last using (domain, title) group by all having count(*) = 1)
+select domain, count(*) as n_files, cast(sum(length(content)) as bigint) as n_chars from f group by domain""")
+def tree_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """SNK2, SNK4, SRC18: the output tree written as files on the shared folder and read back; paths that two pages claim are left out."""
+    root = shared_folder(spark, "tree")
+    r = table(spark, d, "results").where("status = 'ok' and length(content) > 0")
+    last = r.groupBy("domain", "title").agg(F.max_by("result_id", F.struct("converted_at", "result_id")).alias("result_id"))
+    tree = files(spark, d).join(last, ["domain", "title"])
+    once = tree.groupBy("domain", "path").agg(F.count("*").alias("n"), F.min("result_id").alias("result_id")).where("n = 1")
+    sinks.write_tree(once.join(r.select("result_id", "content"), "result_id").select(F.concat("domain", F.lit("/"), "path").alias("path"), "content"), root)
+    got = readers.text_tree(spark, root).withColumn("domain", F.regexp_extract("path", "/tree-[0-9a-f]+/([^/]+)/", 1))
+    return got.groupBy("domain").agg(F.count("*").alias("n_files"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))

@@ -159,7 +159,7 @@ def merged_documents(spark: SparkSession, d: str) -> DataFrame:
 with p as (select m.domain, coalesce(nullif(lower(m.target_directory), ''), 'misc') as dir, bool_or(coalesce(m.is_list_page, false)) as has_index, count(*) as n from manifest m group by all)
 select domain, dir, '# ' || upper(left(dir, 1)) || substr(dir, 2) || chr(10) || chr(10) || n || ' pages' as body from p where not has_index""")
 def stub_indexes(spark: SparkSession, d: str) -> DataFrame:
-    """ASM3, ASM5, ASM6, ASM7: stub index pages of directories without a list page."""
+    """ASM6, ASM7: stub index pages of directories without a list page."""
     p = table(spark, d, "manifest").groupBy("domain", F.coalesce(F.expr("nullif(lower(target_directory), '')"), F.lit("misc")).alias("dir")).agg(F.bool_or(F.coalesce("is_list_page", F.lit(False))).alias("has_index"), F.count("*").alias("n"))
     return p.where("not has_index").select("domain", "dir", F.concat(F.lit("# "), F.upper(F.left("dir", F.lit(1))), F.substr("dir", F.lit(2)), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" pages")).alias("body"))
 
@@ -169,7 +169,7 @@ with c as (select distinct domain, unnest(categories) as category from manifest)
 m as (select domain, title, min(page_seq) as page_seq from manifest group by all)
 select coalesce(k.domain, m.domain) as domain, coalesce(k.category, m.title) as title, k.category is not null as is_list_page, k.dir from k full outer join m on m.domain = k.domain and m.title = k.category""")
 def homepage_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """ASM9, SRC20: pages and category pages in one manifest, category pages with a derived directory."""
+    """ASM9: pages and category pages in one manifest, category pages with a derived directory."""
     m = table(spark, d, "manifest")
     k = m.select(F.col("domain").alias("kd"), F.explode("categories").alias("category")).distinct()
     p = m.groupBy("domain", "title").agg(F.min("page_seq").alias("page_seq"))
@@ -220,7 +220,7 @@ def ki_batches(spark: SparkSession, d: str) -> DataFrame:
 with w as (select domain, unnest(warnings) as w from results), f as (select domain, list_sort(list(distinct case w when 'unresolved_link' then 'fix_links' when 'missing_image' then 'skip_images' when 'empty_section' then 'drop_empty' else 'expand_templates' end)) as ops from w group by domain)
 select domain, list_aggregate(ops, 'string_agg', ',') as amendments from f""")
 def remediation(spark: SparkSession, d: str) -> DataFrame:
-    """Q13, KI5, ITR5: the rule amendments that a site's findings call for."""
+    """Q13, KI5: the rule amendments that a site's findings call for."""
     op = F.when(F.col("w") == "unresolved_link", "fix_links").when(F.col("w") == "missing_image", "skip_images").when(F.col("w") == "empty_section", "drop_empty").otherwise("expand_templates")
     w = table(spark, d, "results").select("domain", F.explode("warnings").alias("w"))
     return w.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set(op)), ",").alias("amendments"))

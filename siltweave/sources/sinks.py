@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,11 +44,15 @@ def upsert_cache(new: DataFrame, path: str) -> None:
 
 
 def write_tree(files: DataFrame, root: str) -> int:
-    """(path, content) rows as files below ``root`` on storage all executors share; returns their number.
+    """(path, content) rows as files below ``root``, a folder that all executors mount (a path or a file: address); returns their number.
 
     Each file is written under a temporary name and renamed, so a repeated task leaves no half file.
     """
 
+    if re.match(r"(?!file:)[A-Za-z][\w+.-]*:", root):
+        raise ValueError(f"no mounted folder: {root}")
+    root = re.sub("^file:/*", "/", root)
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
