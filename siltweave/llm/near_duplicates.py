@@ -216,10 +216,10 @@ def sketched(df: DataFrame, record_id: str, text: str, k: int, group: str | None
 
 def _cells(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(shared, cells): the bands (key, n, least, most) of n > 1 representatives, and the members (key, n, rep)
-    of those of more than two. A key tells its band. Cells are shuffled once for both."""
+    of those of more than two. A key tells its band. Cells are shuffled once; only shared ones are kept."""
     cells = sketches.select("rep", F.explode("bands").alias("key")).repartition("key")
-    shared = cells.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("n > 1")
-    return cut(shared), cut(cells.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"))
+    kept = cut(cells.join(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "key"))
+    return kept.groupBy("key").agg(F.max("n").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")), kept.where("n > 2")
 
 
 def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
