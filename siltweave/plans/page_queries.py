@@ -344,9 +344,9 @@ def engine_scores(spark: SparkSession, d: str) -> DataFrame:
 with l as (select distinct url, ts, fetch_id, status from fetch_log), g as (select *, case when status = 'success' then 1 else 0 end as good from l),
 w as (select *, coalesce(sum(good) over (partition by url order by ts, fetch_id rows between unbounded preceding and 1 preceding), 0) as run from g),
 f as (select url, run, count(*) filter (where good = 0) as failures from w group by all)
-select url, max(failures) as longest, cast(max(least(power(2.5, failures) * 800, 60000)) as double) as delay_ms from f group by url""")
+select url, max(failures) as longest, cast(max(least(power(2.5, failures) * 800, 60000)) as double) as delay_ms, max(failures) >= 5 as stops from f group by url""")
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
-    """W2, W8, W9, STM4: longest run of failures of each page and the delay that exponential back-off had reached.
+    """W2, W8, W9, STM4: longest run of failures of each page, the delay that exponential back-off had reached, and whether five in a row stop it.
 
     Few pages hold most rows, so no task may hold all attempts of a page: attempts are folded minute by
     minute into leading, trailing and longest runs, then hour by hour, then page by page.
@@ -369,7 +369,7 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     for to in (F.date_trunc("hour", "at"), F.lit(None).cast("timestamp")):
         folded = folded.groupBy("url", to.alias("to")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("parts")).select("url", F.col("to").alias("at"), F.aggregate("parts", empty, lambda a, x: join(a, x["f"])).alias("f"))
     runs = folded.select("url", F.col("f.most").cast("bigint").alias("longest"))
-    return runs.withColumn("delay_ms", F.least(F.pow(F.lit(2.5), F.col("longest")) * 800, F.lit(60000.0)))
+    return runs.withColumn("delay_ms", F.least(F.pow(F.lit(2.5), F.col("longest")) * 800, F.lit(60000.0))).withColumn("stops", F.col("longest") >= 5)
 
 
 @query("""

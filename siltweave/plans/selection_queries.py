@@ -314,3 +314,117 @@ def tree_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_tree(once.join(r.select("result_id", "content"), "result_id").select(F.concat("domain", F.lit("/"), "path").alias("path"), "content"), root)
     got = readers.text_tree(spark, root).withColumn("domain", F.regexp_extract("path", "/tree-[0-9a-f]+/([^/]+)/", 1))
     return got.groupBy("domain").agg(F.count("*").alias("n_files"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@query(r"""
+select cache_id, case when regexp_matches(html, 'class="redirectMsg"') then coalesce(replace(url_decode(regexp_extract(html, '(?is)class="redirectMsg".*?<a\s+href="/wiki/([^"]+)"', 1)), '_', ' '), '') when regexp_matches(wikitext, '(?i)^\s*#redirect\b') then trim(regexp_extract(wikitext, '(?i)^\s*#redirect\s*:?\s*\[\[([^\]|#]+)', 1)) end as target,
+  'https://' || domain || '/wiki/' || replace(title, ' ', '_') as source from raw_pages""")
+def redirect_marks(spark: SparkSession, d: str) -> DataFrame:
+    """FLT23, AGG12: what a stored page redirects to, by its notice or its wikitext: '' where the target can't be read, null where it redirects nowhere."""
+    said = F.regexp_extract("html", r'(?is)class="redirectMsg".*?<a\s+href="/wiki/([^"]+)"', 1)
+    target = F.when(F.col("html").rlike('class="redirectMsg"'), F.coalesce(F.translate(F.coalesce(urls.percent_decode(said), said), "_", " "), F.lit(""))).when(
+        F.col("wikitext").rlike(r"(?i)^\s*#redirect\b"), F.trim(F.regexp_extract("wikitext", r"(?i)^\s*#redirect\s*:?\s*\[\[([^\]|#]+)", 1))
+    )
+    return table(spark, d, "raw_pages").select("cache_id", target.alias("target"), F.concat(F.lit("https://"), "domain", F.lit("/wiki/"), F.translate("title", " ", "_")).alias("source"))
+
+
+@query("""
+with l as (select distinct domain, title from manifest where is_list_page), h as (select distinct r.domain, r.title, replace(unnest(regexp_extract_all(html, 'href="/wiki/([^"?#]+)', 1)), '_', ' ') as target from raw_pages r where html is not null),
+n as (select domain, title, min(ns) as ns from manifest group by all)
+select h.domain, h.title as list_title, h.target, n.ns is not null as listed from h join l on l.domain = h.domain and l.title = h.title left join n on n.domain = h.domain and n.title = h.target where coalesce(n.ns, 0) = 0""")
+def list_links(spark: SparkSession, d: str) -> DataFrame:
+    """SRC4: what list pages link to in the main namespace."""
+    m = table(spark, d, "manifest")
+    lists = m.where("is_list_page").select("domain", "title").distinct()
+    h = table(spark, d, "raw_pages").where("html is not null").select("domain", "title", F.explode(F.regexp_extract_all("html", F.lit('href="/wiki/([^"?#]+)'), F.lit(1))).alias("h"))
+    h = h.select("domain", "title", F.translate("h", "_", " ").alias("target")).distinct().join(lists, ["domain", "title"], "left_semi")
+    n = m.groupBy("domain", F.col("title").alias("target")).agg(F.min("ns").alias("ns"))
+    return h.join(n, ["domain", "target"], "left").where("coalesce(ns, 0) = 0").select("domain", F.col("title").alias("list_title"), "target", F.col("ns").isNotNull().alias("listed"))
+
+
+@query("""
+select domain, title, bool_or(converted_at < timestamp '2024-07-01') as before, bool_or(converted_at >= timestamp '2024-07-01') as since from results where status = 'ok' and converted_at is not null group by all""")
+def completed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SET7: pages done before a run or by it, once each; the union is an aggregate of one scan."""
+    cut_at = F.lit("2024-07-01").cast("timestamp_ntz")
+    r = table(spark, d, "results").where("status = 'ok' and converted_at is not null")
+    return r.groupBy("domain", "title").agg(F.bool_or(F.col("converted_at") < cut_at).alias("before"), F.bool_or(F.col("converted_at") >= cut_at).alias("since"))
+
+
+@query("""
+with m as (select distinct domain, title, target_filename as file from manifest where domain is not null and coalesce(nullif(lower(target_directory), ''), 'misc') = 'misc'),
+n as (select *, row_number() over (partition by domain order by title, file) - 1 as rn from m)
+select domain, cast(floor(rn / 200) as integer) as part, '# Misc' || chr(10) || chr(10) || string_agg('- [' || title || '](' || file || ')', chr(10) order by title, file) as body from n group by domain, floor(rn / 200)""")
+def misc_index(spark: SparkSession, d: str) -> DataFrame:
+    """ASM7: the index of a site's unsorted pages, 200 a part."""
+    m = table(spark, d, "manifest").where("domain is not null").where(F.coalesce(F.expr("nullif(lower(target_directory), '')"), F.lit("misc")) == "misc").select("domain", F.struct("title", F.col("target_filename").alias("file")).alias("place")).distinct()
+    n = numbered(m, ["domain"], "place")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("place")), lambda x: F.concat(F.lit("- ["), x["title"], F.lit("]("), x["file"], F.lit(")"))), "\n")
+    return n.groupBy("domain", F.floor((F.col("rn") - 1) / 200).cast("int").alias("part")).agg(F.concat(F.lit("# Misc\n\n"), body).alias("body"))
+
+
+@query(r"""
+select result_id, md5(regexp_replace(content, '!\[([^\]]*)\]\((?:https?://[^)\s]*/|/images/)([^)/\s]+)\)', '![\1](../images/\2)', 'g')) as digest, len(regexp_extract_all(content, '!\[[^\]]*\]\([^)\s]+\)')) as n_images from results where content is not null""")
+def local_images(spark: SparkSession, d: str) -> DataFrame:
+    """Image references of each text rewritten to the files they are stored as."""
+    new = F.regexp_replace("content", r"!\[([^\]]*)\]\((?:https?://[^)\s]*/|/images/)([^)/\s]+)\)", r"![$1](../images/$2)")
+    return table(spark, d, "results").where("content is not null").select("result_id", F.md5(new.cast("binary")).alias("digest"), F.regexp_count("content", F.lit(r"!\[[^\]]*\]\([^)\s]+\)")).cast("bigint").alias("n_images"))
+
+
+#: Line rules of the clusters that cleaning profiles choose from (fixed values): lines to drop, and rewrites within lines.
+_CLUSTERS = {
+    "navigation": ((r"^\[?(?:Tools|Privacy|About|Disclaimers|Terms|Navigation menu)\]?\s*$", r"^\[?(?:Privacy policy|Terms of Use|Cookie statement|Mobile view)\]?\s*$", r"^\[edit[^\]]*\]\s*$", r"Jump to (?:navigation|search)"), ((r"\[edit\](?:\[source\])?\s*", ""),)),
+    "template": ((r"^\s*\[[^\[].*\]\s*$", r"^\s*\{.*\}\s*$", r'^\s*"[^"]+":\s*(?:"[^"]*"|[0-9]+|true|false|null)\s*,?\s*$', r"^\s*\(\)\s*$"), ((r"\(\)\s*", ""),)),
+    "link": ((r"\[\[Category:", r"^Category:"), ((r"\[!\[([^\]]*)\]\(([^)]+)\)\]\([^)]+\)", r"![\1](\2)"), (r'(\]\([^)\s]+)\s+"[^"]+"\)', r"\1)"), (r"\[(?:File|Category|Template|Special):([^\]]+)\]", r"[\1]"))),
+}
+_PROFILES = {"full": ("navigation", "template", "link"), "links": ("navigation", "link"), "plain": ("template",)}
+
+
+def _profile_sql(clusters: tuple[str, ...]) -> str:
+    drop = " or ".join("regexp_matches(x, '{}')".format(p.replace("'", "''")) for c in clusters for p in _CLUSTERS[c][0])
+    line = "x"
+    for c in clusters:
+        for p, to in _CLUSTERS[c][1]:
+            line = "regexp_replace({}, '{}', '{}', 'g')".format(line, p.replace("'", "''"), to)
+    squeezed = f"(case when starts_with({line}, '|') and len(string_split({line}, '|')) > 6 and len(list_filter(string_split({line}, '|'), lambda c: trim(c) <> '')) between 1 and 2 then '| ' || array_to_string(list_transform(list_filter(string_split({line}, '|'), lambda c: trim(c) <> ''), lambda c: trim(c)), ' | ') || ' |' else {line} end)"
+    return f"array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: not ({drop})), lambda x: {squeezed}), chr(10))"
+
+
+@query("with w as (select cache_id, wikitext as t from raw_pages where wikitext is not null)\n" + " union all ".join(f"select cache_id, '{n}' as profile, md5({_profile_sql(c)}) as digest, len({_profile_sql(c)}) as n_chars from w" for n, c in _PROFILES.items()))
+def profile_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FN36: every page's wikitext under each cleaning profile: dropped lines, rewrites, and fact rows of many empty cells squeezed."""
+    w = table(spark, d, "raw_pages").where("wikitext is not null").select("cache_id", F.split("wikitext", "\n").alias("lines"))
+
+    def body(clusters: tuple[str, ...]) -> Column:
+        def dropped(x: Column) -> Column:
+            hit = F.lit(False)
+            for c in clusters:
+                for p in _CLUSTERS[c][0]:
+                    hit = hit | x.rlike(p)
+            return hit
+
+        def changed(x: Column) -> Column:
+            for c in clusters:
+                for p, to in _CLUSTERS[c][1]:
+                    x = F.regexp_replace(x, p, re.sub(r"\\(\d)", r"$\1", to))
+            cells = F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+            return F.when(x.startswith("|") & (F.size(F.split(x, r"\|")) > 6) & F.size(cells).between(1, 2), F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))).otherwise(x)
+
+        return F.array_join(F.transform(F.filter("lines", lambda x: ~dropped(x)), changed), "\n")
+
+    rows = F.array(*(F.struct(F.lit(n).alias("profile"), body(c).alias("body")) for n, c in _PROFILES.items()))
+    return w.select("cache_id", F.explode(rows).alias("p")).select("cache_id", "p.profile", F.md5(F.col("p.body").cast("binary")).alias("digest"), F.length("p.body").cast("bigint").alias("n_chars"))
+
+
+@query("""
+with b as (select p_type, p_brand, count(*) as n, string_agg('- ' || p_name || ' (' || p_size || ')', chr(10) order by p_name, p_partkey) as listed from part group by all), nav as (select p_type, string_agg('[' || p_brand || '](' || replace(p_brand, '#', '') || '.md)', ' | ' order by p_brand) as links from (select distinct p_type, p_brand from part) group by p_type)
+select p_type as color, p_brand as rarity, '# ' || p_type || ' — ' || p_brand || chr(10) || chr(10) || n || ' cards' || chr(10) || chr(10) || listed || chr(10) || chr(10) || links as body from b join nav using (p_type)""")
+def card_pages(spark: SparkSession, d: str) -> DataFrame:
+    """ASM4, AGG13: one page a group of cards, with its cards in order and links to the group's siblings."""
+    p = table(spark, d, "part")
+    item = F.concat(F.lit("- "), "p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")"))
+    b = p.groupBy("p_type", "p_brand").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_name", "p_partkey", item.alias("item")))), lambda x: x["item"]), "\n").alias("listed"))
+    link = F.concat(F.lit("["), "p_brand", F.lit("]("), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".md)"))
+    nav = p.select("p_type", "p_brand").distinct().groupBy("p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", link.alias("l")))), lambda x: x["l"]), " | ").alias("links"))
+    body = F.concat(F.lit("# "), "p_type", F.lit(" — "), "p_brand", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" cards\n\n"), "listed", F.lit("\n\n"), "links")
+    return b.join(nav, "p_type").select(F.col("p_type").alias("color"), F.col("p_brand").alias("rarity"), body.alias("body"))
