@@ -1,7 +1,7 @@
 """Links of an output tree: resolution by name, rewriting, broken targets, category indexes and bounded crawls.
 
-The tree is made of the manifest pages that have a written result. Distinct links are resolved, not
-occurrences, by equality joins on what a link names, so a page that is linked from everywhere is no hot key.
+The tree is made of the manifest pages that have a written result. Links meet pages by equality joins on what
+they name. The page side has one row a key, so where one page is linked from everywhere AQE splits the link side of the join.
 """
 
 from __future__ import annotations
