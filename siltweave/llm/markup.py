@@ -49,7 +49,7 @@ _HIDDEN = re.compile(
 _LATEX = re.compile(
     r"\$\$(?P<a>.*?)\$\$|\\\[(?P<b>.*?)\\\]|\\\((?P<c>.*?)\\\)|\\begin\{(?P<env>equation|align|displaymath|math|gather|eqnarray)\*?\}(?P<d>.*?)\\end\{(?P=env)\*?\}"
     r"|\\begin\{(?P<venv>verbatim|lstlisting|minted)\*?\}(?:\{[^}\n]*\}|\[[^\]\n]*\])*(?P<v>.*?)\\end\{(?P=venv)\*?\}"
-    r"|(?<![\w$\\])\$(?![{\[\s$])(?P<e>[^$\n]{1,300}?)(?<![\s\\])\$(?![\w$])"
+    r"|(?<![\w$\\])\$(?![{\[\s$])(?P<e>[^$\n]+?)(?<![\s\\])\$(?![\w$])"
     r"|<img\b(?=[^<>]*class=[\"'][^\"']*\btex\b)[^<>]*\balt=(?:\"(?P<g>[^\"]*)\"|'(?P<h>[^']*)')[^<>]*>"
     r"|<(?:span|div)\s+class=[\"']math[^<>]*>(?P<i>.*?)</(?:span|div)>",
     re.S,
@@ -164,7 +164,7 @@ def _without_templates(text: str) -> str:
 
 
 _FLAT = re.compile(r"\{\{[^{}]*\}\}")
-_FIELD = re.compile(r"^\|\s*([^|=\n]{1,60}?)\s*=\s*(.*)$")
+_FIELD = re.compile(r"^\|\s*([^|=\n]+?)\s*=\s*(.*)$")
 _CELL_END = re.compile(r"(?<!\\)\|\|?")
 _WIKI_CELL_END = re.compile(r"\|\||!!")
 _CELL_STYLE = re.compile(r"^\s*(?:[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|\"']+)\s*)+\|")

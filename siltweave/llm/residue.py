@@ -108,7 +108,7 @@ _CODE = re.compile(
     r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)"
     r"|<(pre|code|syntaxhighlight|source|nowiki|math|kbd|samp|tt)\b[^>]*>.*?</\2\s*>"
     r"|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(equation|align|verbatim|lstlisting|math|displaymath)\*?\}.*?\\end\{\3\*?\}"
-    r"|(?<![\w$\\])\$(?![{\[\s$])[^$\n]{1,200}?(?<!\s)\$(?![\w$])"
+    r"|(?<![\w$\\])\$(?![{\[\s$])[^$\n]+?(?<!\s)\$(?![\w$])"
     r"|(`+)(?!`)[^\n]*?(?<!`)\4(?!`)"
     r"|<!--.*?-->|<ref\b[^>]*?/>|<ref\b.*?</ref>",
     re.S | re.M | re.I,

@@ -151,3 +151,9 @@ def test_long_document_is_cut():
     began = time.time()
     assert len(label(costs, K.edges_of([k // 50 for k in range(n)]))) == n
     assert time.time() - began < 30
+
+
+def test_no_length_bounds():
+    long = "x_{1} + " * 100 + "y"
+    assert elements(f"It is ${long}$ here.") == [("formula", long)]
+    assert elements("{{Box\n| " + "k" * 300 + " = v\n}}\n* The king finds three coins.", "wikitext") == [("list_item", "The king finds three coins.")]
