@@ -50,12 +50,13 @@ def expressions(text: str | None) -> list[str]:
     if not text:
         return []
     marks = _TOKEN.findall(text.lower())
-    return [m for m in marks if not "一" <= m <= "鿿"] + [f"{a} {b}" for a, b in zip(marks, marks[1:])]
+    pairs = list(map(" ".join, zip(marks, marks[1:])))
+    return (marks if text.isascii() else [m for m in marks if not "一" <= m <= "鿿"]) + pairs
 
 
 def describe(found: list[str], grades: dict[str, float]) -> np.ndarray:
     """Quantiles and mean of the known expressions' grades, and a constant."""
-    v = np.array([g for g in map(grades.get, found) if g is not None])
+    v = np.fromiter(filter(None, map(grades.get, found)), float)  # grades are above 0
     if len(v) < 5:
         v = np.append(v, np.full(5 - len(v), MIDDLE))
     v.sort()
