@@ -105,7 +105,7 @@ _DE = (
     " trägt| schützt| öffnet| braucht| findet| steht neben| verlässt nie| kauft| stärkt| erinnert an| liegt hinter| lernt von",
     " ein schweres Schild| drei Münzen| die Straße im Osten| etwas Wasser| das Lager im Winter| Stein und Eisen| ein leises Lied| genug Brot auf dem Dach| den Feind bei Nacht| zwei Briefe| ein Haus unter der Brücke| es im Garten| sich vor dem Sturm",
 )
-_ZH = ("国王|商人|老守卫|英雄|村子|巨龙|玩家|小河|骑士|桥", "保护|打开|需要|发现|带着|学会|卖掉|靠近|想起|离开|找到|看见|这里有", "三枚金币|旧地图|北边的路|一把钥匙|很多食物|冬天的营地|失落的王冠|木头和石头|夜里的敌人|一首歌")
+_ZH = ("国王|商人|老守卫|英雄|村子|巨龙|玩家|小河|骑士|桥", "保护|打开|需要|发现|带着|学会|卖掉|靠近|想起|离开|找到|看见|这里有", "三枚金币|旧地图|北边的路|一把钥匙|很多食物|冬天的营地|失落的王冠|木头和石头|夜里的敌人|一首歌|编辑器里的模组|需要启用JavaScript的编辑器|才能加载的模组")
 
 
 def prose() -> list[str]:

@@ -6,8 +6,8 @@ Three findings, each on the article text only (of a web page: the blocks that
 * ``field``: a template field that was never replaced. Every delimiter pair has its own small
   grammar for what may stand between the delimiters. Code blocks, inline code, formulas and
   LaTeX arguments are taken out first, and a field in quotation marks is a mention. Of the rest a
-  field is explained where its sentence speaks of templates, variables or settings. The record is a case when
-  the bare fields outnumber the explained ones, or when fields stand as densely as in a template
+  field is explained where its sentence speaks of templates, variables or settings beside it. The record is a case when
+  bare fields are at least as many as explained ones, or when fields stand as densely as in a template
   that was never filled at all (DENSE characters of text a field or less), however it is worded.
 * ``filler``: a paragraph that only fills space: running text without the function words that every
   language needs, one word or a few over and over, masked letters, or sentences most of whose words
@@ -71,12 +71,13 @@ FIELDS = re.compile(
 )
 _OPENER = re.compile(r"[{%$#@\[【]|__|<[<%?]|\b(?:undefined undefined|null null|NaN NaN)\b")
 _QUOTED = ("“”", "„“", "‘’", "「」", "『』", "«»", '""', "''", "‚‘", "„”", "``")
-#: Words of sentences that explain a field instead of holding one that was forgotten.
+#: Words that, NEARBY characters or less from a field in its sentence, explain it instead of forgetting it.
 _EXPLAINS = re.compile(
-    r"\b(?:templates?|placeholders?|variables?|syntax|snippets?|parameters?|arguments?|macros?|tokens?|markup|brackets|braces|interpolat\w+|replaced|substituted|stands? for|tutorial|environment|shell|terminal|command|config\w*|export|director(?:y|ies)|folder|"
+    r"\b(?:templates?|placeholders?|variables?|syntax|snippets?|parameters?|arguments?|macros?|tokens?|markup|brackets|braces|replaced|substituted|expands?|stands? for|tutorial|environment|shell|terminal|command|director(?:y|ies)|folder|"
     r"Vorlagen?|Platzhalter\w*|Variablen?|Parameter|Klammern|ersetzt|steht für|Umgebungs\w+|Ordner|Verzeichnis|Befehl)\b|模板|占位符|变量|语法|参数|替换为|表示|环境|命令|目录",
     re.I,
 )
+NEARBY = 45
 #: Characters of text a field in a template that was never filled.
 DENSE = 60
 
@@ -170,11 +171,11 @@ def has_field(texts: list[str]) -> str | None:
             found += 1
             low = max(text.rfind(c, 0, m.start()) for c in ".!?。！？")
             high = min((k for k in (text.find(c, end) for c in ".!?。！？") if k >= 0), default=len(text))
-            if _EXPLAINS.search(text, low + 1, m.start()) or _EXPLAINS.search(text, end, high):
+            if _EXPLAINS.search(text, max(low + 1, m.start() - NEARBY), m.start()) or _EXPLAINS.search(text, end, min(high, end + NEARBY)):
                 explained += 1
             else:
                 bare.append(m[0])
-    if bare and (len(bare) > explained or sum(map(len, texts)) <= DENSE * found):
+    if bare and (len(bare) >= explained or sum(map(len, texts)) <= DENSE * found):
         return bare[0]
     return None
 
@@ -230,7 +231,7 @@ def _only_fills(paragraph: str, tokens: list[str]) -> bool:
     if plain < 4 or len(low) < 0.8 * len(names) or plain < 0.7 * len(low) or 3 * paragraph.count(",") >= len(names):
         return False
     share = sum(t in _FUNCTION_WORDS for t in low) / len(low)
-    return share < 0.15 and len(names) >= 16 or share == 0 and (paragraph.rstrip()[-1] in ".!?…" or len(kinds) <= 0.75 * len(names) or len(names) >= 12)
+    return share < 0.15 and len(names) >= 16 or share == 0 and (len(names) >= 6 and paragraph.rstrip()[-1] in ".!?…" or len(kinds) <= 0.75 * len(names) or len(names) >= 12)
 
 
 def _says(sentence: str) -> bool:
@@ -306,10 +307,20 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
     asked = any(b.kind == "notice" and is_message(b.text) for b in blocks)
     cells = [b.text for b in blocks if b.kind == "cell"]
     shown = [b for b in blocks if b.kind != "notice"]
-    texts = [(b.text, b.kind == "heading") for b in (shown if fragment else article_of(nodes, shown, model)) if b.kind not in ("cell", "control")]
-    if all(heading for _, heading in texts) and not fragment:
-        # no text was taken for the article: what speaks without links and isn't the site's stands in its place
-        texts += [(b.text, False) for b in blocks if b.kind in ("p", "quote") and not b.linked and (leaning(b.text, weights("site")) <= max(0.0, leaning(b.text, weights("message"))) or is_filler(b.text))]
+    taken = [b for b in (shown if fragment else article_of(nodes, shown, model)) if b.kind not in ("cell", "control")]
+    texts = [(b.text, b.kind == "heading") for b in taken]
+    if not fragment and not any(b.kind in ("p", "quote", "pre") for b in taken):
+        # no text was taken for the article: what stands in its place is what speaks, unlinked and without buttons, and isn't
+        # the site's; sentences of an article before it show that the article was only missed
+        for b in shown:
+            if b.kind in ("p", "quote") and not nodes[b.node].controls:
+                if not b.linked and is_filler(b.text):
+                    texts.append((b.text, False))
+                elif 3 * b.linked < len(b.text) and len(_STOPS.findall(b.text)) > 1 and is_plain(b.text):
+                    asked = False
+                    break
+                elif not b.linked and leaning(b.text, weights("site")) <= max(0.0, leaning(b.text, weights("message"))):
+                    texts.append((b.text, False))
     found = findings(texts + [("|" + t, False) for t in cells])
     # a heading of the article counts as one where any paragraph of the page could stand below it
     if asked and "error" not in found and not cells and not any(article_weight(t) or is_plain(t) for t, heading in texts if not heading):

@@ -45,3 +45,20 @@ def test_held_out_filler():
 def test_long_messages():
     long = "We could not process your request because the server did not respond. " * 12
     assert R.of_content(long) == ["error"]
+
+
+def test_article_that_was_only_missed():
+    """Sentences of an article on a page whose article the classifier doesn't find are no reason to report its notices."""
+    from siltweave.llm.main_content import tree
+
+    notice = "<noscript>Please enable JavaScript.</noscript>"
+    shell = f"<body>{notice}<div class=b><p>We use cookies to count visits.</p><button>OK</button></div><div id=app></div></body>"
+    assert R.of_html(shell, tree(), False) == ["error"]
+    short = f"<body>{notice}<div class=x><div class=y>The cat sleeps on the old mat. The dog finds three coins behind the mill.</div></div><div class=b><p>We use cookies to count visits.</p><button>OK</button></div></body>"
+    assert R.of_html(short, tree(), False) == []
+
+
+def test_field_beside_a_far_word():
+    """A word that could explain a field does not do so from the other end of a sentence, nor one field all others."""
+    assert R.of_content(f"{ARTICLE} The syntax of the old song is known to all who live in the long valley of {{{{name}}}} today. {ARTICLE}") == ["field"]
+    assert R.of_content(f"{ARTICLE} The template {{{{a.b}}}} is replaced. {ARTICLE} The king {{{{c.d}}}} sleeps. {ARTICLE}") == ["field"]
