@@ -78,17 +78,20 @@ def _shares(y: float) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, fold, n_docs, w1..w5): what the documents of a batch (text, y, fold) say of each expression."""
-    for batch in batches:
-        sums: dict[tuple[str, int], np.ndarray] = {}
+    for batch in (big.slice(k, 250) for big in batches for k in range(0, big.num_rows, 250)):
+        index: dict[tuple[str, int], int] = {}  # the row of each word and fold
+        at, times, shares, sizes = [], [], [], []
         for text, y, fold in zip(*(batch.column(c).to_pylist() for c in range(3))):
             found = expressions(text)
-            share = _shares(y) / max(1, len(found))
-            for word, c in Counter(found).items():
-                row = np.concatenate(([1], np.round(share * c * UNIT))).astype(np.int64)
-                at = sums.get((word, fold))
-                sums[word, fold] = row if at is None else at + row
-        table = np.array(list(sums.values()), np.int64).reshape(len(sums), 1 + LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in sums], pa.string()), pa.array([f for _, f in sums], pa.int32()), *(pa.array(table[:, k]) for k in range(1 + LEVELS))], ["word", "fold", "n_docs", *(f"w{k}" for k in range(1, LEVELS + 1))])
+            counted = Counter(found)
+            at += [index.setdefault((w, fold), len(index)) for w in counted]
+            times += counted.values()
+            shares.append(_shares(y) / max(1, len(found)))
+            sizes.append(len(counted))
+        each = np.round(np.repeat(np.array(shares).reshape(-1, LEVELS), sizes, axis=0) * np.array(times, float)[:, None] * UNIT).astype(np.int64)
+        table = np.zeros((len(index), 1 + LEVELS), np.int64)
+        np.add.at(table, np.array(at, np.int64), np.column_stack((np.ones(len(each), np.int64), each)))
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in index], pa.string()), pa.array([f for _, f in index], pa.int32()), *(pa.array(table[:, k]) for k in range(1 + LEVELS))], ["word", "fold", "n_docs", *(f"w{k}" for k in range(1, LEVELS + 1))])
 
 
 def _grade(n, w: list, total: np.ndarray):
