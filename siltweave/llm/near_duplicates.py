@@ -209,8 +209,8 @@ def sketched(df: DataFrame, record_id: str, text: str, k: int, group: str | None
     hashed = cut(spread(base).mapInArrow(_hashes(k, min_chars), "id long, grp long, same binary"))
     firsts = hashed.groupBy("grp", "same").agg(F.min("id").alias("rep"))
     members = cut(hashed.join(firsts.hint("merge"), ["grp", "same"]).select("id", "rep").distinct())
-    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_semi")
-    bands = own.dropDuplicates(["id"]).select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>")
+    own = base.join(members.where("id = rep").select(F.col("rep").alias("_r")).hint("shuffle_hash"), F.col("id") == F.col("_r"), "left_semi")
+    bands = own.select("id", "text", "grp").mapInArrow(_sketches(k, min_chars >= BINNED_CHARS), "rep long, bands array<long>, odd array<long>")
     return cut(bands), members, base.select("id", "text")
 
 
@@ -235,7 +235,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, th
     odd = sketches.select("rep", "odd")
     pairs = pairs.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
     pairs = pairs.join(odd.select(F.col("rep").alias("rep_a"), F.col("odd").alias("odd_a")).hint("merge"), "rep_a").join(odd.select(F.col("rep").alias("rep_b"), F.col("odd").alias("odd_b")).hint("merge"), "rep_b")
-    near = cut(pairs.select("rep_a", "rep_b", odd_similarity(F.col("odd_a"), F.col("odd_b")).alias("s")).where(F.col("s") >= threshold - MARGIN))
+    # a row that was repeated has its sketch twice
+    near = cut(pairs.select("rep_a", "rep_b", odd_similarity(F.col("odd_a"), F.col("odd_b")).alias("s")).where(F.col("s") >= threshold - MARGIN).distinct())
     doubt = near.where(F.col("s") < threshold + MARGIN).select("rep_a", "rep_b")
     named = small_side(cut(doubt.select(F.explode(F.array("rep_a", "rep_b")).alias("_r")).distinct()))
     texts = texts.join(named, F.col("id") == F.col("_r"), "left_semi").dropDuplicates(["id"])
