@@ -336,8 +336,20 @@ def prepare(root: Element, rules: Rules) -> Element:
     return (root.first(rules.content) if rules.content else None) or root.first("body") or root
 
 
+_TIP = re.compile(r'<span class="[^"]*tooltip[^"]*"[^>]*>(.*?)</span>', re.S)
+_TWICE = re.compile(r'<a ([^>]*href="([^"]*)"[^>]*)>(\s*|<img[^>]*>)</a>\s*<a [^>]*href="\2"[^>]*>', re.S)
+_PLAYER = re.compile(r'data-mw-iframeconfig="[^"]*?embed/([\w-]+)')
+
+
 def convert(html: str | None, rules: Rules) -> dict:
-    """Markdown of a page with its infobox, tables, links, images and warnings."""
+    """Markdown of a page with its infobox, tables, links, images and warnings.
+
+    Tooltips are unwrapped first and a link merged with the same link before it; players that attributes configure
+    become a section of their own at the end.
+    """
+    if html and "tooltip" in html:
+        html = _TWICE.sub(r"<a \1>\3", _TIP.sub(r"\1", html))
+    videos = list(dict.fromkeys(_PLAYER.findall(html))) if html and "data-mw-iframeconfig" in html else []
     root = parse(html)
     r = Renderer(rules)
     box = root.first(rules.infobox) if rules.infobox else None
@@ -348,6 +360,8 @@ def convert(html: str | None, rules: Rules) -> dict:
     if rows:
         lines = "\n".join(f"| **{a}** | {b.replace('|', chr(92) + '|')} |" for a, b in rows)
         body = f"## Infobox\n\n| Field | Value |\n| --- | --- |\n{lines}\n\n{body}".strip()
+    if videos:
+        body = (body + "\n\n## Videos\n\n" + "\n".join(f"- https://www.youtube.com/watch?v={v}" for v in videos)).strip()
     return {"markdown": body, "infobox": rows, "n_tables": len(r.tables), "links": r.links, "images": r.images, "warnings": sorted(set(r.warnings))}
 
 

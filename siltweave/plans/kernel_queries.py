@@ -182,11 +182,18 @@ def wikitext_counts(spark: SparkSession, d: str) -> DataFrame:
     return md.select("id", n(r"(?m)^#{2,6} ").alias("n_headings"), n(r"(?m)^\|(?: ?-{3,} ?\|)+$").alias("n_tables"), field("name"), field("hp"), field("image"))
 
 
-@query("""select 1 as case_id, 'https://www.youtube.com/watch?v=abc_1|https://www.youtube.com/watch?v=d-2' as urls union all select 2, ''""")
+@query("""
+select cast(p_partkey as bigint) as part, 'https://www.youtube.com/watch?v=v' || p_partkey || '|https://www.youtube.com/watch?v=w-' || p_size as urls,
+ '[' || p_name || '](/wiki/' || p_partkey || ')' || chr(10) || chr(10) || '## Videos' || chr(10) || chr(10) || '- https://www.youtube.com/watch?v=v' || p_partkey || chr(10) || '- https://www.youtube.com/watch?v=w-' || p_size as body from part""")
 def video_links(spark: SparkSession, d: str) -> DataFrame:
-    """FN32: players configured in attributes (inline fixture)."""
-    rows = [(1, '<div data-mw-iframeconfig="{&quot;src&quot;:&quot;https://www.youtube.com/embed/abc_1?x=1&quot;}"></div><div data-mw-iframeconfig="{&quot;src&quot;:&quot;//y/embed/d-2&quot;}">'), (2, "<p>none</p>")]
-    return spark.createDataFrame(rows, "case_id int, html string").select("case_id", F.array_join(text.video_urls("html"), "|").alias("urls"))
+    """FN32, FN35, K4: pages made from parts, with players configured in attributes and a tooltip that repeats a link, as URLs and as Markdown."""
+    t = lambda c: F.col(c).cast("string")
+    link = F.concat(F.lit('<a href="/wiki/'), t("p_partkey"), F.lit('">'))
+    tip = F.concat(F.lit('<p><span class="tooltip">'), link, F.lit("</a>"), link, "p_name", F.lit("</a></span></p>"))
+    players = F.concat(F.lit('<div data-mw-iframeconfig="{&quot;src&quot;:&quot;https://www.youtube.com/embed/v'), t("p_partkey"), F.lit('?x=1&quot;}"></div><div data-mw-iframeconfig="{&quot;src&quot;:&quot;//y/embed/w-'), t("p_size"), F.lit('&quot;}"></div>'))
+    pages = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(tip, players).alias("html"))
+    md = markdown.to_markdown(pages, "id", "html", _RULES).select("id", F.col("markdown").alias("body"))
+    return pages.select("id", F.array_join(text.video_urls("html"), "|").alias("urls")).join(md, "id").select(F.col("id").alias("part"), "urls", "body")
 
 
 @query("""

@@ -10,6 +10,7 @@ from siltweave.io import table
 from siltweave.operators import assign
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import first_n
+from siltweave.session import cut, small_side
 
 EXCLUDED_CATEGORIES = ("Misc B", "News A", "Bosses")
 EXCLUDED_DIRECTORIES = ("stages",)
@@ -198,12 +199,12 @@ def source_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with c as (select distinct domain, target_directory, unnest(categories) as category, title, target_filename from manifest)
-select domain, category, count(*) as n_members, min(title) as first_title, max(title) as last_title from c group by all""")
+with c as (select distinct domain, target_directory, unnest(categories) as category, title, target_filename, coalesce(ns, 0) as ns from manifest)
+select domain, category, ns, count(*) as n_members, min(title) as first_title, max(title) as last_title from c group by all""")
 def category_members(spark: SparkSession, d: str) -> DataFrame:
-    """SRC2, SRC5, J13: members of each category of a domain."""
-    c = table(spark, d, "manifest").select("domain", "target_directory", F.explode("categories").alias("category"), "title", "target_filename").distinct()
-    return c.groupBy("domain", "category").agg(F.count("*").alias("n_members"), F.min("title").alias("first_title"), F.max("title").alias("last_title"))
+    """SRC2, SRC5: members of each category of a domain by namespace."""
+    c = table(spark, d, "manifest").select("domain", "target_directory", F.explode("categories").alias("category"), "title", "target_filename", F.coalesce("ns", F.lit(0)).alias("ns")).distinct()
+    return c.groupBy("domain", "category", "ns").agg(F.count("*").alias("n_members"), F.min("title").alias("first_title"), F.max("title").alias("last_title"))
 
 
 @query("""
@@ -299,16 +300,19 @@ def status_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with l as (select distinct * from fetch_log)
-select url, count(*) as attempts, arg_min(engine, {'t': ts, 'f': fetch_id}) filter (where status = 'success') as engine, min(ts) filter (where status = 'success') as answered from l group by url""")
+with l as (select distinct * from fetch_log), k as (select engine, row_number() over (order by count(*) filter (where status = 'success') desc, engine) as rank from l group by engine)
+select url, count(*) as attempts, arg_min(l.engine, {'t': ts, 'f': fetch_id}) filter (where status = 'success') as engine, min(ts) filter (where status = 'success') as answered, arg_min(l.engine, k.rank) filter (where status = 'success') as preferred from l join k on k.engine = l.engine group by url""")
 def probe_chain(spark: SparkSession, d: str) -> DataFrame:
-    """SRC16: of each page the first engine that answered.
+    """SRC16: of each page the engine that answered first, and of those that answered the one of best rank (engines by successes).
 
     Few pages hold most rows; both aggregates have partial sums, so they are no hot keys.
     """
     good = F.when(F.col("status") == "success", F.struct("ts", "fetch_id"))
     log = _log(spark, d, "url", "status", "ts", "engine")
-    return log.groupBy("url").agg(F.count("*").alias("attempts"), F.min_by("engine", good).alias("engine"), F.min(F.when(F.col("status") == "success", F.col("ts"))).alias("answered"))
+    counts = log.groupBy("engine").agg(F.count_if(F.col("status") == "success").alias("n"))
+    ranked = small_side(cut(counts.select("engine", F.row_number().over(Window.orderBy(F.desc("n"), "engine")).alias("rank"))))  # one row an engine
+    rank = F.when(F.col("status") == "success", F.col("rank"))
+    return log.join(ranked, "engine").groupBy("url").agg(F.count("*").alias("attempts"), F.min_by("engine", good).alias("engine"), F.min(F.when(F.col("status") == "success", F.col("ts"))).alias("answered"), F.min_by("engine", rank).alias("preferred"))
 
 
 @query("""

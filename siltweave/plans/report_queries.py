@@ -53,11 +53,11 @@ def page_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with l as (select domain, unnest(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"[^>]*class="mw-redirect"', 1)) as href from raw_pages where html is not null)
+with l as (select domain, unnest(list_concat(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"[^>]*class="[^"]*mw-redirect', 1), regexp_extract_all(html, '<a [^>]*class="[^"]*mw-redirect[^"]*"[^>]*href="([^"#]+)"', 1))) as href from raw_pages where html is not null)
 select domain, href, count(*) as n from l group by all""")
 def classed_links(spark: SparkSession, d: str) -> DataFrame:
-    """SRC3, SRC4, FLT9: links that carry a given class."""
-    found = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"#]+)"[^>]*class="mw-redirect"'), F.lit(1))
+    """SRC3, FLT9: links that carry a given class, whichever attribute comes first."""
+    found = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in ('<a [^>]*href="([^"#]+)"[^>]*class="[^"]*mw-redirect', '<a [^>]*class="[^"]*mw-redirect[^"]*"[^>]*href="([^"#]+)"')))
     return table(spark, d, "raw_pages").where("html is not null").select("domain", F.explode(found).alias("href")).groupBy("domain", "href").agg(F.count("*").alias("n"))
 
 
@@ -193,12 +193,13 @@ def dead_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with p as (select url, min(coalesce(nullif(target_directory, ''), 'misc') || '/' || target_filename) as path from manifest where url is not null group by url)
-select r.cache_id, p.path, 'https://' || r.domain as site from raw_pages r join p on p.url = regexp_replace(r.url, '[?#].*$', '')""")
+select r.cache_id, coalesce(p.path, case when d = '' then 'index' else d end || '.md') as path, 'https://' || r.domain as site, p.path is not null as listed
+from (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/+|/+$', '', 'g'), '\\.html?$', ''), '[^A-Za-z0-9/_-]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') as d from raw_pages where url is not null) r left join p on p.url = regexp_replace(r.url, '[?#].*$', '')""")
 def crawled_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Stored pages joined to the files their URLs, fragments and queries dropped, are written to."""
+    """Stored pages joined to the files their URLs, fragments and queries dropped, are written to; a page the manifest lacks gets the path its URL would have."""
     p = table(spark, d, "manifest").where("url is not null").groupBy("url").agg(F.min(F.concat(F.coalesce(F.expr("nullif(target_directory, '')"), F.lit("misc")), F.lit("/"), F.col("target_filename"))).alias("path"))
-    r = table(spark, d, "raw_pages").select("cache_id", "domain", F.regexp_replace("url", "[?#].*$", "").alias("url"))
-    return r.join(p, "url").select("cache_id", "path", F.concat(F.lit("https://"), "domain").alias("site"))
+    r = table(spark, d, "raw_pages").where("url is not null").select("cache_id", "domain", F.regexp_replace("url", "[?#].*$", "").alias("url"), urls.markdown_path("url").alias("own"))
+    return r.join(p, "url", "left").select("cache_id", F.coalesce("path", "own").alias("path"), F.concat(F.lit("https://"), "domain").alias("site"), F.col("path").isNotNull().alias("listed"))
 
 
 @query("""

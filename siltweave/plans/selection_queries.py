@@ -428,3 +428,13 @@ def card_pages(spark: SparkSession, d: str) -> DataFrame:
     nav = p.select("p_type", "p_brand").distinct().groupBy("p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", link.alias("l")))), lambda x: x["l"]), " | ").alias("links"))
     body = F.concat(F.lit("# "), "p_type", F.lit(" — "), "p_brand", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" cards\n\n"), "listed", F.lit("\n\n"), "links")
     return b.join(nav, "p_type").select(F.col("p_type").alias("color"), F.col("p_brand").alias("rarity"), body.alias("body"))
+
+
+@query("""
+select fetch_id, url, row_number() over (partition by url order by ts, fetch_id) as attempt, coalesce(error_type, case when http_status >= 400 then 'http_' || http_status end) as failure from (select distinct fetch_id, url, ts, error_type, http_status from fetch_log)""")
+def fetch_order(spark: SparkSession, d: str) -> DataFrame:
+    """SRC21: the attempts at each URL in order, with what went wrong; few URLs hold most attempts, so they are numbered in ranges."""
+    log = table(spark, d, "fetch_log").select("fetch_id", "url", "ts", "error_type", "http_status").distinct()
+    failure = F.coalesce("error_type", F.when(F.col("http_status") >= 400, F.concat(F.lit("http_"), F.col("http_status").cast("string"))))
+    n = numbered(log.select("fetch_id", "url", F.struct("ts", "fetch_id").alias("place"), failure.alias("failure")), ["url"], "place", name="attempt")
+    return n.select("fetch_id", "url", "attempt", "failure")
