@@ -13,10 +13,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, max_pages: in
 
     Edges are made and partitioned by their source once. Each level joins the frontier with the links, drops what was visited by an anti-join and cuts
     the lineage by a reliable checkpoint. Only counts come to the driver. ``max_pages`` is the crawl's
-    budget: the level that would pass it is taken in page order up to it.
+    budget: the level that would pass it (the seeds are one) is taken in page order up to it.
     """
     edges = cut(edges.select("source", "target").where("source is not null and target is not null").distinct().repartition("source"))
-    visited = cut(seeds.select("page").where("page is not null").distinct().withColumn("depth", F.lit(0)))
+    seeds = seeds.select("page").where("page is not null").distinct()
+    if max_pages is not None:
+        seeds = seeds.orderBy("page").limit(max_pages)
+    visited = cut(seeds.withColumn("depth", F.lit(0)))
     frontier, total = visited.select("page"), visited.count()
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier, edges.source == frontier.page).select(F.col("target").alias("page")).where("page is not null").distinct()

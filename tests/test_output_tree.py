@@ -121,3 +121,9 @@ def test_progress():
     for n in (4, 4, 4, 20):
         p.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=n)))
     assert seen == [12, 32]
+
+
+def test_crawl_budget_covers_seeds(spark):
+    edges = spark.createDataFrame([("a", "x")], "source string, target string")
+    seeds = spark.createDataFrame([("c",), ("a",), ("b",), ("a",)], "page string")
+    assert {tuple(r) for r in crawl.reach(edges, seeds, max_pages=2).collect()} == {("a", 0), ("b", 0)}
