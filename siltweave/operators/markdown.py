@@ -27,6 +27,7 @@ class Rules:
 
     domain: str = ""
     content: str = ""  # selector of the content element
+    #: What such pages mark as furniture.
     drop: tuple[str, ...] = (".mw-editsection", ".toc", "#toc", ".hatnote")
     cleanup: tuple[str, ...] = ("strip_edit_links", "strip_skip_links", "strip_category_links", "unwrap_image_wrappers")
     skip_images: tuple[str, ...] = ()
@@ -293,7 +294,7 @@ def _tags(e: Element, domain: str) -> str:
     return ", ".join(found) or plain_text(e, domain)
 
 
-#: Infobox field handlers by the names that site configurations use.
+#: Infobox field handlers by the names that site configurations use.
 HANDLERS: dict[str, Callable[[Element, str], str]] = {"text": plain_text, "image": _image, "count_images": _counted_images, "extract_cur_id": _current_id, "dedup_pools": _pools, "simplify_collection": _collection, "extract_tags": _tags}
 
 
@@ -311,7 +312,7 @@ def _ambox(root: Element) -> None:
         t.children = [Element("", parent=t, text=f"Note: {text}")] if text else []
 
 
-#: Cleanup operations that drop elements, by the names that site configurations use (K2).
+#: Cleanup operations that drop elements, by the names that site configurations use (K2).
 DROPS = {
     "strip_edit_links": ".mw-editsection",
     "strip_skip_links": ".mw-jump-link, .skip-link",
@@ -319,7 +320,7 @@ DROPS = {
     "strip_category_links": "#catlinks, .catlinks",
     "strip_fandom_infobox_tables": "table.infobox, table.infoboxtable",
 }
-#: The other cleanup operations; unknown names are ignored.
+#: The other cleanup operations; unknown names are ignored.
 CLEANUP: dict[str, Callable[[Element], None]] = {"convert_ambox_to_text": _ambox, "unwrap_image_wrappers": _unwrap_images, "convert_nested_images": _unwrap_images}
 
 

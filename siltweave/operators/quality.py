@@ -40,7 +40,10 @@ def checks(df: DataFrame, doc: str, md: str, html: str) -> DataFrame:
 
 def page_checks(conv: DataFrame) -> DataFrame:
     """(result_id, domain, check_id, status): pass, fail or skip of each text (md) against its page (html, wiki) and the
-    known pages it should link to (unlinked). All checks are expressions over one row."""
+    known pages it should link to (unlinked). All checks are expressions over one row.
+
+    Fixed values: what each check looks for (its marks of markup, residue and furniture) and the tolerance of a tenth of the rows.
+    """
     m, h = F.col("md"), F.col("html")
     images = count(h, "(?i)<img[ >]") - count(h, '(?i)<img[^>]*src="data:image/gif;base64[^>]*>')
     sections = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r'(?is)class="mw-headline"[^>]*>(.*?)</span>'), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))), lambda x: ~x.isin("", "Contents"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from siltweave.session import spread
 
-PLACEHOLDER = "<!-- DPL_TABLE_PLACEHOLDER -->"
+#: Stands where a page has a query whose result only the wiki itself can give.
+QUERY_MARK = "<!-- query result -->"
 
 
 def spans(text: str, opener: str = "{{", closer: str = "}}") -> list[tuple[int, int]]:
@@ -122,7 +123,7 @@ def remaining(text: str) -> str:
         if name.lower() in ("main", "see also"):
             return "See also: " + ", ".join(args)
         if name.lower().startswith("#dpl"):
-            return f"\n{PLACEHOLDER}\n"
+            return f"\n{QUERY_MARK}\n"
         return "" if name.lower() == "for" or name.startswith("#") else (flat(args[-1]) if args else "")
 
     return replaced(text, change)
@@ -167,7 +168,7 @@ def convert(text: str | None, title: str, source_url: str = "", fields: tuple[st
     text = text or ""
     front = front_fields(text, list(fields)) | {"title": title, "source_url": source_url}
     text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
-    text = re.sub(r"<dpl>.*?</dpl>", f"\n{PLACEHOLDER}\n", text, flags=re.S)
+    text = re.sub(r"<dpl>.*?</dpl>", f"\n{QUERY_MARK}\n", text, flags=re.S)
     text, unknown = expand(without_infobox(text, list(fields)), forms or {})
     text = remaining(text)
     text = re.sub(r"\[\[(?:Category|File|Image):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]\n?", "", text)
@@ -184,7 +185,7 @@ def convert(text: str | None, title: str, source_url: str = "", fields: tuple[st
     text = re.sub(r"^(={2,6})\s*(.+?)\s*\1\s*$", lambda m: f"{'#' * len(m[1])} {m[2]}", text, flags=re.M)
     text = re.sub(r"^=\s*([^=].*?)\s*=\s*$", r"# \1", text, flags=re.M)
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    return text if text.startswith("#") else f"# {title}\n\n{text}".strip(), [f"Unrecognized template: {n}" for n in sorted(set(unknown))], front
+    return text if text.startswith("#") else f"# {title}\n\n{text}".strip(), [f"unknown template {n}" for n in sorted(set(unknown))], front
 
 
 def to_markdown(pages: DataFrame, page_id: str, wikitext: str, title: str, fields: tuple[str, ...] = (), forms: dict[str, str] | None = None) -> DataFrame:

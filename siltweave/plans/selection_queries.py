@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from siltweave.functions import text, urls
 from siltweave.io import table
 from siltweave.operators.ranks import numbered
+from siltweave.operators.wikitext import QUERY_MARK
 from siltweave.plans.link_queries import _RELATIVE, _TREE, files
 from siltweave.plans.registry import query
 from siltweave.plans.url_queries import first_n
@@ -187,12 +188,12 @@ def sitemap_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with {_TREE}, last as (select domain, title, arg_max(content, {{'a': converted_at, 'b': result_id}}) as content from results where status = 'ok' and length(content) > 0 group by all)
-select files.domain, files.path, md5(replace(last.content, '<!-- more -->', '')) as digest, length(last.content) as n_chars from files join last using (domain, title)""")
+select files.domain, files.path, md5(replace(last.content, '<!-- query result -->', '')) as digest, length(last.content) as n_chars from files join last using (domain, title)""")
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """ASM1, SNK4: the files of the output tree, one a written page, with the digest of what is written, placeholders out."""
     r = table(spark, d, "results").where("status = 'ok' and length(content) > 0")
     last = r.groupBy("domain", "title").agg(F.max_by("result_id", F.struct("converted_at", "result_id")).alias("result_id"))
-    body = r.select("result_id", F.md5(F.replace("content", F.lit("<!-- more -->"), F.lit("")).cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
+    body = r.select("result_id", F.md5(F.replace("content", F.lit(QUERY_MARK), F.lit("")).cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
     return files(spark, d).join(last, ["domain", "title"]).join(body, "result_id").select("domain", "path", "digest", "n_chars")
 
 
