@@ -74,7 +74,7 @@ _QUOTED = ("“”", "„“", "‘’", "「」", "『』", "«»", '""', "''",
 #: Words that, NEARBY characters or less from a field in its sentence, explain it instead of forgetting it.
 _EXPLAINS = re.compile(
     r"\b(?:templates?|placeholders?|variables?|syntax|snippets?|parameters?|arguments?|macros?|tokens?|markup|brackets|braces|replaced|substituted|expands?|stands? for|tutorial|environment|shell|terminal|command|director(?:y|ies)|folder|"
-    r"Vorlagen?|Platzhalter\w*|Variablen?|Parameter|Klammern|ersetzt|steht für|Umgebungs\w+|Ordner|Verzeichnis|Befehl)\b|模板|占位符|变量|语法|参数|替换为|表示|环境|命令|目录",
+    r"Vorlagen?|Platzhalter\w*|Variablen?|Parameter|Klammern|ersetzt|steht für|Umgebungs\w+|Ordner|Verzeichnis|Befehl)\b|模板|占位符|(?<!不)变量|语法|参数(?!化)|替换为|表示|环境|命令|目录",
     re.I,
 )
 NEARBY = 45
@@ -309,6 +309,11 @@ def of_html(html: str | None, model: tuple, fragment: bool) -> list[str]:
     shown = [b for b in blocks if b.kind != "notice"]
     taken = [b for b in (shown if fragment else article_of(nodes, shown, model)) if b.kind not in ("cell", "control")]
     texts = [(b.text, b.kind == "heading") for b in taken]
+    if not fragment and taken:
+        # what only fills space looks little like an article, so it counts wherever it stands beside one
+        homes = {b.node for b in taken} | {nodes[b.node].parent for b in taken if nodes[b.node].parent > 0}
+        kept = set(map(id, taken))
+        texts += [(b.text, False) for b in shown if b.kind == "p" and not b.linked and id(b) not in kept and (b.node in homes or nodes[b.node].parent in homes) and is_filler(b.text)]
     if not fragment and not any(b.kind in ("p", "quote", "pre") for b in taken):
         # no text was taken for the article: what stands in its place is what speaks, unlinked and without buttons, and isn't
         # the site's; sentences of an article before it show that the article was only missed

@@ -62,3 +62,8 @@ def test_field_beside_a_far_word():
     """A word that could explain a field does not do so from the other end of a sentence, nor one field all others."""
     assert R.of_content(f"{ARTICLE} The syntax of the old song is known to all who live in the long valley of {{{{name}}}} today. {ARTICLE}") == ["field"]
     assert R.of_content(f"{ARTICLE} The template {{{{a.b}}}} is replaced. {ARTICLE} The king {{{{c.d}}}} sleeps. {ARTICLE}") == ["field"]
+
+
+def test_parts_of_other_words_explain_nothing():
+    assert R.of_content(f"{ARTICLE}\n\n{{summary}} 相对独立的不变量听到旧钟，参数化的门打开。\n\n{ARTICLE}") == ["field"]
+    assert R.of_content(f"{ARTICLE}\n\n变量 {{summary}} 在这里说明。\n\n{ARTICLE}") == []
