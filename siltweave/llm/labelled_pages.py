@@ -13,15 +13,27 @@ _SYL = ("ba", "do", "ki", "lu", "me", "no", "pa", "ru", "se", "ti", "vo", "za")
 _HAN = "天地人水火木金土日月山川风云石田"
 
 
+def _drawn(r: random.Random, among: str | tuple[str, ...], n: int) -> list[str]:
+    """``n`` draws, as ``r.choice`` makes them, without its calls."""
+    bits, size = r.getrandbits, len(among)
+    width, out = size.bit_length(), []
+    for _ in range(n):
+        k = bits(width)
+        while k >= size:
+            k = bits(width)
+        out.append(among[k])
+    return out
+
+
 def _word(r: random.Random) -> str:
-    return "".join(r.choice(_SYL) for _ in range(r.randint(1, 3)))
+    return "".join(_drawn(r, _SYL, r.randint(1, 3)))
 
 
 def _words(r: random.Random, low: int, high: int, han: bool) -> str:
     n = r.randint(low, high)
     if han:
-        return "".join(r.choice(_HAN) for _ in range(2 * n)) + "。"
-    return " ".join(_word(r) for _ in range(n)).capitalize() + "."
+        return "".join(_drawn(r, _HAN, 2 * n)) + "。"
+    return " ".join([_word(r) for _ in range(n)]).capitalize() + "."
 
 
 def _links(r: random.Random, n: int, han: bool) -> str:
