@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltweave.io import table
 from siltweave.llm import leakage, main_content, markup, near_duplicates, packing, reading_level, repeated_lines, residue
+from siltweave.session import small_side
 
 
 def _residues(spark: SparkSession, d: str) -> DataFrame:
@@ -77,21 +78,27 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return content.select(F.lit("content").alias("src"), "*").unionByName(title.select(F.lit("title").alias("src"), "*"))
 
 
+def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return repeated_lines.prefix_span(table(spark, d, "results"), "result_id", "domain", "content")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    _, marked, _ = repeated_lines.frequent_lines(table(spark, d, "results"), "result_id", "domain", "content")
-    return marked.select(F.col("doc").alias("result_id"), "line_no").distinct()
+    edges, found, _ = _sequences(spark, d)
+    lines = found.join(small_side(repeated_lines.sequence_lines(edges)), ["src", "key"], "left_semi")
+    return lines.select(F.col("doc").alias("result_id"), "line_no").distinct()
 
 
 def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Frequent line sequences by domain and length."""
-    patterns = repeated_lines.sequential_patterns(table(spark, d, "results"), "result_id", "domain", "content")
-    return patterns.groupBy(F.col("source").alias("domain"), F.size("keys").alias("n_lines")).agg(F.count("*").alias("n_sequences"), F.max("n_docs").alias("most_docs"))
+    edges, _, needs = _sequences(spark, d)
+    return repeated_lines.sequence_lengths(edges, needs).withColumnRenamed("source", "domain")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every content without the lines its domain repeats."""
     results = table(spark, d, "results")
-    patterns = repeated_lines.sequential_patterns(results, "result_id", "domain", "content", max_length=1)
+    edges, _, needs = _sequences(spark, d)
+    patterns = repeated_lines.sequence_lines(edges).join(small_side(needs.select("src", "source")), "src").select("source", F.array("key").alias("keys"))
     return repeated_lines.without_repeated(results, patterns, "result_id", "domain", "content").select("result_id", "content")
 
 

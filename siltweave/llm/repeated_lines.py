@@ -1,16 +1,19 @@
 """Problem 4: lines that many documents of one source repeat, mined with PrefixSpan and removed.
 
-Each document is the sequence of its line identifiers (hashes of the folded lines), cut once. PrefixSpan
-grows patterns level by level, for all sources at once: the first level counts single lines, then every
-document keeps only its frequent lines in order, and each further level projects the documents on
-the frequent sequences of the level before and counts what the next frequent line makes of them, until no sequence is
-frequent. The lines of a sequence follow one another among the document's frequent lines (what lies between them is not
-frequent), so a document of n frequent lines has at most n projections a level. A pattern is frequent
-when at least ``MIN_DOCS`` and at least ``MIN_SHARE`` of the source's documents hold it.
-
-Lines are deleted that belong to a frequent sequence, single lines included; as every line of a frequent
-sequence is frequent by itself, the first level tells them all, and longer levels are mined only where the sequences themselves
-are asked for.
+Each document is the sequence of its line identifiers (hashes of the folded lines), cut once. The first scan counts single
+lines; then every document keeps only its frequent lines in order, and documents that keep the same ones are one sequence
+with their number as weight. PrefixSpan projects these sequences on a prefix (what is left of each after the first place at
+which the prefix ends), counts every line left in the projection, whether other lines lie in between or not, and projects
+on each frequent one again, for all sources at once, until nothing is frequent. A pattern is frequent when at least
+``MIN_DOCS`` and at least ``MIN_SHARE`` of the source's documents hold it.
+
+Prefixes with the same projection have the same continuations. A projection is therefore a state that is grown once,
+however many prefixes lead to it, and an edge is a frequent line that continues it: every path from ``ROOT`` is a frequent
+sequence, and every frequent sequence is one path. A template of n lines has 2^n - 1 frequent sequences, but n states. Where
+lines come and go independently of one another, states can be as many as sequences; none is dropped.
+
+Lines are deleted that belong to a frequent sequence, single lines included, which are the lines of the edges.
+:func:`mine` lists only sequences of frequent lines that follow one another, each with its lines.
 
 Counting is two-stage (document and line first, then line), so a source or a line with a third of
 all rows is summed on the map side. A source has at most 1 / MIN_SHARE times its mean number of
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from siltweave.session import cut, small_side
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 12, 5, 0.1
+#: The state of the empty prefix; a state whose sequences are all at their end is (0, 0).
+ROOT = (1, 1)
 
 
 def line_key(line: Column) -> Column:
@@ -71,6 +76,67 @@ def frequent_lines(docs: DataFrame, doc_id: str, source: str, content: str, min_
     return singles, cells.join(small_side(singles.select("src", "key")), ["src", "key"]), needs
 
 
+def _state(a: Column, b: Column) -> Column:
+    return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+
+def _project(found: DataFrame, needs: DataFrame, min_docs: int) -> DataFrame:
+    """The edges (src, state, key, n_docs, to): n_docs documents hold a prefix of ``state`` with ``key`` after it."""
+    # repeated rows of a document count once
+    ordered = found.where("doc is not null").select("src", "doc", "line_no", "key").distinct().groupBy("src", "doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("lines"))
+    held = ordered.groupBy("src", F.col("lines.key").alias("keys")).agg(F.count("*").alias("n"))
+    held = held.withColumn("seq", F.unhex(F.md5(F.array_join(F.transform("keys", F.hex), "").cast("binary"))))
+    places = cut(held.select("src", "seq", "n", (F.size("keys") - 1).alias("end"), F.posexplode("keys").alias("at", "key")))
+    need = small_side(needs.select("src", "need"))
+    following = places.withColumn("state", _state(*map(F.lit, ROOT)))
+    left = F.col("place.at") < F.col("place.end")
+    known = None
+    while True:
+        rows = cut(following.groupBy("src", "state", "key", "seq").agg(F.min(F.struct("at", "end", "n")).alias("place")))
+        # a projection is a set of places; its state is 128 bits, the exclusive or of theirs
+        marks = [F.coalesce(F.bit_xor(F.when(left, F.xxhash64(F.lit(i), "seq", "place.at"))), F.lit(0)) for i in range(2)]
+        counted = rows.groupBy("src", "state", "key").agg(F.sum("place.n").alias("n_docs"), *(m.alias(a) for m, a in zip(marks, "ab")))
+        frequent = counted.where(F.col("n_docs") >= min_docs).join(need, "src").where("n_docs >= need")
+        edges = cut(frequent.select("src", "state", "key", "n_docs", _state(F.col("a"), F.col("b")).alias("to")))
+        fresh = edges.groupBy("src", "to").agg(F.min(F.struct("state", "key")).alias("by"))
+        if known is not None:
+            if edges.isEmpty():
+                return known
+            fresh = fresh.join(known.select("src", "to"), ["src", "to"], "left_anti")
+        known = edges if known is None else known.unionByName(edges)
+        grown = rows.where(left).join(fresh.select("src", "by.state", "by.key", "to"), ["src", "state", "key"])
+        grown = grown.select("src", "seq", F.col("to").alias("state"), F.col("place.at").alias("after"))
+        following = grown.join(places, ["src", "seq"]).where(F.col("at") > F.col("after"))
+
+
+def prefix_span(docs: DataFrame, doc_id: str, source: str, content: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, found, needs): all frequent sequences as paths of (src, state, key, n_docs, to), and where frequent
+    lines stand (src, doc, line_no, key)."""
+    _, found, needs = frequent_lines(docs, doc_id, source, content, min_docs, min_share)
+    return _project(found, needs, min_docs), found, needs
+
+
+def sequence_lines(edges: DataFrame) -> DataFrame:
+    """(src, key) of every line that belongs to a frequent sequence."""
+    return cut(edges.select("src", "key").distinct())
+
+
+def sequence_lengths(edges: DataFrame, needs: DataFrame) -> DataFrame:
+    """(source, n_lines, n_sequences, most_docs): how many frequent sequences of each length a source has, and in how
+    many documents the most frequent of them is. ``n_sequences`` is a double (exact up to 2^53), since n lines can make 2^n sequences."""
+    edges = cut(edges)
+    paths = needs.select("src", _state(*map(F.lit, ROOT)).alias("state"), F.lit(1.0).alias("n"))
+    out, length = None, 0
+    while True:
+        length += 1
+        paths = cut(edges.join(paths, ["src", "state"]).groupBy("src", F.col("to").alias("state")).agg(F.sum("n").alias("n"), F.max("n_docs").alias("n_docs")))
+        if out is not None and paths.isEmpty():
+            return out.join(small_side(needs.select("src", "source")), "src").select("source", "n_lines", "n_sequences", "most_docs")
+        level = paths.groupBy("src").agg(F.sum("n").alias("n_sequences"), F.max("n_docs").alias("most_docs")).withColumn("n_lines", F.lit(length))
+        out = level if out is None else out.unionByName(level)
+        paths = paths.drop("n_docs")
+
+
 def mine(docs: DataFrame, doc_id: str, source: str, content: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns, sequences): the frequent line sequences (source, keys, n_docs), of every length unless
     ``max_length`` is given, and each document's frequent lines in order (source, doc, lines)."""
